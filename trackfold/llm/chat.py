@@ -62,7 +62,8 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
             break
         far = up.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"), F.col("top").alias("top2"))
         # an ancestor that has reached its root carries the sum over the rest of the way
-        up = checkpointed(up.join(far, "up", "left").select("node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("top2", "top").alias("top")))
+        # only nodes still on their way take part in a round
+        up = checkpointed(up.where("up is null").unionByName(open_.join(far, "up").select("node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("top2", "top").alias("top"))))
         jumps.append(up.where("up is not null").select("node", "up"))
     leaves = up.join(linked.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
     best = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("top").orderBy(F.desc("score"), "node"))).where(F.col("branch") <= keep)
