@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackfold.llm import chat
+from trackfold.llm import chat, mixing, toxicity
 
-QUERIES = {"op9_chat": chat.op9_chat}
+QUERIES = {"op2_toxicity": toxicity.op2_toxicity, "op3_mixing": mixing.op3_mixing, "op9_chat": chat.op9_chat}
 SQL = {"op9_chat": chat.OP9_SQL}
