@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trackfold.llm import chat, fingerprint, jaccard, mixing, substring, suffix, toxicity, vectors
+from trackfold.llm import bpe, chat, fingerprint, jaccard, mixing, substring, suffix, toxicity, vectors
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_suffix": suffix.op4_suffix,
