@@ -180,14 +180,14 @@ def in_bloom(filter_, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_hold(df: DataFrame, column: str, filter_) -> DataFrame:
-    """The rows of df that the filter lets through."""
+def may_hold(df: DataFrame, column: str, filter_, want: bool = True) -> DataFrame:
+    """The rows of df that the filter lets through, or the others."""
 
     def run(batches):
         for b in batches:
             ids = b.column(column)
             ok = in_bloom(filter_, ids.fill_null(0).to_numpy(zero_copy_only=False)) if len(b) else np.zeros(0, bool)
-            yield b.filter(pa.array(ok))
+            yield b.filter(pa.array(ok == want))
 
     return df.mapInArrow(run, df.schema)
 

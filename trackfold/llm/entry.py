@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from trackfold.llm import bpe, chat, fingerprint, jaccard, mixing, substring, suffix, toxicity, vectors
 
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,

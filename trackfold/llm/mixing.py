@@ -77,7 +77,7 @@ def targets(sources: DataFrame, share: float, most: float) -> DataFrame:
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces). documents: doc_id, source, rank (of the source), size, source_size, target, at (its first word in the source's stream). pieces, in mix order by slot (null: after all slots) and block: rank, block, slot, at, doc_id, first (word of the document), n."""
+    """(documents, pieces). documents: doc_id, source, rank (of the source), size, source_size, target, at (its first word in the source's stream). pieces, in mix order by slot (null: after all slots) and block: rank, block, slot, at, epoch, doc_id, first (word of the document), n."""
     spark = docs.sparkSession
     sized = checkpointed(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
     sources = ordered(sized.groupBy("source").agg(F.sum("size").alias("size")), F.col("source").asc_nulls_last()).drop("before")
@@ -104,7 +104,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = B
     twice = twice.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("at")).withColumn("to", F.least(F.col("from") + F.col("size"), "length")).where("to > from")
     cut = twice.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     a, z = F.greatest("from", F.col("block") * block), F.least("to", (F.col("block") + 1) * block)
-    pieces = cut.select("rank", "block", "at", "doc_id", (a - F.col("from")).alias("first"), (z - a).alias("n"))
+    pieces = cut.select("rank", "block", "at", "epoch", "doc_id", (a - F.col("from")).alias("first"), (z - a).alias("n"))
     return placed, pieces.join(k, ["rank", "block"], "left")
 
 

@@ -331,8 +331,9 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
 
 
 def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> DataFrame:
-    """docs: doc_id, text. finish(ids, texts, values, bounds, windows) makes a record batch of documents; windows is a boolean for each value: a repeated window starts there."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """docs: doc_id, text. finish(batch, texts, values, bounds, windows) makes a record batch of documents; windows is a boolean for each value: a repeated window starts there. The batch has doc_id, text and `rest`, a struct of the other columns."""
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(True).alias("none")]).alias("rest"))
     found = dictionary(docs, shape).groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
     found = checkpointed(found)
 
@@ -369,7 +370,7 @@ def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> Da
                 windows[_picked(late_, None, bounds[:-1])] = True
             else:
                 windows = windows[:-1] > 0
-            yield finish(b.column("doc_id"), texts, values, bounds, windows)
+            yield finish(b, texts, values, bounds, windows)
 
     plain = docs.mapInArrow(lambda x: run(let(x, any_, False)), schema)
     marked = docs.mapInArrow(lambda x: let(x, any_, True), docs.schema).join(both, "doc_id", "left").mapInArrow(run, schema)

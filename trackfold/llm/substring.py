@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackfold.llm.common import Words, ragged, table
 from trackfold.llm.repeats import Shape, covered, repeated, spans
@@ -32,10 +33,11 @@ def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return w.hashes(), w.bounds.astype(np.int64)
 
 
-def factored(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, kept (text), n_words, n_removed, starts and ends (in words) of the factors that are removed. Where nothing is removed, kept are all words joined by one space."""
+def factored(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, whole: bool = False) -> DataFrame:
+    """doc_id, kept (text), n_words, n_removed, starts and ends (in words) of the factors that are removed, and with `whole` also rest, a struct of the other columns. Kept are words joined by one space; with `whole` a text of which nothing is removed stays as it is."""
+    docs = docs if whole else docs.select("doc_id", "text")
 
-    def finish(ids, texts, values, bounds, windows):
+    def finish(batch, texts, values, bounds, windows):
         w = Words(texts)
         gone = covered(windows, bounds, width)
         doc, a, z = spans(gone, bounds)
@@ -51,10 +53,17 @@ def factored(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame
         end = np.concatenate([[0], end])
         kept = [raw[end[p] : end[q] - 1].decode() if q > p else "" for p, q in zip(first[:-1], first[1:], strict=True)]
         n = np.diff(bounds)
+        if whole:
+            same = n == np.diff(first)
+            kept = [t.decode() if s else k for t, s, k in zip(texts, same.tolist(), kept, strict=True)]
         lists = lambda x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x - bounds[doc], pa.int64()))
-        return pa.RecordBatch.from_pydict({"doc_id": ids, "kept": pa.array(kept, pa.string()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(n - np.diff(first), pa.int64()), "starts": lists(a), "ends": lists(z)})
+        out = {"doc_id": batch.column("doc_id"), "kept": pa.array(kept, pa.string()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(n - np.diff(first), pa.int64()), "starts": lists(a), "ends": lists(z)}
+        return pa.RecordBatch.from_pydict(out | ({"rest": batch.column("rest")} if whole else {}))
 
-    return repeated(docs, Shape(word_units, width, gram), "doc_id long, kept string, n_words long, n_removed long, starts array<long>, ends array<long>", finish)
+    schema = T.StructType.fromDDL("doc_id long, kept string, n_words long, n_removed long, starts array<long>, ends array<long>")
+    if whole:
+        schema = schema.add("rest", T.StructType([f for f in docs.schema if f.name.lower() not in ("doc_id", "text")]))
+    return repeated(docs, Shape(word_units, width, gram), schema, finish)
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def byte_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def deduped(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, starts and ends of the removed runs."""
 
-    def finish(ids, texts, values, bounds, windows):
+    def finish(batch, texts, values, bounds, windows):
         gone = covered(windows, bounds, width)
         doc, a, z = spans(gone, bounds)
         at = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -45,9 +45,9 @@ def deduped(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         n = np.diff(bounds)
         removed = n - np.array([len(k) for k in kept])
         lists = lambda x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x - bounds[doc], pa.int64()))
-        return pa.RecordBatch.from_pydict({"doc_id": ids, "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "starts": lists(a), "ends": lists(z)})
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "starts": lists(a), "ends": lists(z)})
 
-    return repeated(docs, Shape(byte_units, width, gram), "doc_id long, kept binary, n_bytes long, n_removed long, starts array<long>, ends array<long>", finish)
+    return repeated(docs.select("doc_id", "text"), Shape(byte_units, width, gram), "doc_id long, kept binary, n_bytes long, n_removed long, starts array<long>, ends array<long>", finish)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
