@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackfold.llm import bpe, chat, fingerprint, jaccard, mixing, substring, suffix, toxicity, vectors
+from trackfold.llm import bpe, chat, fingerprint, jaccard, language, mixing, substring, suffix, toxicity, vectors
 
 
 def pipeline(spark, sf_dir):
@@ -22,5 +22,6 @@ QUERIES = {
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_chat": chat.op9_chat,
+    "op10_language": language.op10_language,
 }
 SQL = {"op4_suffix": suffix.OP4_SQL, "op5_vectors": vectors.OP5_SQL, "op6_substring": substring.OP6_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_chat": chat.OP9_SQL}
