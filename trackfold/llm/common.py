@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on; a longer document makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 19
 #: Bits of a Bloom filter that is broadcast: its size never follows the data.
 BLOOM_BITS = 1 << 26
 
@@ -158,17 +159,17 @@ def bloom(ids: DataFrame, column: str):
 
     schema = "piece int, bits binary"
     rows = ids.select(F.col(column).cast("bigint").alias("id")).where("id is not null").mapInArrow(build, schema).repartition(min(64, parts(spark)), "piece").mapInArrow(join, schema).collect()
-    return spark.sparkContext.broadcast({r.piece: bytes(r.bits) for r in rows})
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, {r.piece: bytes(r.bits) for r in rows}))
 
 
 def in_bloom(filter_, ids: np.ndarray) -> np.ndarray:
     import zstandard
 
-    key = "bloom", filter_.id if hasattr(filter_, "id") else id(filter_)
-    if _powers.get("bloom_key") != key:
+    key, pieces = filter_.value
+    if _powers.get("bloom_key") != key:  # a worker serves many tasks
         bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
         piece = len(bits) // 64
-        for i, x in filter_.value.items():
+        for i, x in pieces.items():
             bits[i * piece : (i + 1) * piece] = np.frombuffer(zstandard.decompress(x), dtype=np.uint8)
         _powers["bloom_key"], _powers["bloom_bits"] = key, bits
     bits = _powers["bloom_bits"]

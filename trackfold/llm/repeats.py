@@ -38,7 +38,7 @@ from trackfold.llm.common import Rolling, bloom, checkpointed, in_bloom, parts,
 
 _ROWS = 60_000
 #: Entries that a task holds before it sends them.
-_HELD = 1_500_000
+_HELD = 600_000
 
 
 @dataclass(frozen=True)
@@ -70,16 +70,13 @@ def parse(values: np.ndarray, bounds: np.ndarray, shape: Shape) -> Phrases:
     if m <= 0:
         return Phrases(none, none, none.view(np.uint64), none.view(np.uint64), none, none)
     roll = Rolling(values)
-    low = roll.every(k)
-    at = np.arange(len(low), dtype=np.int32)
-    reach, need = 1, w - k + 1
+    gram = roll.every(k)
+    low, reach, need = gram, 1, w - k + 1
     while reach < need:
         s = min(reach, need - reach)
-        less = low[s:] < low[:-s]
-        at = np.where(less, at[s:], at[:-s])
         low = np.minimum(low[s:], low[:-s])
         reach += s
-    at, low = at[:m], low[:m]
+    low = low[:m]
     counts = np.maximum(np.diff(bounds) - w + 1, 0)  # windows of each text
     valid = np.zeros(m + 1, dtype=np.int8)
     has = counts > 0
@@ -87,7 +84,8 @@ def parse(values: np.ndarray, bounds: np.ndarray, shape: Shape) -> Phrases:
     np.add.at(valid, bounds[:-1][has] + counts[has], -1)
     valid = np.cumsum(valid[:m]).astype(bool)
     turn = np.ones(m, dtype=bool)
-    turn[1:] = (at[1:] != at[:-1]) | ~valid[:-1]
+    # the trigger changes with the least gram, and where it was the window's first gram
+    turn[1:] = (low[1:] != low[:-1]) | (gram[: m - 1] == low[:-1]) | ~valid[:-1]
     turn[bounds[:-1][has]] = True
     lo = np.flatnonzero(turn & valid)
     if not len(lo):
@@ -180,14 +178,17 @@ def dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
 
     def send(held):
         x = np.concatenate(held)
-        x = x[np.lexsort((x["n"], x["doc"], x["h"], x["t"]))]
+        key = ((x["t"] % np.uint64(n_parts)) << np.uint64(40)) | x["t"]
+        order = np.argsort(key)
+        x, key = x[order], key[order]
+        near = key[1:] == key[:-1]
+        shared = np.flatnonzero(np.r_[False, near] | np.r_[near, False])
+        x[shared] = x[shared[np.lexsort((x["n"][shared], x["doc"][shared], x["h"][shared], key[shared]))]]
         again = _same(x, "t", "h")
         first = x["doc"][np.maximum.accumulate(np.where(again, 0, np.arange(len(x))))]
         done = x["doc"] > first
         settled, x = x[done], x[~done]
         part = (x["t"] % np.uint64(n_parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        x, part = x[order], part[order]
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
         blobs = [_pack(x[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "doc_id": pa.nulls(len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
