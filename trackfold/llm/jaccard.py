@@ -7,9 +7,10 @@ only groups meet under a prefix shingle, where their sizes and the shingle's pla
 bound the overlap they can reach. Surviving group pairs are expanded to members,
 and each pair of different sets is verified on its texts.
 
-Connectivity, not all pairs, is what classes need: first each shingle's groups are
-verified against two leaders; links join classes; then only pairs still in different
-classes are verified, every one of them, so no link between different classes is lost.
+Connectivity, not all pairs, is what classes need: first each group is verified
+against the two leaders it meets under most shingles, links join classes, and this is
+repeated for members of different classes; then every pair that is still in different
+classes is verified, so no link between different classes is lost.
 
 The order's frequencies are counted over all documents in SLOTS hashed slots, a fixed
 size: slots may be shared, which costs candidates and never a link.
@@ -34,6 +35,10 @@ WORDS = 5
 #: The threshold as a fraction: inter * DEN >= union * NUM.
 NUM, DEN = 3, 4
 SLOTS = 1 << 20
+#: Members of a run that others are tried with, and how often, before all remaining pairs are.
+LEADERS, TURNS = 4, 2
+#: Documents that others are verified against together, on average.
+TOGETHER = 64
 _ROWS = 60_000
 
 
@@ -229,27 +234,53 @@ def _can(n1, at1, n2, at2):
     return (np.minimum(n1 - at1, n2 - at2) >= need) & (np.minimum(n1, n2) * DEN >= np.maximum(n1, n2) * NUM)
 
 
+def _leads(token, ids, n, at, comp, seed: int):
+    """Of the members of runs: pairs with the LEADERS members of the run that come first by a hash, and in how many runs they meet. Only pairs of different classes that may reach the threshold."""
+    order = np.lexsort((mix(ids.view(np.uint64) + np.uint64(seed)), token))
+    token, ids, n, at, comp = token[order], ids[order], n[order], at[order], comp[order]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    size = np.diff(np.r_[first, len(token)])
+    begin, size = np.repeat(first, size), np.repeat(size, size)
+    pairs = []
+    for j in range(LEADERS):
+        me = np.flatnonzero(size > j)
+        lead = begin[me] + j
+        ok = (comp[me] != comp[lead]) & _can(n[me], at[me], n[lead], at[lead])
+        pairs.append(np.stack([ids[me[ok]], ids[lead[ok]]], axis=1))
+    pair, count = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+    return pa.RecordBatch.from_pydict({"id": pa.array(pair[:, 0]), "lead": pa.array(pair[:, 1]), "n": pa.array(count.astype(np.int64))})
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """For each member the two leaders that it meets most often: pairs (a, b)."""
+    one = found.groupBy("id", "lead").agg(F.sum("n").alias("n")).groupBy("id").agg(F.max(F.struct("n", "lead")).alias("x"), F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("y"))
+    each = one.select("id", F.explode(F.array_distinct(F.array("x.lead", -F.col("y.m")))).alias("lead"))
+    return each.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
 def led(run: DataFrame) -> DataFrame:
-    """Group pairs (a, b): each group of a run with the run's first and last."""
+    """Group pairs (a, b), at most two for each group."""
 
-    def pairs(batches):
+    def leads(batches):
         for b in batches:
             for blob in b.column("run").to_pylist():
                 x = _unpack(blob)
-                x = x[np.argsort(x[["token", "grp"]], order=("token", "grp"))]
-                start = np.r_[True, x["token"][1:] != x["token"][:-1]]
-                run_of = np.cumsum(start) - 1
-                first = np.flatnonzero(start)
-                last = np.r_[first[1:], len(x)] - 1
-                found = []
-                for lead in (first[run_of], last[run_of]):
-                    y = x[lead]
-                    ok = (y["grp"] != x["grp"]) & _can(x["n"].astype(np.int64), x["at"], y["n"].astype(np.int64), y["at"])
-                    found.append(np.stack([np.minimum(x["grp"], y["grp"])[ok], np.maximum(x["grp"], y["grp"])[ok]], axis=1))
-                p = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+                g = np.ascontiguousarray(x["grp"].astype(np.int64))
+                yield _leads(x["token"].astype(np.uint64), g, x["n"].astype(np.int64), x["at"].astype(np.int64), g, 0)
 
-    return run.mapInArrow(pairs, "a long, b long").distinct()
+    return _best(run.mapInArrow(leads, "id long, lead long, n long"))
+
+
+def led_across(rows: DataFrame, seed: int) -> DataFrame:
+    """rows: token, rep, n, at, comp, all of a token in one partition. Pairs (a, b) of different classes, at most two for each set."""
+
+    def leads(batches):
+        held = [b for b in batches if len(b)]
+        if held:
+            t = pa.Table.from_batches(held)
+            yield _leads(*(np.ascontiguousarray(t.column(c).to_numpy()) for c in ("token", "rep", "n", "at", "comp")), seed)
+
+    return _best(rows.mapInArrow(leads, "id long, lead long, n long"))
 
 
 def opened(run: DataFrame) -> DataFrame:
@@ -299,29 +330,49 @@ def across(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(pairs, "a long, b long").distinct()
 
 
+def _short(ranges):
+    """Ranges of at most half of _ROWS rows."""
+    for a, z in ranges:
+        for i in range(a, z, _ROWS // 2):
+            yield i, min(z, i + _ROWS // 2)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Of document pairs (a, b) those whose sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     some = may_hold(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", bloom(ids, "id"))
-    x = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    one = pairs.select("a").distinct()
+    blocks = max(1, -(-one.count() // TOGETHER))
+    block = F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("block")
+    asked = pairs.groupBy(block, "b").agg(F.collect_set("a").alias("with")).join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    held = some.withColumnRenamed("doc_id", "a").join(one, "a", "left_semi").groupBy(block).agg(F.collect_list(F.struct("a", "text")).alias("held"))
+    x = asked.join(held, "block").select("b", "tb", F.filter("held", lambda h: F.array_contains("with", h.a)).alias("held"))
 
     def run(batches):
         for b in batches:
-            ta, tb = texts_of(b, "ta"), texts_of(b, "tb")
-            keep = np.zeros(len(b), dtype=bool)
-            for i, j in steps(len(p) + len(q) for p, q in zip(ta, tb, strict=True)):
-                j = min(j, i + _ROWS // 2)
-                own = list(dict.fromkeys(ta[i:j] + tb[i:j]))
+            tb = texts_of(b, "tb")
+            lists = b.column("held")
+            n = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            ta = texts_of(pa.RecordBatch.from_arrays([flat.field("text")], names=["text"]))
+            ida = flat.field("a").to_numpy()
+            owner = np.repeat(np.arange(len(b)), n)
+            idb = b.column("b").to_numpy()[owner]
+            keep = np.zeros(len(ta), dtype=bool)
+            for i, j in _short(steps(len(t) + len(tb[o]) for t, o in zip(ta, owner.tolist(), strict=True))):
+                whose = owner[i:j].tolist()
+                own = list(dict.fromkeys([*ta[i:j], *(tb[o] for o in whose)]))
                 at = {t: m for m, t in enumerate(own)}
                 h, bounds = shingle_sets(own, k)
                 sets = [h[p:q] for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
-                for m in range(i, j):
-                    p, q = sets[at[ta[m]]], sets[at[tb[m]]]
-                    both = int(np.isin(p, q, assume_unique=True, kind="sort").sum()) if len(p) and len(q) else 0
-                    keep[m] = both > 0 and both * DEN >= (len(p) + len(q) - both) * NUM
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+                for m, o in zip(range(i, j), whose, strict=True):
+                    p, q = sets[at[ta[m]]], sets[at[tb[o]]]
+                    if min(len(p), len(q)) * DEN >= max(len(p), len(q)) * NUM and len(p):
+                        both = int(np.isin(p, q, assume_unique=True, kind="sort").sum())
+                        keep[m] = both * DEN >= (len(p) + len(q) - both) * NUM
+            yield pa.RecordBatch.from_pydict({"a": pa.array(ida[keep]), "b": pa.array(idb[keep])})
 
-    return x.mapInArrow(run, "a long, b long")
+    return x.mapInArrow(run, "a long, b long").distinct()
 
 
 def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -340,14 +391,22 @@ def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
     links = checkpointed(verified(tried, docs, k))
     comp = components(links)
     # pairs that are left: a token, or a group of several sets, over more than one class
-    rows = opened(run).union(groups.where("m > 1").select(F.xxhash64("grp").alias("token"), "grp", "n", F.lit(0).cast("bigint").alias("at")))
-    rows = rows.join(sets.select("grp", "rep"), "grp").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("comp"))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rest = across(rows.join(mixed, "token", "left_semi").repartition(parts(spark), "token"))
-    rest = checkpointed(rest.join(tried, ["a", "b"], "left_anti"))
-    links2 = checkpointed(verified(rest, docs, k))
-    if not links2.isEmpty():
-        comp = components(links.union(links2))
+    rows = opened(run).union(groups.where("m > 1").select(F.xxhash64("grp").alias("token"), "grp", "n", F.lit(0).cast("bigint").alias("at"))).join(sets.select("grp", "rep"), "grp")
+
+    def apart() -> DataFrame:
+        x = rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("comp"))
+        mixed = x.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        return x.join(mixed, "token", "left_semi").repartition(parts(spark), "token")
+
+    for turn in range(1, TURNS + 2):
+        # the last turn takes every pair of different classes
+        pairs = led_across(apart(), turn) if turn <= TURNS else across(apart())
+        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
+        more = checkpointed(verified(pairs, docs, k))
+        if not more.isEmpty():
+            links = links.union(more)
+            comp = components(links)
+        tried = tried.union(pairs)
     named = sets.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set1", "set2", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("component_id"))
     # a class is named by the smallest member, which is a representative
     same = sig.join(named, (sig.set1 == named.set1) & (sig.set2 == named.set2) & (sig.n_shingles == named._n), "left")
