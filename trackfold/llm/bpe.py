@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import json
 import random
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from trackfold.llm.common import checkpointed, parts, ragged, table
 
 #: Words a task holds before it sends a block on.
-BLOCK_WORDS = 8_000_000
+BLOCK_WORDS = 3_000_000
 #: Words in one row of the fold.
 FOLD_ROWS = 4096
 _BITS = 17
@@ -80,7 +79,7 @@ def rank_table(path: str) -> tuple[str, str, str]:
 
 @functools.cache
 def odd_tokens(path: str) -> dict[str, int]:
-    """Words that are a token but that merging by ranks would not put together; usually none."""
+    """Words that are a token but that merging by ranks would not put together. A vocabulary with such tokens is refused."""
     ranks = vocabulary(path)
     odd = {}
     for token, rank in ranks.items():
@@ -103,10 +102,9 @@ def _let(value: Column, body) -> Column:
 
 
 def encoded(word: Column, path: str) -> Column:
-    """ids of a word: an array<int> column."""
-    first, base, places = rank_table(path)
-    of_byte, base, places = F.split(F.lit(first), ",").cast("array<int>"), F.split(F.lit(base), ",").cast("array<int>"), F.split(F.lit(places), ",").cast("array<bigint>")
-    none = F.lit(max(vocabulary(path).values()) + 1)
+    """ids of a word: an array<int> column. word: the ids of its bytes, between two of an id that merges with nothing."""
+    _, base, places = rank_table(path)
+    base, places = F.split(F.lit(base), ",").cast("array<int>"), F.split(F.lit(places), ",").cast("array<bigint>")
 
     def rank(a: Column, b: Column) -> Column:
         """_LIMIT or more: the pair does not merge."""
@@ -125,17 +123,9 @@ def encoded(word: Column, path: str) -> Column:
 
         return _let(F.array_min(s.ranks), merge)
 
-    digits = F.hex(F.encode(word, "utf-8"))
-    ids = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.get(of_byte, F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int")))
-    ids = F.concat(F.array(none), ids, F.array(none))
-    ranks = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: rank(F.get(x, i), F.get(x, i + 1)))
-    start = _let(ids, lambda x: F.struct(x.alias("ids"), ranks(x).alias("ranks")))
-    out = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step, lambda s: F.slice(s.ids, F.lit(2), F.size(s.ids) - 2))
-    odd = odd_tokens(path)
-    if odd:
-        known = F.from_json(F.lit(json.dumps(odd)), "map<string,int>")
-        out = F.when(F.map_contains_key(known, word), F.array(F.try_element_at(known, word))).otherwise(out)
-    return out
+    ranks = F.transform(F.sequence(F.lit(0), F.size(word) - 2), lambda i: rank(F.get(word, i), F.get(word, i + 1)))
+    start = F.struct(word.alias("ids"), ranks.alias("ranks"))
+    return F.aggregate(F.slice(word, F.lit(3), F.size(word) - 3), start, step, lambda s: F.slice(s.ids, F.lit(2), F.size(s.ids) - 2))
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
@@ -172,17 +162,17 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
         def send():
             key = (place << 32) | number
             if not words:  # texts without words
-                flat, names, index = None, pa.array([], pa.string()), np.zeros(0, np.int64)
+                flat, names, index = None, pa.array([], pa.string()), np.zeros(0, np.int32)
             else:
                 flat = pa.chunked_array(words).unify_dictionaries()
                 names = flat.chunk(0).dictionary
-                index = np.concatenate([c.indices.to_numpy() for c in flat.chunks])
+                index = np.concatenate([c.indices.to_numpy() for c in flat.chunks])  # 32 bits
             freq = np.bincount(index, minlength=len(names))
             order = np.argsort(-freq, kind="stable")
-            place_of = np.empty(len(order), dtype=np.int64)
-            place_of[order] = np.arange(len(order))
+            place_of = np.empty(len(order), dtype=np.int32)
+            place_of[order] = np.arange(len(order), dtype=np.int32)
             names = names.take(pa.array(order))
-            stream = _zip(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(counts).astype(np.int32) if counts else np.zeros(0, np.int32), place_of[index].astype(np.int32))
+            stream = _zip(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(counts).astype(np.int32) if counts else np.zeros(0, np.int32), place_of[index])
             out = [(0, key, 0, stream)]
             if len(names):
                 raw = names.to_pylist()
@@ -217,6 +207,12 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
 
     sent = checkpointed(cut.mapInArrow(block, "kind int, block long, part int, blob binary"))
 
+    of_byte = np.array(rank_table(path)[0].split(","), dtype=np.int32)
+    none = max(vocabulary(path).values()) + 1
+    odd = odd_tokens(path)
+    if odd:
+        raise ValueError(f"{len(odd)} tokens of {path} do not merge by ranks")
+
     def meet(batches):
         """Rows: distinct words, and which of them each block asked for."""
         held = []
@@ -238,10 +234,15 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
         key, local, index = key[order], local[order], index[order]
         cuts = np.searchsorted(index // FOLD_ROWS, np.arange(-(-len(names) // FOLD_ROWS) + 1))
         for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            w = names.slice(i * FOLD_ROWS, FOLD_ROWS).cast(pa.string())
+            w = names.slice(i * FOLD_ROWS, FOLD_ROWS).cast(pa.large_binary())
+            size = pc.binary_length(w).to_numpy()
+            ids = np.full(int(size.sum()) + 2 * len(w), none, dtype=np.int32)
+            at = np.cumsum(size + 2) - size - 2
+            ids[ragged(at + 1, size)] = of_byte[np.frombuffer(b"".join(w.to_pylist()), np.uint8)]
+            w = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), w), pa.array([_zip(key[a:z], local[a:z], (index[a:z] % FOLD_ROWS).astype(np.int32))], pa.binary())], names=["words", "asked"])
 
-    asked = sent.where("kind = 1").select("block", "part", "blob").repartition(n_parts, "part").mapInArrow(meet, "words array<string>, asked binary")
+    asked = sent.where("kind = 1").select("block", "part", "blob").repartition(n_parts, "part").mapInArrow(meet, "words array<array<int>>, asked binary")
     folded = asked.select(F.transform("words", lambda w: encoded(w, path)).alias("ids"), "asked")
 
     def answer(batches):
@@ -278,8 +279,8 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
             length[local] = size
             bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
             a = 0
-            while a < len(ids):  # about a million words at a time
-                z = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 1_000_000, "right")) - 1)
+            while a < len(ids):  # some words at a time
+                z = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 300_000, "right")) - 1)
                 w = index[bounds[a] : bounds[z]]
                 n = length[w]
                 yield finish(ids[a:z], bounds[a : z + 1] - bounds[a], flat[ragged(begin[w], n)], np.concatenate([[0], np.cumsum(n)]))
