@@ -1,6 +1,577 @@
-"""All queries of the engine by name, and their SQL."""
+"""All queries of the engine by name, and their SQL.
+
+Tables stand in for measurements: orders are colonies and their lines cells; events of
+a user are a series in time; line items are pixels with two labels; embeddings' first
+two components are places in a plane. Numbers are rounded to six decimals on both
+sides, as sums differ in their last bits with the order of adding.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackfold.functions import plates, scalar
+from trackfold.operators import conditions, describe, growth, lineage, lysis, scoring, segmentation, series, spatial, timebin
+from trackfold.sources import tables
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def big(df: DataFrame) -> DataFrame:
+    """Integers of one width on both sides."""
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return big(rounded(df))
+
+
+# a series of each user: microseconds since the first event, an area, a path in a forest of fifteen roots
+def events(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = e.select(F.min(us)).scalar()
+    path = F.when(F.col("user_id") < 15, F.col("user_id").cast("string")).otherwise(F.concat_ws(".", F.col("user_id") % 15, F.floor(F.col("user_id") / 15)))
+    return e.select((F.col("user_id") % 5).cast("string").alias("label"), F.col("user_id").alias("series_key"), path.alias("lineage"), "event_id", "event_type", (us - first).alias("us"), ((us - first) / 1e6).alias("time"), F.col("value").alias("area"))
+
+
+EVENTS = """e as (select (user_id % 5)::varchar as label, user_id as series_key,
+  case when user_id < 15 then user_id::varchar else (user_id % 15)::varchar || '.' || (user_id // 15)::varchar end as lineage, event_id, event_type,
+  epoch_us(ts) - (select min(epoch_us(ts)) from events) as us, (epoch_us(ts) - (select min(epoch_us(ts)) from events)) / 1e6 as time, value as area from events)"""
+
+
+def _stats(m: str, x: str) -> str:
+    return f"""count({x})::bigint as {m}_count, round(avg({x}), 6) as {m}_mean, round(stddev_samp({x}), 6) as {m}_std, min({x}) as {m}_min,
+  round(quantile_cont({x}, 0.25), 6) as {m}_p25, round(quantile_cont({x}, 0.5), 6) as {m}_p50, round(quantile_cont({x}, 0.75), 6) as {m}_p75, max({x}) as {m}_max"""
+
+
+@query(f"""select o_orderkey, {_stats("price", "l_extendedprice")}, {_stats("quantity", "l_quantity")},
+  round(avg(l_extendedprice) * count(l_extendedprice), 6) as price_total, t as time, round(t / 3600, 6) as time_hours, round(t / 86400, 6) as time_days,
+  (floor(t / 900) * 900)::bigint as round_time, round(floor(t / 900) * 900 / 3600, 6) as round_time_hours, round(floor(t / 900) * 900 / 86400, 6) as round_time_days,
+  round(floor(floor(t / 900) * 900 / 3600 * 60 / 30) * 30 / 60, 6) as time_bin_30min, round(floor(floor(t / 900) * 900 / 3600 * 60 / 15) * 15 / 60, 6) as time_bin_15min
+from (select o_orderkey, (epoch_us(o_orderdate) - epoch_us(timestamp '1992-01-01')) / 1e6 as t from orders) o left join lineitem on l_orderkey = o_orderkey group by o_orderkey, t""")
+def describe_owned(s, d):
+    """J1, A1, P2, P4, P5."""
+    o = read(s, d, "orders").select("o_orderkey", timebin.elapsed_seconds(F.col("o_orderdate"), F.to_timestamp(F.lit("1992-01-01"))).alias("time"))
+    li = read(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
+    return shown(timebin.with_time_bins(timebin.with_units(describe.describe_owned(o, li, ["o_orderkey"], ["price", "quantity"]))))
+
+
+@query(f"select l_returnflag, l_linestatus, {_stats('price', 'l_extendedprice')} from lineitem group by all")
+def describe_groups(s, d):
+    """A1."""
+    return shown(describe.describe(read(s, d, "lineitem").withColumnRenamed("l_extendedprice", "price"), ["l_returnflag", "l_linestatus"], ["price"]))
+
+
+@query("select o_orderkey, o_totalprice, l_linenumber::bigint as l_linenumber from orders join lineitem on l_orderkey = o_orderkey")
+def zipped(s, d):
+    """J2."""
+    return big(describe.zipped(read(s, d, "orders").select("o_orderkey", "o_totalprice"), read(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"), ["o_orderkey"]))
+
+
+@query("select l_orderkey, list(l_quantity order by l_linenumber, l_quantity) as history from lineitem group by l_orderkey")
+def histories(s, d):
+    """A10."""
+    return describe.contents_by_group(read(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber"], "l_quantity", "history")
+
+
+@query("select c_nationkey::bigint as c_nationkey, list(c_custkey order by c_custkey) as positions from customer group by c_nationkey having count(*) > 1")
+def duplicate_keys(s, d):
+    """A9."""
+    return big(describe.duplicates(read(s, d, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey"))
+
+
+@query("""select l_returnflag, round(coalesce(case when n >= 3 then (sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy) end, 0), 4) as a, round(coalesce(case when n >= 3 then (syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy) end, 0), 4) as b from (
+  select l_returnflag, count(*) as n, sum(x * x) - sum(x) * sum(x) / count(*) as sxx, sum(y * y) - sum(y) * sum(y) / count(*) as syy, sum(x * y) - sum(x) * sum(y) / count(*) as sxy,
+  sum(x * z) - sum(x) * sum(z) / count(*) as sxz, sum(y * z) - sum(y) * sum(z) / count(*) as syz from (select l_returnflag, l_quantity as x, l_linenumber::double as y, l_discount * 100 as z from lineitem) group by l_returnflag)""")
+def tilt_plane(s, d):
+    """A15."""
+    li = read(s, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), F.col("l_linenumber").cast("double").alias("y"), (F.col("l_discount") * 100).alias("z"))
+    return describe.plane(li, ["l_returnflag"], "x", "y", "z").select("l_returnflag", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+
+
+@query(f"with {EVENTS} select event_id, round(time, 6) as time, round(time / 3600, 6) as time_hours, round(floor(floor(time / 900) * 900 / 3600 * 60 / 30) * 30 / 60, 6) as time_bin_30min, round(floor(floor(time / 900) * 900 / 3600 * 60 / 15) * 15 / 60, 6) as time_bin_15min from e")
+def time_bins(s, d):
+    """P4, P5."""
+    return shown(timebin.with_time_bins(timebin.with_units(events(s, d))).select("event_id", "time", "time_hours", "time_bin_30min", "time_bin_15min"))
+
+
+@query(f"""with {EVENTS} select series_key, min(us) as first_at, max(us) as last_at, round(arg_min(area, us), 6) as first_value, round(arg_max(area, us), 6) as last_value,
+  min(us) filter (where area = m) as max_at, round(max(area), 6) as max_value from (select *, max(area) over (partition by series_key) as m from e) group by series_key""")
+def series_edges(s, d):
+    """W3."""
+    return shown(series.edges(events(s, d), ["series_key"], "us", "area"))
+
+
+@query(f"""with {EVENTS}, f as (select *, row_number() over (partition by series_key order by us, event_id) as n, coalesce(lead(event_id % 7 = 0) over (partition by series_key order by us, event_id), false) as a from e)
+select event_id, n = min(case when a then n end) over (partition by series_key) is true as terminates from f""")
+def termination_markers(s, d):
+    """W1."""
+    e = events(s, d).withColumn("flag", F.col("event_id") % 7 == 0)
+    return series.termination(e, ["series_key"], ["us", "event_id"], "flag").select("event_id", "terminates")
+
+
+@query(f"with {EVENTS} select event_id, row_number() over (partition by series_key order by us desc, event_id desc) = 1 as is_last from e")
+def last_rows(s, d):
+    """W2."""
+    return series.last_row(events(s, d), ["series_key"], ["us", "event_id"]).select("event_id", "is_last")
+
+
+@query(f"with {EVENTS} select event_id, round((max(us) over w - min(us) over w) / 3.6e9, 6) as present_for_duration, round(avg(area) over w, 6) as mean_area from e window w as (partition by series_key)")
+def present_durations(s, d):
+    """A5-A7, W4."""
+    e = events(s, d).withColumn("hours", F.col("us") / 3.6e9)
+    return shown(series.with_group(series.present_duration(e, ["series_key"], "hours"), ["series_key"], mean_area=F.avg("area")).select("event_id", "present_for_duration", "mean_area"))
+
+
+@query(f"with {EVENTS} select event_id, coalesce(sum(event_id % 11) over (partition by series_key order by us, event_id rows between unbounded preceding and 1 preceding), 0)::bigint as cumulative_shift from e")
+def cumulative_offsets(s, d):
+    """W8."""
+    return big(series.cumulative(events(s, d).withColumn("shift", F.col("event_id") % 11), ["series_key"], ["us", "event_id"], ["shift"]).select("event_id", "cumulative_shift"))
+
+
+@query(f"with {EVENTS} select event_id, round(nth_value(area, 2) over (partition by series_key order by us, event_id rows between unbounded preceding and unbounded following), 6) as area_nth from e")
+def second_values(s, d):
+    """W9."""
+    return shown(series.nth(events(s, d), ["series_key"], ["us", "event_id"], "area", 2).select("event_id", "area_nth"))
+
+
+@query(f"""with {EVENTS}, a as (select series_key, us, event_id, time - lag(time) over (partition by series_key order by us, event_id) as dt from e),
+b as (select *, dt < 2.5 * min(dt) over (partition by series_key) as short from a where dt is not null),
+c as (select *, case when lag(short) over w is not distinct from short then 0 else 1 end as turn from b window w as (partition by series_key order by us, event_id)),
+i as (select *, sum(turn) over (partition by series_key order by us, event_id) as island from c),
+r as (select series_key, island, short, count(*) as n from i group by all),
+p as (select series_key, n, island, max(island) over (partition by series_key) as last from r where short)
+select r.series_key, case when r.short then 0 else 1 end::bigint as start_index, coalesce(x.depth, 1)::bigint as depth from r left join (select series_key, round(avg(n)) + 1 as depth from p where island < last group by series_key) x on x.series_key = r.series_key where r.island = 1""")
+def stack_depths(s, d):
+    """W10."""
+    return big(series.stack_depth(events(s, d), ["series_key"], ["us", "event_id"], "time"))
+
+
+@query(f"""with {EVENTS} select event_id, area > coalesce(lag(area) over w, '-inf'::double) and area > coalesce(lead(area) over w, '-inf'::double) and area >= 50 as is_peak from e window w as (partition by series_key order by us, event_id)""")
+def local_peaks(s, d):
+    """W12."""
+    return series.local_maxima(events(s, d), ["series_key"], ["us", "event_id"], "area", 50.0).select("event_id", "is_peak")
+
+
+@query(f"with {EVENTS} select series_key, round(regr_slope(log2(area), time / 3600), 6) as slope from e where area > 0 group by series_key")
+def growth_slopes(s, d):
+    """A13."""
+    return shown(series.slopes(events(s, d).where("area > 0"), ["series_key"], F.log2("area"), F.col("time") / 3600))
+
+
+@query(f"""with {EVENTS}, g as (select series_key, count(*)::bigint as tracking_count, round(max(time) - min(time), 6) as tracking_time, round(arg_min(area, time), 6) as area_first, round(arg_max(area, time), 6) as area_last, regr_slope(log2(area), time) as r from e where area > 0 group by series_key)
+select series_key, tracking_count, tracking_time, area_first, area_last, round(case when tracking_count > 10 then r * 3600 else -1 end, 6) as doublings_per_hour from g""")
+def growth_summaries(s, d):
+    """A14."""
+    g = series.growth_summary(events(s, d), ["series_key"], "time", "area")
+    rate = F.when(F.col("tracking_count") > 10, 1 / F.col("doubling_time")).otherwise(-1.0)
+    return shown(g.select("series_key", "tracking_count", "tracking_time", "area_first", "area_last", rate.alias("doublings_per_hour")))
+
+
+@query(f"""with {EVENTS}, q as (select event_type, quantile_cont(area, 0.01) as lo, quantile_cont(area, 0.99) as hi from e group by event_type)
+select event_id, round(least(greatest(area, lo), hi), 6) as area_clipped from e join q on q.event_type is not distinct from e.event_type""")
+def clipped_values(s, d):
+    """A16."""
+    return shown(series.normal_range(events(s, d), ["event_type"], "area", 1, 99).select("event_id", "area_clipped"))
+
+
+@query(f"with {EVENTS} select event_id, event_type, series_key from (select *, row_number() over (partition by event_type, series_key order by us, event_id) as n from e) where n = 1")
+def first_of_type(s, d):
+    """T9, U5."""
+    return series.first_rows(events(s, d), ["event_type", "series_key"], ["us", "event_id"]).select("event_id", "event_type", "series_key")
+
+
+def _lysis_input(s, d):
+    e = events(s, d).withColumn("time_hours", F.col("us") / 3.6e9).withColumn("round_time_hours", F.floor(F.col("us") / 9e8) * 0.25)
+    return e.select("label", "series_key", "lineage", "event_id", F.col("us").alias("time_index"), "time_hours", "round_time_hours", F.col("area").alias("colony_area"), (F.col("event_id") % 100).cast("double").alias("ss_area_count"), (F.col("area") / 1000).alias("ss_area_total_growth_rate"), ((F.col("event_id") % 10) / 100).alias("ss_area_count_growth_rate"))
+
+
+@query(f"""with {EVENTS}, a as (select *, us / 3.6e9 as h, floor(us / 9e8) * 0.25 as rh, (event_id % 100)::double as n from e),
+g as (select label, series_key, lineage, max(us) as last_us, max(h) as last_h, min(h) as first_h, max(area) as m, avg(area / 1000) as ra, avg((event_id % 10) / 100) as rc from a group by all),
+x as (select g.*, min(us) as iu from g join a on a.series_key = g.series_key and a.area = g.m group by all),
+y as (select x.*, a.n, a.rh, (select max(rh) from a b where b.label = x.label) as fin from x join a on a.series_key = x.series_key and a.us = x.iu),
+z as (select *, iu <> last_us as lys, last_h >= 4 as pe, first_h < 0.2 as ps from y),
+p as (select *, not (lys and pe) as pr from z),
+o as (select *, case when pr then ra * (fin - rh) + m else m end as ca from p),
+t as (select distinct label, label || lineage as l from o where lys),
+k as (select distinct label, label || lineage as l, unnest(string_split(label || lineage, '.')) as tok from o),
+st as (select distinct k.label, k.l from k join t on t.label = k.label and t.l = k.tok)
+select o.series_key, o.iu as cmax_time_index, o.iu = o.last_us as cmax_at_eop, o.pe as present_at_end, o.ps as present_at_start, round(o.ca, 6) as cmax_colony_area,
+  round(case when pr then rc * (fin - rh) + ca else n end, 6) as cmax_cell_count, round(case when pr then fin else rh end, 6) as cmax_time, (o.lys or st.l is not null) as colony_lysis
+from o left join st on st.label = o.label and st.l = o.label || o.lineage""")
+def lysis_events(s, d):
+    """W15, J13, A6, A7."""
+    out = lysis.with_lysis(_lysis_input(s, d))
+    return shown(out.select("series_key", "cmax_time_index", "cmax_at_eop", "present_at_end", "present_at_start", "cmax_colony_area", "cmax_cell_count", "cmax_time", "colony_lysis").distinct())
+
+
+_IDS = f"with {EVENTS}, i as (select distinct label, lineage from e)"
+
+
+@query(_IDS + " select label, lineage from i where not exists (select 1 from i j where j.label = i.label and j.lineage <> i.lineage and starts_with(i.lineage, j.lineage))")
+def lineage_roots(s, d):
+    """J11."""
+    return lineage.roots(events(s, d), "label", "lineage")
+
+
+@query(_IDS + " select label, lineage from i where not exists (select 1 from i j where j.label = i.label and j.lineage <> i.lineage and starts_with(i.lineage, j.lineage || '.'))")
+def lineage_roots_strict(s, d):
+    return lineage.roots(events(s, d), "label", "lineage", strict=True)
+
+
+@query(_IDS + """, r as (select label, lineage from i where not exists (select 1 from i j where j.label = i.label and j.lineage <> i.lineage and starts_with(i.lineage, j.lineage)))
+select e.label, r.lineage as root, round(floor(us / 9e8) * 0.25, 6) as round_time_hours, round(sum(area), 6) as area, count(*)::bigint as one, min(us) as us from e join r on r.label = e.label and (e.lineage = r.lineage or starts_with(e.lineage, r.lineage || '.')) group by all""")
+def lineage_rollup(s, d):
+    """J10, A2."""
+    e = events(s, d).withColumn("round_time_hours", F.floor(F.col("us") / 9e8) * 0.25).withColumn("one", F.lit(1.0))
+    out = lineage.rolled_up(e, "label", "lineage", "round_time_hours", ["us", "event_id"], ["area", "one"], ["us"])
+    return shown(out.withColumn("one", F.col("one").cast("bigint")))
+
+
+@query(_IDS + ", l as (select label, lineage, max(us) as us from e group by all) select l.label, l.lineage, l.us from l where not exists (select 1 from i j where j.label = l.label and j.lineage <> l.lineage and starts_with(j.lineage, l.lineage))")
+def vanished_colonies(s, d):
+    """W2, J12."""
+    return lineage.vanished(events(s, d), "label", "lineage", "us").select("label", "lineage", "us")
+
+
+@query(_IDS + " select label, lineage, regexp_replace(lineage, '\\.?[^.]*$', '') as parent from i")
+def lineage_parents(s, d):
+    """F9."""
+    return events(s, d).select("label", "lineage").distinct().withColumn("parent", lineage.parent(F.col("lineage")))
+
+
+# experiment, condition, repeat of an order: region, segment, nation
+def _conditions(s, d):
+    o = read(s, d, "orders").join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(read(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return o.select("o_orderkey", F.col("r_name").alias("experiment"), F.col("c_mktsegment").alias("medium"), F.col("n_name").alias("nation"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("concentration"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("row"), F.month("o_orderdate").alias("col"))
+
+
+_COND = """c as (select o_orderkey, r_name as experiment, c_mktsegment as medium, n_name as nation, substr(o_orderpriority, 1, 1)::int - 1 as concentration, o_totalprice as price, o_orderstatus as row_, month(o_orderdate) as col_
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+
+
+@query(f"with {_COND} select o_orderkey, dense_rank() over (partition by experiment, medium order by nation)::bigint as repeat from c")
+def repeat_ranks(s, d):
+    """W5."""
+    return conditions.repeats(_conditions(s, d), ["experiment", "medium"], ["concentration"], "nation").select("o_orderkey", "repeat")
+
+
+@query(f"""with {_COND}, f as (select experiment, medium, nation, min(o_orderkey) as k from c group by all), r as (select *, row_number() over (partition by experiment, medium order by k) as n from f)
+select o_orderkey, r.n::bigint as replicate from c join r on r.experiment = c.experiment and r.medium = c.medium and r.nation = c.nation""")
+def replicate_numbers(s, d):
+    """W6, J14."""
+    return conditions.replicates(_conditions(s, d), ["experiment", "medium"], "nation", "o_orderkey").select("o_orderkey", "replicate")
+
+
+@query(f"""with {_COND}, n as (select experiment, count(distinct row_) as n from c where col_ <> 12 group by experiment), f as (select *, coalesce(sum(n) over (order by experiment rows between unbounded preceding and 1 preceding), 0) as o from n),
+x as (select *, dense_rank() over (partition by experiment, col_ = 12 order by row_) as k from c)
+select o_orderkey, (case when col_ = 12 then (k - 1) % n else k - 1 end + 1 + o)::bigint as repeat from x join f on f.experiment = x.experiment""")
+def repeats_beside_controls(s, d):
+    """W7, P9."""
+    return conditions.repeats_beside_control(_conditions(s, d), "experiment", "row", "col").select("o_orderkey", "repeat")
+
+
+@query(f"with {_COND} select o_orderkey, round(price / avg(case when concentration = 0 then price end) over (partition by experiment, medium), 6) as price_normalised from c")
+def normalised_to_control(s, d):
+    """A3."""
+    return shown(conditions.normalised(_conditions(s, d), "price", ["experiment", "medium"], "concentration").select("o_orderkey", "price_normalised"))
+
+
+@query(f"""with {_COND}, g as (select experiment, col_, avg(price) as m from c group by experiment, col_), m as (select *, row_number() over (partition by experiment order by col_) as n from g)
+select o_orderkey, round(price / m, 6) as price_to_self from c left join m on m.experiment = c.experiment and m.n = 2""")
+def normalised_to_second_bin(s, d):
+    """A4, W9."""
+    return shown(conditions.normalised_to_self(_conditions(s, d), "price", ["experiment"], "col").select("o_orderkey", "price_to_self"))
+
+
+@query("""select l_orderkey, l_linenumber::bigint as l_linenumber, round(greatest(l_tax, l_discount), 6) as concentration, case when l_tax = greatest(l_tax, l_discount) then 'tax' when l_discount = greatest(l_tax, l_discount) then 'discount' end as antibiotic from lineitem""")
+def dominant_columns(s, d):
+    """P12."""
+    li = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_tax").alias("tax (uM)"), F.col("l_discount").alias("discount (uM)"))
+    return shown(conditions.dominant(li, ["tax (uM)", "discount (uM)"]).select("l_orderkey", "l_linenumber", "concentration", "antibiotic"))
+
+
+@query("select c_custkey, coalesce(c_mktsegment, 'none') as segment from customer where c_nationkey is not distinct from 3 or c_mktsegment is not distinct from 'BUILDING'")
+def null_safe_predicate(s, d):
+    """P10, P11."""
+    c = read(s, d, "customer").where(conditions.matches(c_nationkey=3) | conditions.matches(c_mktsegment="BUILDING"))
+    return conditions.replaced_name(c.withColumn("segment", F.lit(None).cast("string")), "c_mktsegment", "segment").select("c_custkey", F.coalesce("segment", F.lit("none")).alias("segment"))
+
+
+# pixels: line items, labels by supplier and by part
+def _pixels(s, d):
+    gt = (F.col("l_suppkey") % 50).cast("int")
+    return read(s, d, "lineitem").select(F.col("l_returnflag").alias("img"), F.when(F.col("l_partkey") % 10 == 0, (F.col("l_partkey") % 50).cast("int")).otherwise(gt).alias("pred"), gt.alias("gt"))
+
+
+_PIXELS = """p as (select l_returnflag as img, (case when l_partkey % 10 = 0 then l_partkey % 50 else l_suppkey % 50 end)::bigint as pred, (l_suppkey % 50)::bigint as gt from lineitem),
+ct as (select img, pred, gt, count(*) as n from p group by all)"""
+
+
+@query(f"with {_PIXELS} select * from ct")
+def contingency(s, d):
+    return big(scoring.contingency(_pixels(s, d)))
+
+
+@query(f"""with {_PIXELS}, t as (select img, sum(n) filter (where pred <> 0 and gt <> 0) as tp, sum(n) filter (where pred <> 0 and gt = 0) as fp, sum(n) filter (where pred = 0 and gt <> 0) as fn, sum(n) filter (where pred = 0 and gt = 0) as tn,
+  sum(n) filter (where pred = gt) as eq, sum(n) as n, count(distinct nullif(pred, 0)) as n_pred, count(distinct nullif(gt, 0)) as n_gt from (select * from ct) group by img)
+select img, round(tp / (tp + coalesce(fp, 0) + coalesce(fn, 0)), 6) as iou, round(2 * tp / (2 * tp + coalesce(fp, 0) + coalesce(fn, 0)), 6) as dice, round(tp / (tp + coalesce(fp, 0)), 6) as "precision", round(tp / (tp + coalesce(fn, 0)), 6) as recall,
+  round(eq / n, 6) as accuracy, round(coalesce(fp, 0) / (coalesce(fp, 0) + coalesce(tn, 0)), 6) as fpr, round(coalesce(fn, 0) / (coalesce(fn, 0) + tp + coalesce(fn, 0)), 6) as fnr, n_pred, n_gt from t""")
+def mask_comparison(s, d):
+    """B1-B5, B11."""
+    return shown(scoring.compare(scoring.contingency(_pixels(s, d))))
+
+
+@query("""with t as (select count(*) filter (where quality = 1 and toxic = 1) as tp, count(*) filter (where quality = 1 and toxic = 0) as fp, count(*) filter (where quality = 0 and toxic = 1) as fn, count(*) filter (where quality = toxic) as eq, count(*) as n from labels)
+select 'all' as img, round(tp / (tp + fp + fn), 6) as iou, round(2 * tp / (2 * tp + fp + fn), 6) as dice, round(eq / n, 6) as accuracy from t""")
+def binary_comparison(s, d):
+    """B1-B4 on two flags."""
+    x = read(s, d, "labels").select(F.lit("all").alias("img"), F.col("quality").cast("int").alias("pred"), F.col("toxic").cast("int").alias("gt"))
+    return shown(scoring.compare(scoring.contingency(x)).select("img", "iou", "dice", "accuracy"))
+
+
+_AREAS = "pa as (select img, pred, sum(n) as pa from ct where pred <> 0 group by all), ga as (select img, gt, sum(n) as ga from ct where gt <> 0 group by all)"
+
+
+@query(f"""with {_PIXELS}, {_AREAS}, o as (select ct.img, ct.gt, ct.pred, n / (pa + ga - n) as iou from ct join pa on pa.img = ct.img and pa.pred = ct.pred join ga on ga.img = ct.img and ga.gt = ct.gt),
+b as (select *, row_number() over (partition by img, gt order by iou desc, pred) as r from o) select img, round(coalesce(avg(iou) filter (where r = 1 and iou >= 0.5), 0), 6) as matched_iou from b group by img""")
+def matched_overlap(s, d):
+    """B6."""
+    return shown(scoring.matched_iou(scoring.contingency(_pixels(s, d))))
+
+
+@query(f"""with {_PIXELS}, {_AREAS}, m as (select ct.img, ct.gt, ct.pred from ct join pa on pa.img = ct.img and pa.pred = ct.pred where ct.gt <> 0 and n / pa >= 0.75),
+g as (select ga.img, ga.gt, count(m.pred) as k from ga left join m on m.img = ga.img and m.gt = ga.gt group by all), l as (select pa.img, count(*) as lone from pa anti join m on m.img = pa.img and m.pred = pa.pred group by pa.img)
+select g.img, (sum(case when k = 0 then 1 else k - 1 end) + coalesce(max(lone), 0))::bigint as errors, coalesce(max(lone), 0)::bigint as unmatched from g left join l on l.img = g.img group by g.img""")
+def segmentation_errors(s, d):
+    """B7."""
+    return big(scoring.errors(scoring.contingency(_pixels(s, d))).select("img", "errors", "unmatched"))
+
+
+@query(f"with {_PIXELS}, {_AREAS}, k as (select img, unnest(range(1, max(gt) + 1)) as gt from ga group by img) select k.img, k.gt, coalesce(ga, 0)::bigint as area from k left join ga on ga.img = k.img and ga.gt = k.gt")
+def label_areas(s, d):
+    """A11."""
+    return big(scoring.areas(scoring.contingency(_pixels(s, d))))
+
+
+@query(f"""with {_PIXELS}, {_AREAS} select a.img, a.img as species, g as cell_count, round(p.m, 6) as mean_pred_area, round(a.m, 6) as mean_gt_area, round(p.m / a.m - 1, 6) as area_error from (select img, count(*) as g, sum(ga) / max(gt) as m from ga group by img) a join (select img, sum(pa) / max(pred) as m from pa group by img) p on p.img = a.img""")
+def scoring_results(s, d):
+    """B9, B10."""
+    return shown(scoring.results(scoring.metrics(scoring.contingency(_pixels(s, d)))).drop("mean_errors"))
+
+
+# points: frames by label, the first two components as places
+def _points(s, d):
+    x = lambda i: F.col("embedding")[i].cast("double") * 100
+    return read(s, d, "embeddings").where("label is not null").select(F.lit("a").alias("label"), F.col("label").cast("bigint").alias("time_index"), F.col("vec_id").alias("id"), x(0).alias("x"), x(1).alias("y"))
+
+
+_POINTS = "pt as (select 'a' as label, label::bigint as time_index, vec_id as id, embedding[1]::double * 100 as x, embedding[2]::double * 100 as y from embeddings where label is not null)"
+
+
+@query(f"""with {_POINTS}, c as (select a.time_index, a.id, b.id as o, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as dist from pt a join pt b on b.time_index = a.time_index - 1)
+select pt.id as left_id, coalesce(m.o, -1) as right_id, round(m.dist, 6) as distance from pt left join (select id, arg_min(o, (dist, o)) as o, min(dist) as dist from c where dist < 10 group by id) m on m.id = pt.id""")
+def nearest_in_previous(s, d):
+    """J5."""
+    p = _points(s, d)
+    before = p.withColumn("time_index", F.col("time_index") + 1)
+    return shown(spatial.nearest_within(p, before, ["time_index"], 10.0).select("left_id", "right_id", "distance"))
+
+
+@query(f"with {_POINTS} select a.id as left_id, b.id as right_id from pt a join pt b on b.time_index = a.time_index and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4")
+def points_within(s, d):
+    """J8."""
+    p = _points(s, d)
+    return spatial.within(p, p, ["time_index"], 2.0).select("left_id", "right_id")
+
+
+@query(f"""with {_POINTS}, c as (select a.time_index, a.id, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d2 from pt a join pt b on b.time_index = (select min(time_index) from pt z where z.time_index > a.time_index) group by all)
+select 'a' as label, time_index, round(avg(1 / (0.01 * d2 + 1)), 6) as score from c group by time_index""")
+def neighbour_scores(s, d):
+    """J6."""
+    return shown(spatial.neighbour_scores(_points(s, d)))
+
+
+@query("select label, time_index, lead as next from (select 'a' as label, label::bigint as time_index, lead(label::bigint) over (order by label) as lead from (select distinct label from embeddings where label is not null)) where lead is not null")
+def frame_pairs(s, d):
+    """J19."""
+    return spatial.pairs_of_frames(_points(s, d), "label", "time_index")
+
+
+@query()
+def tracked_points(s, d):
+    """J5 with ids handed on; a fold in time."""
+    return spatial.tracked(_points(s, d))
+
+
+@query("""with o as (select o_orderkey as cell, month(o_orderdate) as r, day(o_orderdate) as c from orders), p as (select month(l_shipdate) as r, day(l_shipdate) as c, max(l_suppkey) as owner from lineitem where l_quantity > 49 group by all)
+select cell, coalesce(owner, -1) as owner from o left join p on p.r = o.r and p.c = o.c""")
+def containment(s, d):
+    """J3."""
+    cells = read(s, d, "orders").select(F.lit(0).alias("f"), F.col("o_orderkey").alias("cell"), F.month("o_orderdate").alias("r"), F.dayofmonth("o_orderdate").alias("c"))
+    px = read(s, d, "lineitem").where("l_quantity > 49").select(F.lit(0).alias("f"), F.col("l_suppkey").alias("object"), F.month("l_shipdate").alias("r"), F.dayofmonth("l_shipdate").alias("c"))
+    return spatial.owners_by_containment(cells, px, ["f"]).select("cell", "owner")
+
+
+@query("select distinct l_suppkey as id, o_custkey as other from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 45")
+def outlines_touching(s, d):
+    """J20."""
+    a = read(s, d, "lineitem").where("l_quantity > 45").select(F.lit(0).alias("f"), F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("r"), F.lit(0).alias("c"))
+    b = read(s, d, "orders").select(F.lit(0).alias("f"), F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("r"), F.lit(0).alias("c"))
+    return spatial.touching(a, b, ["f"]).select("id", "other")
+
+
+@query("select d.doc_id, l.doc_id is null as is_debris_ml from documents d left join (select distinct doc_id from labels) l on l.doc_id = d.doc_id")
+def debris_flags(s, d):
+    """J16, S20."""
+    known = read(s, d, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
+    return read(s, d, "documents").select("doc_id").join(known, "doc_id", "left").select("doc_id", F.col("known").isNull().alias("is_debris_ml"))
+
+
+@query("select count(*) as unmatched from documents d anti join labels l on l.doc_id = d.doc_id")
+def unmatched_count(s, d):
+    """U6."""
+    return read(s, d, "documents").join(read(s, d, "labels"), "doc_id", "left_anti").agg(F.count("*").alias("unmatched"))
+
+
+@query("select s_suppkey as k, s_name as name, null::varchar as segment from supplier union all select c_custkey, c_name, c_mktsegment from customer")
+def widened_union(s, d):
+    """U1, U2."""
+    a = read(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    return conditions.union([a, None, read(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))])
+
+
+@query("select distinct l_suppkey % 50 as label from lineitem where l_suppkey % 50 <> 0")
+def labels_without_background(s, d):
+    """U3, U4."""
+    return read(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("label")).distinct().where("label <> 0")
+
+
+@query("""with x as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i from orders) select o_orderkey from x where i >= 10 and i < 500 and (i - 10) % 7 = 0""")
+def sliced(s, d):
+    """S2."""
+    from pyspark.sql import Window
+
+    x = read(s, d, "orders").select("o_orderkey").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1)
+    return series.projected_steps(x, "i", 10, 500, 7).select("o_orderkey")
+
+
+@query("select event_id, json_extract_string(props, '$.k')::bigint as k from events")
+def json_fields(s, d):
+    """S14, S15, F23."""
+    return read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("""select o_orderkey, coalesce(isfinite(try_cast(o_orderpriority as double)), false) as number_like, replace(translate(o_orderpriority, '/%*:<>|"''', ''), ' ', '_') as file, chr((65 + o_orderkey % 26)::int) as letter,
+  least(abs(o_orderkey % 10 - o_custkey % 10), 10 - abs(o_orderkey % 10 - o_custkey % 10)) as ring, round(o_totalprice * 0.112, 6) as um, round(o_totalprice * 0.112 * 0.112, 6) as um2,
+  printf('%02d:%02d:%02d', floor(o_totalprice / 3600)::bigint, floor(o_totalprice)::bigint % 3600 // 60, floor(o_totalprice)::bigint % 60) as clock, split_part(o_orderpriority, '-', 1) as key from orders""")
+def scalar_functions(s, d):
+    """F1, F8, F10, F17, F18, F20, F21."""
+    o = read(s, d, "orders")
+    return shown(o.select("o_orderkey", scalar.is_float(F.col("o_orderpriority")).alias("number_like"), scalar.safe_filename(F.col("o_orderpriority")).alias("file"), scalar.row_letter(F.col("o_orderkey") % 26).alias("letter"), scalar.ring_distance(F.col("o_orderkey") % 10, F.col("o_custkey") % 10, F.lit(10)).alias("ring"), scalar.to_um(F.col("o_totalprice")).alias("um"), scalar.to_um(F.col("o_totalprice"), power=2).alias("um2"), scalar.clock(F.col("o_totalprice")).alias("clock"), F.split("o_orderpriority", "-")[0].alias("key")))
+
+
+@query("""select p_partkey, chr((65 + r)::int) || (c + 1) as pad, c * 9000.0 - 49500 as x, r * 9000.0 - 31500 as y, chr((65 + r)::int) || (c + 1) as nearest from (select p_partkey, p_partkey // 12 % 8 as r, p_partkey % 12 as c from part)""")
+def plate_pads(s, d):
+    """F10-F14."""
+    p = read(s, d, "part").select("p_partkey", F.concat(F.char(F.floor(F.col("p_partkey") / 12) % 8 + 65), (F.col("p_partkey") % 12 + 1).cast("string")).alias("pad"))
+    p = plates.with_pad(p, "pad", plates.PLATES[96])
+    x, y = plates.center(F.col("row_index"), F.col("col"), plates.PLATES[96])
+    return p.select("p_partkey", "pad", x.alias("x"), y.alias("y")).withColumn("nearest", plates.pad_at(F.col("x"), F.col("y"), plates.PLATES[96]))
+
+
+@query("""select r * 10 + c as k, (r * 10 + case when r % 2 = 1 then 9 - c else c end + 1)::bigint as position from (select unnest(range(6)) as r) a, (select unnest(range(10)) as c) b""")
+def plate_traversal(s, d):
+    """T5."""
+    k = s.range(60).select(F.col("id").alias("k"), F.floor(F.col("id") / 10).alias("r"), (F.col("id") % 10).alias("c"))
+    return plates.traversal(k, "r", "c").select("k", "position")
+
+
+@query(f"""with {EVENTS}, x as (select series_key, row_number() over (partition by series_key order by us, event_id) as n, round(area, 3) as v from e) select series_key, ((n - 1) * 900)::double as time, v as "OD600", 'A' as "row", (series_key % 12 + 1)::bigint as col from x""")
+def plate_reader_table(s, d):
+    """A reader's text of each user, parsed again."""
+    e = events(s, d).groupBy("series_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", F.round("area", 3).alias("v")))), lambda q: q.v).alias("v"))
+    number = lambda c: F.transform(c, lambda v: F.format_string("%.3f", v))
+    times = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: (i * 900.0))
+    text = F.concat(F.lit("header\nt "), F.array_join(number(times), " "), F.lit(" C 37.0 A"), (F.col("series_key") % 12 + 1).cast("string"), F.lit(" note "), F.array_join(number(F.col("v")), " "), F.lit(";\nend"))
+    out = tables.plate_reader(e.select(F.col("series_key").cast("string").alias("path"), text.alias("content")), "x")
+    return out.select(F.col("path").cast("bigint").alias("series_key"), "time", "OD600", "row", F.col("col").cast("bigint").alias("col"))
+
+
+@query()
+def smoothed_series(s, d):
+    """W13, K1."""
+    e = events(s, d).where("area > 0").select("series_key", "event_id", "time", "area")
+    return growth.smoothed(e, ["series_key"], "time", "area")
+
+
+@query()
+def growth_rates(s, d):
+    """W14, K2, K3, K12."""
+    e = events(s, d).where("area > 0").select("series_key", "event_id", (F.col("us") / 3.6e9).alias("hours"), "area")
+    return growth.growth_rates(e, ["series_key"], "hours", ["area"], runs=1)
+
+
+def synthetic_frames(s: SparkSession, labels: int = 4, times: int = 4, size: int = 128) -> DataFrame:
+    """Bright discs that grow, a frame for each label and time."""
+    import pandas as pd
+
+    from trackfold import schema
+
+    def draw(batches):
+        import numpy as np
+
+        for b in batches:
+            rows = []
+            for i in b["id"]:
+                label, t = divmod(int(i), times)
+                yy, xx = np.mgrid[:size, :size]
+                a = np.full((size, size), 30.0)
+                for k in range(2):
+                    a[(yy - 48 - 30 * k - label) ** 2 + (xx - 45 - 34 * k) ** 2 <= (9 + t) ** 2] = 200
+                rows.append((f"f{label}", t, None, 600.0 * t, str(t), segmentation.image_of(a.astype(np.uint8))))
+            yield pd.DataFrame(rows, columns=schema.FRAMES.names)
+
+    return s.range(labels * times).mapInPandas(draw, schema.FRAMES)
+
+
+@query()
+def segmented_objects(s, d):
+    """I1-I3, I8, I14, P13, P14 on drawn frames."""
+    o = segmentation.objects(synthetic_frames(s))
+    return o.select("label", "time_index", "kind", "object_index", F.round("area", 6).alias("area"), F.round(scalar.contour_area(F.col("contour")), 6).alias("shoelace"), "on_border")
+
+
+@query()
+def segmented_lineages(s, d):
+    """J3, J4, J7, the lineage fold."""
+    return segmentation.lineages(segmentation.objects(synthetic_frames(s)))
+
+
+@query()
+def focused_frames(s, d):
+    """I18-I20, T6 on drawn stacks."""
+    f = synthetic_frames(s, 2, 3)
+    z = f.withColumn("z_index", F.col("time_index")).withColumn("time_index", F.lit(0))
+    return segmentation.flattened(z).select("label", "time_index", "image.h", "image.w")
