@@ -33,12 +33,15 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trackfold.llm.common import Rolling, bloom, checkpointed, in_bloom, parts, ragged, steps, texts_of
+from trackfold.llm.common import Rolling, bloom, checkpointed, in_bloom, parts, ragged, steps, texts_of, trimmed
 
 _ROWS = 60_000
 #: Entries that a task holds before it sends them.
 _HELD = 600_000
+#: Parts of the dictionary that a task puts in order one after another.
+_PIECES = 16
 
 
 @dataclass(frozen=True)
@@ -152,13 +155,33 @@ def _by_doc(doc: np.ndarray, marks: np.ndarray) -> pa.RecordBatch | None:
 def _stepped(batches, shape: Shape):
     """(batch slice, texts, values, bounds), a few MB of text at a time."""
     for b in batches:
-        texts = texts_of(b)
+        texts = texts_of(b) if "text" in b.schema.names else _unpacked(b)
         for i in range(0, len(texts), _ROWS):
             for a, z in steps(len(t) for t in texts[i : i + _ROWS]):
                 some = texts[i + a : i + z]
                 yield b.slice(i + a, z - a), some, *shape.units(some)
 
 
+def packed(docs: DataFrame, filter_, want: bool = True) -> DataFrame:
+    """Documents that a filter lets through (or the others), texts compressed for a shuffle."""
+    schema = T.StructType([T.StructField("packed", T.BinaryType()) if f.name == "text" else f for f in docs.schema])
+
+    def run(batches):
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            ok = in_bloom(filter_, _ids(b)) if len(b) else np.zeros(0, bool)
+            b = b.filter(pa.array(ok == want))
+            at = b.schema.get_field_index("text")
+            yield b.set_column(at, "packed", pa.array([z.compress(t) for t in texts_of(b)], pa.binary()))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _unpacked(b: pa.RecordBatch) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(x) for x in b.column("packed").to_pylist()]
+
+
 def _same(x: np.ndarray, *names: str) -> np.ndarray:
     """For sorted x: whether a row equals the one before in these fields."""
     out = np.zeros(len(x), dtype=bool)
@@ -208,6 +231,8 @@ def dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
                 held, size = [], 0
         if size:
             yield from send(held)
+        held = []
+        trimmed()
 
     def meet(batches):
         held = []
@@ -279,6 +304,7 @@ def ranks(values: np.ndarray, width: int) -> np.ndarray:
 def order(open_: DataFrame, shape: Shape) -> DataFrame:
     """Step 3. open_: doc_id, text, marks (list). doc_id, marks: the places of windows that start in an earlier document too."""
     n_parts = parts(open_.sparkSession)
+    pieces = n_parts * _PIECES
 
     def contents(batches):
         for b, _, values, bounds in _stepped(batches, shape):
@@ -289,7 +315,7 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
             if not len(at):
                 continue
             # in this step one of equal phrases of a document is enough, but each place needs its answer
-            part = ((p.trigger[at] & _T40) % np.uint64(n_parts)).astype(np.int64)
+            part = ((p.trigger[at] & _T40) % np.uint64(pieces)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             at, part = at[by], part[by]
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
@@ -304,17 +330,25 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def sort(batches):
-        doc, lo, size, text = [], [], [], []
+        blobs: dict[int, list[bytes]] = {}
         for b in batches:
-            for blob in b.column("blob").to_pylist():
-                raw = zstandard.decompress(blob)
-                m, n, item = np.frombuffer(raw, np.int64, 3)
-                doc.append(np.frombuffer(raw, np.int64, m, 24))
-                lo.append(np.frombuffer(raw, np.int64, m, 24 + 8 * m))
-                size.append(np.frombuffer(raw, np.int64, m, 24 + 16 * m))
-                text.append(np.frombuffer(raw, np.uint8 if item == 1 else np.uint64, n, 24 + 24 * m))
-        if not doc:
-            return
+            for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                blobs.setdefault(part, []).append(blob)
+        while blobs:
+            out = sort_one(blobs.popitem()[1])
+            if out is not None:
+                yield out
+        trimmed()
+
+    def sort_one(blobs):
+        doc, lo, size, text = [], [], [], []
+        for blob in blobs:
+            raw = zstandard.decompress(blob)
+            m, n, item = np.frombuffer(raw, np.int64, 3)
+            doc.append(np.frombuffer(raw, np.int64, m, 24))
+            lo.append(np.frombuffer(raw, np.int64, m, 24 + 8 * m))
+            size.append(np.frombuffer(raw, np.int64, m, 24 + 16 * m))
+            text.append(np.frombuffer(raw, np.uint8 if item == 1 else np.uint64, n, 24 + 24 * m))
         doc, lo, size, text = map(np.concatenate, (doc, lo, size, text))
         rank = ranks(text, shape.width)
         windows = size - shape.width + 1
@@ -325,8 +359,7 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
         first = np.full(int(r.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, r, owner)
         late = owner > first[r]
-        if (out := _by_doc(owner[late], place[late])) is not None:
-            yield out
+        return _by_doc(owner[late], place[late])
 
     return open_.mapInArrow(contents, "part int, blob binary").repartition(n_parts, "part").mapInArrow(sort, "doc_id long, marks binary")
 
@@ -346,12 +379,12 @@ def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> Da
     open_ = found.mapInArrow(is_open, found.schema)
     ids = bloom(open_, "doc_id")
 
-    def let(batches, filter_, want):
+    def unmarked(batches):
         for b in batches:
-            ok = in_bloom(filter_, _ids(b)) if len(b) else np.zeros(0, bool)
-            yield b.filter(pa.array(ok == want))
+            ok = in_bloom(any_, _ids(b)) if len(b) else np.zeros(0, bool)
+            yield b.filter(pa.array(~ok))
 
-    held = docs.mapInArrow(lambda x: let(x, ids, True), docs.schema)
+    held = packed(docs.select("doc_id", "text"), ids)
     late = checkpointed(order(held.join(open_, "doc_id"), shape).groupBy("doc_id").agg(F.collect_list("marks").alias("late")))
     both = found.join(late, "doc_id", "left")
     any_ = bloom(found, "doc_id")
@@ -373,8 +406,8 @@ def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> Da
                 windows = windows[:-1] > 0
             yield finish(b, texts, values, bounds, windows)
 
-    plain = docs.mapInArrow(lambda x: run(let(x, any_, False)), schema)
-    marked = docs.mapInArrow(lambda x: let(x, any_, True), docs.schema).join(both, "doc_id", "left").mapInArrow(run, schema)
+    plain = docs.mapInArrow(lambda x: run(unmarked(x)), schema)
+    marked = packed(docs, any_).join(both, "doc_id", "left").mapInArrow(run, schema)
     return plain.unionByName(marked)
 
 
