@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackfold.llm.common import checkpointed, parts, ragged, table
+from trackfold.llm.common import parts, ragged, table, trimmed
 
 #: Words a task holds before it sends a block on.
 BLOCK_WORDS = 3_000_000
@@ -173,7 +173,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
             place_of[order] = np.arange(len(order), dtype=np.int32)
             names = names.take(pa.array(order))
             stream = _zip(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(counts).astype(np.int32) if counts else np.zeros(0, np.int32), place_of[index])
-            out = [(0, key, 0, stream)]
+            out = [(0, key, key % n_parts, stream)]
             if len(names):
                 raw = names.to_pylist()
                 part = np.fromiter((hash_of(w) % n_parts for w in raw), dtype=np.int64, count=len(raw))
@@ -183,7 +183,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
                     at = by[a:z]
                     text = names.take(pa.array(at)).cast(pa.large_binary())
                     size = pc.binary_length(text).to_numpy()
-                    out.append((1, key, int(part[at[0]]), zstandard.compress(len(at).to_bytes(8, "little") + at.astype(np.int32).tobytes() + size.astype(np.int32).tobytes() + b"".join(text.to_pylist()), 3)))
+                    out.append((1, key, int(part[at[0]]), _zip(np.diff(at, prepend=0).astype(np.int32), size.astype(np.int32), np.frombuffer(b"".join(text.to_pylist()), np.uint8))))
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "block", "part", "blob"])
 
@@ -202,10 +202,13 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
             if held > BLOCK_WORDS:
                 yield send()
                 ids, counts, words, held, number = [], [], [], 0, number + 1
+                trimmed()
         if ids:
             yield send()
+        ids, counts, words = [], [], []
+        trimmed()
 
-    sent = checkpointed(cut.mapInArrow(block, "kind int, block long, part int, blob binary"))
+    sent = cut.mapInArrow(block, "kind int, block long, part int, blob binary").repartition(n_parts, "part")
 
     of_byte = np.array(rank_table(path)[0].split(","), dtype=np.int32)
     none = max(vocabulary(path).values()) + 1
@@ -214,15 +217,18 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
         raise ValueError(f"{len(odd)} tokens of {path} do not merge by ranks")
 
     def meet(batches):
-        """Rows: distinct words, and which of them each block asked for."""
+        """Rows: distinct words, and which of them each block asked for. Texts as numbers pass on."""
         held = []
+        names_of = ["kind", "block", "words", "asked"]
         for b in batches:
+            ask = pc.equal(b.column("kind"), 1)
+            if (on := b.filter(pc.invert(ask))).num_rows:
+                yield pa.RecordBatch.from_arrays([on.column("kind"), on.column("block"), pa.array([[]] * len(on), pa.list_(pa.list_(pa.int32()))), on.column("blob")], names=names_of)
+            b = b.filter(ask)
             for key, blob in zip(b.column("block").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                raw = zstandard.decompress(blob)
-                m = int.from_bytes(raw[:8], "little")
-                size = np.frombuffer(raw, np.int32, m, 8 + 4 * m)
-                text = pa.Array.from_buffers(pa.large_string(), m, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(raw[8 + 8 * m :])])
-                held.append((key, np.frombuffer(raw, np.int32, m, 8), text))
+                step, size, raw = _unzip(blob)
+                text = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(raw)])
+                held.append((key, np.cumsum(step, dtype=np.int32), text))
         if not held:
             return
         enc = pa.chunked_array([t for _, _, t in held]).combine_chunks().dictionary_encode()
@@ -230,7 +236,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
         names, index = enc.dictionary, enc.indices.to_numpy().astype(np.int64)
         key = np.repeat(np.array([k for k, _, _ in held], dtype=np.int64), [len(x) for _, x, _ in held])
         local = np.concatenate([x for _, x, _ in held])
-        order = np.lexsort((key, index // FOLD_ROWS))
+        order = np.lexsort((local, key, index // FOLD_ROWS))
         key, local, index = key[order], local[order], index[order]
         cuts = np.searchsorted(index // FOLD_ROWS, np.arange(-(-len(names) // FOLD_ROWS) + 1))
         for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -240,13 +246,17 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
             at = np.cumsum(size + 2) - size - 2
             ids[ragged(at + 1, size)] = of_byte[np.frombuffer(b"".join(w.to_pylist()), np.uint8)]
             w = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), w), pa.array([_zip(key[a:z], local[a:z], (index[a:z] % FOLD_ROWS).astype(np.int32))], pa.binary())], names=["words", "asked"])
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), w), pa.array([_zip(key[a:z], local[a:z], (index[a:z] % FOLD_ROWS).astype(np.int16))], pa.binary())], names=names_of)
 
-    asked = sent.where("kind = 1").select("block", "part", "blob").repartition(n_parts, "part").mapInArrow(meet, "words array<array<int>>, asked binary")
-    folded = asked.select(F.transform("words", lambda w: encoded(w, path)).alias("ids"), "asked")
+    asked = sent.mapInArrow(meet, "kind int, block long, words array<array<int>>, asked binary")
+    folded = asked.select("kind", "block", F.transform("words", lambda w: encoded(w, path)).alias("ids"), "asked")
 
     def answer(batches):
         for b in batches:
+            done = pc.equal(b.column("kind"), 0)
+            if (on := b.filter(done)).num_rows:
+                yield pa.RecordBatch.from_arrays([on.column("kind"), on.column("block"), on.column("asked")], names=["kind", "block", "blob"])
+            b = b.filter(pc.invert(done))
             for i in range(len(b)):
                 key, local, at = _unzip(b.column("asked")[i].as_py())
                 lists = b.column("ids")[i].values
@@ -257,12 +267,12 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
                 out = []
                 for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                     q = at[a:z]
-                    out.append((2, int(key[a]), _zip(local[a:z], size[q].astype(np.int32), ids[ragged(o[q], size[q])].astype(np.int32))))
+                    out.append((2, int(key[a]), _zip(np.diff(local[a:z], prepend=0).astype(np.int32), size[q].astype(np.int32), ids[ragged(o[q], size[q])].astype(np.int32))))
                 kinds = [pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "block", "blob"])
 
     answers = folded.mapInArrow(answer, "kind int, block long, blob binary")
-    both = sent.where("kind = 0").select("kind", "block", "blob").unionByName(answers).repartition(n_parts, "block").sortWithinPartitions("block", "kind")
+    both = answers.repartition(n_parts, "block").sortWithinPartitions("block", "kind")
 
     def assemble(batches):
         stream, got, now = None, [], None
@@ -295,9 +305,12 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
                 if kind == 0:
                     stream = _unzip(blob)
                 else:
-                    got.append(_unzip(blob))
+                    step, size, flat = _unzip(blob)
+                    got.append((np.cumsum(step, dtype=np.int64), size.astype(np.int64), flat))
         if stream is not None:
             yield from close()
+        stream, got = None, []
+        trimmed()
 
     return both.mapInArrow(assemble, schema)
 
