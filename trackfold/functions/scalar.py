@@ -16,10 +16,11 @@ def is_float(c: Column) -> Column:
 def two_figures(c: Column) -> Column:
     """a number rounded to two significant figures; text that is none stays."""
     x = c.try_cast("double")
-    digits = F.lit(1) - F.floor(F.log10(F.abs(x))).cast("int")
+    own = F.when((x != 0) & (F.abs(x) < F.lit(float("inf"))), x)
+    digits = F.lit(1) - F.floor(F.log10(F.abs(own))).cast("int")
     scale = F.pow(F.lit(10.0), digits)
-    r = F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * scale) / scale)
-    return F.when(x.isNull() | F.isnan(x), c.cast("string")).otherwise(F.regexp_replace(r.cast("string"), r"\.0$", ""))
+    r = F.when(x == 0, F.lit(0.0)).otherwise(F.round(own * scale) / scale)
+    return F.when(r.isNull(), c.cast("string")).otherwise(F.regexp_replace(r.cast("string"), r"\.0$", ""))
 
 
 def listify(value) -> list:
