@@ -8,9 +8,9 @@ bound the overlap they can reach. Surviving group pairs are expanded to members,
 and each pair of different sets is verified on its texts.
 
 Connectivity, not all pairs, is what classes need: first each group is verified
-against the two leaders it meets under most shingles, links join classes, and this is
-repeated for members of different classes; then every pair that is still in different
-classes is verified, so no link between different classes is lost.
+against the two leaders it meets under most shingles, and links join classes; then
+every pair that is still in different classes is verified, so no link between different
+classes is lost.
 
 The order's frequencies are counted over all documents in SLOTS hashed slots, a fixed
 size: slots may be shared, which costs candidates and never a link.
@@ -35,8 +35,8 @@ WORDS = 5
 #: The threshold as a fraction: inter * DEN >= union * NUM.
 NUM, DEN = 3, 4
 SLOTS = 1 << 20
-#: Members of a run that others are tried with, and how often, before all remaining pairs are.
-LEADERS, TURNS = 4, 2
+#: Members of a run that others are tried with before all remaining pairs are.
+LEADERS = 4
 #: Documents that others are verified against together, on average.
 TOGETHER = 64
 _ROWS = 60_000
@@ -271,18 +271,6 @@ def led(run: DataFrame) -> DataFrame:
     return _best(run.mapInArrow(leads, "id long, lead long, n long"))
 
 
-def led_across(rows: DataFrame, seed: int) -> DataFrame:
-    """rows: token, rep, n, at, comp, all of a token in one partition. Pairs (a, b) of different classes, at most two for each set."""
-
-    def leads(batches):
-        held = [b for b in batches if len(b)]
-        if held:
-            t = pa.Table.from_batches(held)
-            yield _leads(*(np.ascontiguousarray(t.column(c).to_numpy()) for c in ("token", "rep", "n", "at", "comp")), seed)
-
-    return _best(rows.mapInArrow(leads, "id long, lead long, n long"))
-
-
 def opened(run: DataFrame) -> DataFrame:
     def rows(batches):
         for b in batches:
@@ -293,8 +281,29 @@ def opened(run: DataFrame) -> DataFrame:
     return run.mapInArrow(rows, "token long, grp long, n long, at long")
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """rows: token, rep, n, at, comp, all of a token in one partition. Pairs (a, b) of a token in different classes that may reach the threshold."""
+def _block(a, blocks: int):
+    """Of documents that others are verified against together: the same for columns and for arrays."""
+    m = a % ((1 << 31) - 1)
+    if isinstance(a, np.ndarray):
+        return m * 40503 % blocks
+    return F.pmod(F.pmod(a, F.lit((1 << 31) - 1)) * 40503, F.lit(blocks)).cast("bigint")
+
+
+_ASKED = "block long, b long, cb long, with array<struct<a:long,c:long>>"
+
+
+def across(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows: token, rep, n, at, comp, all of a token in one partition. For each document b the documents a under one of its tokens that are in another class and that it may reach the threshold with, by blocks; every such pair is in the result."""
+
+    def grouped(a, b, ca, cb):
+        block = _block(a, blocks)
+        order = np.lexsort((a, b, block))
+        a, b, ca, cb, block = a[order], b[order], ca[order], cb[order], block[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        a, b, ca, cb, block = a[new], b[new], ca[new], cb[new], block[new]
+        cuts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (block[1:] != block[:-1])])
+        with_ = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(a)), pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(ca)], names=["a", "c"]))
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(b[cuts]), pa.array(cb[cuts]), with_], names=["block", "b", "cb", "with"])
 
     def pairs(batches):
         held: list[pa.RecordBatch] = [b for b in batches if len(b)]
@@ -315,19 +324,22 @@ def across(rows: DataFrame) -> DataFrame:
             near = x["n"][other] * NUM <= x["n"][live] * DEN
             live, other = live[near], other[near]
             ok = (x["comp"][live] != x["comp"][other]) & _can(x["n"][live], x["at"][live], x["n"][other], x["at"][other])
-            a, b = x["rep"][live[ok]], x["rep"][other[ok]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            size += len(a)
+            i, j = live[ok], other[ok]
+            swap = x["rep"][i] > x["rep"][j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            out.append(np.stack([i, j]))
+            size += len(i)
             if size > 1_000_000:
-                p = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+                i, j = np.concatenate(out, axis=1)
+                yield grouped(x["rep"][i], x["rep"][j], x["comp"][i], x["comp"][j])
                 out, size = [], 0
             step += 1
         if size:
-            p = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+            i, j = np.concatenate(out, axis=1)
+            yield grouped(x["rep"][i], x["rep"][j], x["comp"][i], x["comp"][j])
 
-    return rows.mapInArrow(pairs, "a long, b long").distinct()
+    found = rows.mapInArrow(pairs, _ASKED)
+    return found.groupBy("block", "b", "cb").agg(F.array_distinct(F.flatten(F.collect_list("with"))).alias("with"))
 
 
 def _short(ranges):
@@ -337,42 +349,59 @@ def _short(ranges):
             yield i, min(z, i + _ROWS // 2)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Of document pairs (a, b) those whose sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = may_hold(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", bloom(ids, "id"))
-    one = pairs.select("a").distinct()
-    blocks = max(1, -(-one.count() // TOGETHER))
-    block = F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("block")
-    asked = pairs.groupBy(block, "b").agg(F.collect_set("a").alias("with")).join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    held = some.withColumnRenamed("doc_id", "a").join(one, "a", "left_semi").groupBy(block).agg(F.collect_list(F.struct("a", "text")).alias("held"))
-    x = asked.join(held, "block").select("b", "tb", F.filter("held", lambda h: F.array_contains("with", h.a)).alias("held"))
+def verified(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """asked: block, b, cb (its class), with (documents a and their classes c). Pairs (a, b) whose sets reach the threshold; of classes that a task has linked already, further pairs are passed over."""
+    asked = checkpointed(asked)
+    members = asked.select("block", F.transform("with", lambda w: w.a).alias("a")).groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("a"))).alias("a"))
+
+    def listed(batches):
+        for b in batches:
+            a = b.column("a")
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.repeat(b.column("block").to_numpy(), np.diff(a.offsets.to_numpy()))), "a": a.flatten()})
+
+    one = checkpointed(members.mapInArrow(listed, "block long, a long"))
+    some = may_hold(docs, "doc_id", bloom(asked.select("b").union(one.select("a")), "b"))
+    held = some.withColumnRenamed("doc_id", "a").join(one, "a").groupBy("block").agg(F.collect_list(F.struct("a", "text")).alias("held"))
+    x = asked.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(held, "block")
+    x = x.select("b", "cb", "tb", "with", F.filter("held", lambda h: F.exists("with", lambda w: w.a == h.a)).alias("held"))
 
     def run(batches):
+        up: dict[int, int] = {}
+
+        def find(c):
+            while c in up:
+                c = up[c]
+            return c
+
         for b in batches:
-            tb = texts_of(b, "tb")
+            tb, idb, cb = texts_of(b, "tb"), b.column("b").to_pylist(), b.column("cb").to_pylist()
             lists = b.column("held")
-            n = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             ta = texts_of(pa.RecordBatch.from_arrays([flat.field("text")], names=["text"]))
-            ida = flat.field("a").to_numpy()
-            owner = np.repeat(np.arange(len(b)), n)
-            idb = b.column("b").to_numpy()[owner]
-            keep = np.zeros(len(ta), dtype=bool)
-            for i, j in _short(steps(len(t) + len(tb[o]) for t, o in zip(ta, owner.tolist(), strict=True))):
-                whose = owner[i:j].tolist()
-                own = list(dict.fromkeys([*ta[i:j], *(tb[o] for o in whose)]))
+            ida = flat.field("a").to_pylist()
+            owner = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy())).tolist()
+            class_of = [{w["a"]: w["c"] for w in ws} for ws in b.column("with").to_pylist()]
+            links = []
+            for i, j in _short(steps(len(t) + len(tb[o]) for t, o in zip(ta, owner, strict=True))):
+                own = list(dict.fromkeys([*ta[i:j], *(tb[o] for o in owner[i:j])]))
                 at = {t: m for m, t in enumerate(own)}
                 h, bounds = shingle_sets(own, k)
                 sets = [h[p:q] for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
-                for m, o in zip(range(i, j), whose, strict=True):
+                for m in range(i, j):
+                    o = owner[m]
                     p, q = sets[at[ta[m]]], sets[at[tb[o]]]
-                    if min(len(p), len(q)) * DEN >= max(len(p), len(q)) * NUM and len(p):
-                        both = int(np.isin(p, q, assume_unique=True, kind="sort").sum())
-                        keep[m] = both * DEN >= (len(p) + len(q) - both) * NUM
-            yield pa.RecordBatch.from_pydict({"a": pa.array(ida[keep]), "b": pa.array(idb[keep])})
+                    if not len(p) or min(len(p), len(q)) * DEN < max(len(p), len(q)) * NUM:
+                        continue
+                    c, d = find(class_of[o][ida[m]]), find(cb[o])
+                    if c == d:
+                        continue
+                    both = int(np.isin(p, q, assume_unique=True, kind="sort").sum())
+                    if both * DEN >= (len(p) + len(q) - both) * NUM:
+                        links.append((ida[m], idb[o]))
+                        up[max(c, d)] = min(c, d)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return x.mapInArrow(run, "a long, b long").distinct()
+    return x.mapInArrow(run, "a long, b long")
 
 
 def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -387,26 +416,18 @@ def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
     g = groups.select("grp", "rep")
     pairs = led(run).join(g.select(F.col("grp").alias("a"), F.col("rep").alias("ra")), "a").join(g.select(F.col("grp").alias("b"), F.col("rep").alias("rb")), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     inside = sets.join(g.withColumnRenamed("rep", "lead"), "grp").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    tried = checkpointed(pairs.union(inside).distinct())
-    links = checkpointed(verified(tried, docs, k))
+    blocks = max(1, sets.count() // TOGETHER)
+    asked = pairs.union(inside).groupBy(_block(F.col("a"), blocks).alias("block"), "b", F.col("b").alias("cb")).agg(F.collect_set(F.struct("a", F.col("a").alias("c"))).alias("with"))
+    links = checkpointed(verified(asked, docs, k))
     comp = components(links)
     # pairs that are left: a token, or a group of several sets, over more than one class
-    rows = opened(run).union(groups.where("m > 1").select(F.xxhash64("grp").alias("token"), "grp", "n", F.lit(0).cast("bigint").alias("at"))).join(sets.select("grp", "rep"), "grp")
-
-    def apart() -> DataFrame:
-        x = rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("comp"))
-        mixed = x.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        return x.join(mixed, "token", "left_semi").repartition(parts(spark), "token")
-
-    for turn in range(1, TURNS + 2):
-        # the last turn takes every pair of different classes
-        pairs = led_across(apart(), turn) if turn <= TURNS else across(apart())
-        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = checkpointed(verified(pairs, docs, k))
-        if not more.isEmpty():
-            links = links.union(more)
-            comp = components(links)
-        tried = tried.union(pairs)
+    rows = opened(run).union(groups.where("m > 1").select(F.xxhash64("grp").alias("token"), "grp", "n", F.lit(0).cast("bigint").alias("at")))
+    classes_of = sets.select("grp", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp"))
+    rows = rows.join(classes_of.groupBy("grp").agg(F.collect_list(F.struct("rep", "comp")).alias("members")), "grp").select("token", "n", "at", F.explode("members").alias("x")).select("token", "x.rep", "n", "at", "x.comp")
+    rows = rows.repartition(parts(spark), "token")
+    more = checkpointed(verified(across(rows, blocks), docs, k))
+    if not more.isEmpty():
+        comp = components(links.union(more))
     named = sets.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set1", "set2", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("component_id"))
     # a class is named by the smallest member, which is a representative
     same = sig.join(named, (sig.set1 == named.set1) & (sig.set2 == named.set2) & (sig.n_shingles == named._n), "left")
