@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackfold.llm.common import Rolling, bloom, checkpointed, in_bloom, parts, ragged, steps, texts_of, trimmed
+from trackfold.llm.common import Rolling, bloom, checkpointed, in_bloom, mix, parts, ragged, steps, texts_of, trimmed
 
 _ROWS = 60_000
 #: Entries that a task holds before it sends them.
@@ -152,6 +152,41 @@ def _by_doc(doc: np.ndarray, marks: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[cuts[:-1]]), "marks": value})
 
 
+def _bucketed(doc: np.ndarray, marks: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+    """Marks dealt by document into n buckets: a packed row for each bucket, however many documents it has."""
+    if not len(doc):
+        return []
+    bucket = (mix(doc.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    order = np.lexsort((doc, bucket))
+    doc, marks, bucket = doc[order], marks[order].astype("<u4"), bucket[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    out = []
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        step = np.diff(doc[a:z], prepend=0)
+        out.append((int(bucket[a]), zstandard.compress(_planes(step, 8) + _planes(marks[a:z], 4), 1)))
+    return out
+
+
+def _gathered(rows: DataFrame, name: str) -> DataFrame:
+    """rows: bucket, blob. A row for each document: doc_id and its marks."""
+
+    def run(batches):
+        doc, marks = [], []
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                raw = zstandard.decompress(blob)
+                m = len(raw) // 12
+                doc.append(np.cumsum(np.frombuffer(raw, np.uint8, 8 * m).reshape(8, m).T.copy().view(np.int64).ravel()))
+                marks.append(np.frombuffer(raw, np.uint8, 4 * m, 8 * m).reshape(4, m).T.copy().view("<u4").ravel())
+        if doc:
+            out = _by_doc(np.concatenate(doc), np.concatenate(marks))
+            for i in range(0, len(out), 10_000):
+                yield out.slice(i, 10_000).rename_columns(["doc_id", name])
+        trimmed()
+
+    return rows.repartition(parts(rows.sparkSession), "bucket").mapInArrow(run, f"doc_id long, {name} binary")
+
+
 def _stepped(batches, shape: Shape):
     """(batch slice, texts, values, bounds), a few MB of text at a time."""
     for b in batches:
@@ -214,9 +249,9 @@ def dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
         part = (x["t"] % np.uint64(n_parts)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
         blobs = [_pack(x[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "doc_id": pa.nulls(len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
-        if (marks := _by_doc(settled["doc"], settled["n"] << np.uint32(1))) is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array((marks.column(0).to_numpy() % n_parts).astype(np.int32)), "doc_id": marks.column(0), "blob": marks.column(1)})
+        yield pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "settled": pa.array([False] * len(blobs)), "blob": pa.array(blobs, pa.binary())})
+        if rows := _bucketed(np.ascontiguousarray(settled["doc"]), settled["n"] << np.uint32(1), n_parts):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "settled": pa.array([True] * len(rows)), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     def phrases(batches):
         held, size = [], 0
@@ -237,9 +272,9 @@ def dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
     def meet(batches):
         held = []
         for b in batches:
-            own = pc.is_valid(b.column("doc_id"))
+            own = b.column("settled")
             if (settled := b.filter(own)).num_rows:
-                yield pa.RecordBatch.from_pydict({"doc_id": settled.column("doc_id"), "marks": settled.column("blob")})
+                yield pa.RecordBatch.from_pydict({"bucket": settled.column("part"), "blob": settled.column("blob")})
             held += [_unpack(x) for x in b.filter(pc.invert(own)).column("blob").to_pylist()]
         if not held:
             return
@@ -264,15 +299,16 @@ def dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
         still = ~covered & several & (least != most)
         marks = (x["n"] << np.uint32(1)) | still
         some = covered | still
-        if (out := _by_doc(x["doc"][some], marks[some])) is not None:
-            yield out
+        if rows := _bucketed(x["doc"][some], marks[some], n_parts):
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+        trimmed()
 
-    sent = docs.select("doc_id", "text").mapInArrow(phrases, "part int, doc_id long, blob binary")
-    return sent.repartition(n_parts, "part").mapInArrow(meet, "doc_id long, marks binary")
+    sent = docs.select("doc_id", "text").mapInArrow(phrases, "part int, settled boolean, blob binary")
+    return _gathered(sent.repartition(n_parts, "part").mapInArrow(meet, "bucket int, blob binary"), "marks")
 
 
 def _marks(b: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(x), "<u4") if x else np.zeros(0, "<u4") for x in b.column(name).to_pylist()]
+    return [np.frombuffer(x, "<u4") if x else np.zeros(0, "<u4") for x in b.column(name).to_pylist()]
 
 
 def _picked(marks: list[np.ndarray], p: Phrases, bounds_of: np.ndarray) -> np.ndarray:
@@ -302,7 +338,7 @@ def ranks(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def order(open_: DataFrame, shape: Shape) -> DataFrame:
-    """Step 3. open_: doc_id, text, marks (list). doc_id, marks: the places of windows that start in an earlier document too."""
+    """Step 3. open_: doc_id, text, marks. doc_id, late: the places of windows that start in an earlier document too."""
     n_parts = parts(open_.sparkSession)
     pieces = n_parts * _PIECES
 
@@ -334,10 +370,11 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 blobs.setdefault(part, []).append(blob)
+        found = []
         while blobs:
-            out = sort_one(blobs.popitem()[1])
-            if out is not None:
-                yield out
+            found.append(sort_one(blobs.popitem()[1]))
+        if found and (rows := _bucketed(*(np.concatenate(x) for x in zip(*found, strict=True)), n_parts)):
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
         trimmed()
 
     def sort_one(blobs):
@@ -359,17 +396,17 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
         first = np.full(int(r.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, r, owner)
         late = owner > first[r]
-        return _by_doc(owner[late], place[late])
+        return owner[late], place[late]
 
-    return open_.mapInArrow(contents, "part int, blob binary").repartition(n_parts, "part").mapInArrow(sort, "doc_id long, marks binary")
+    sorted_ = open_.mapInArrow(contents, "part int, blob binary").repartition(n_parts, "part").mapInArrow(sort, "bucket int, blob binary")
+    return _gathered(sorted_, "late")
 
 
 def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> DataFrame:
     """docs: doc_id, text. finish(batch, texts, values, bounds, windows) makes a record batch of documents; windows is a boolean for each value: a repeated window starts there. The batch has doc_id, text and `rest`, a struct of the other columns."""
     rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(True).alias("none")]).alias("rest"))
-    found = dictionary(docs, shape).groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    found = checkpointed(found)
+    found = checkpointed(dictionary(docs, shape))
 
     def is_open(batches):
         for b in batches:
@@ -385,7 +422,7 @@ def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> Da
             yield b.filter(pa.array(~ok))
 
     held = packed(docs.select("doc_id", "text"), ids)
-    late = checkpointed(order(held.join(open_, "doc_id"), shape).groupBy("doc_id").agg(F.collect_list("marks").alias("late")))
+    late = checkpointed(order(held.join(open_, "doc_id"), shape))
     both = found.join(late, "doc_id", "left")
     any_ = bloom(found, "doc_id")
 
