@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 from trackfold.llm.common import Rolling, bloom, checkpointed, in_bloom, mix, parts, ragged, steps, texts_of, trimmed
 
 _ROWS = 60_000
+#: Stands for a null doc_id, so that it joins and counts as the smallest.
+_NULL = -(1 << 63)
 #: Entries that a task holds before it sends them.
 _HELD = 600_000
 #: Parts of the dictionary that a task puts in order one after another.
@@ -226,7 +228,7 @@ def _same(x: np.ndarray, *names: str) -> np.ndarray:
 
 
 def _ids(b: pa.RecordBatch) -> np.ndarray:
-    return b.column("doc_id").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+    return b.column("doc_id").to_numpy()
 
 
 #: A mark of step 2 is a phrase's number, doubled, and 1 if its windows are still open.
@@ -405,7 +407,7 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
 def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> DataFrame:
     """docs: doc_id, text. finish(batch, texts, values, bounds, windows) makes a record batch of documents; windows is a boolean for each value: a repeated window starts there. The batch has doc_id, text and `rest`, a struct of the other columns."""
     rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(True).alias("none")]).alias("rest"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(True).alias("none")]).alias("rest"))
     found = checkpointed(dictionary(docs, shape))
 
     def is_open(batches):
@@ -441,6 +443,8 @@ def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> Da
                 windows[_picked(late_, None, bounds[:-1])] = True
             else:
                 windows = windows[:-1] > 0
+            ids = b.column("doc_id").to_numpy()
+            b = b.set_column(b.schema.get_field_index("doc_id"), "doc_id", pa.array(ids, mask=ids == _NULL))
             yield finish(b, texts, values, bounds, windows)
 
     plain = docs.mapInArrow(lambda x: run(unmarked(x)), schema)
