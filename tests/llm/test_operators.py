@@ -184,7 +184,7 @@ def test_fingerprints(docs, empty):
         want.append((str(i) if i >= 0 else "None", len(t), hashlib.sha256(e.encode()).hexdigest(), float(fingerprint.canonical(t) == fingerprint.canonical(e)), float(fingerprint.canonical(t) == fingerprint.canonical(nxt))))
     assert got == sorted(want)
     by = {(r.doc_id, r.n_chars): r.fingerprint for r in fingerprint.fingerprints(docs).collect()}
-    assert by[1, 0 if False else len(corpus()[1][1])] == by[7, len(corpus()[7][1])]  # case folds
+    assert by[1, len(corpus()[1][1])] == by[7, len(corpus()[7][1])]  # case folds
     assert fingerprint.fingerprints(empty).count() == 0
     one = docs.where("doc_id = 6").coalesce(1)
     assert fingerprint.fingerprints(one).first().near_next == 1.0
@@ -242,7 +242,7 @@ def test_mixing(docs, empty, spark):
 def test_targets_fill_up(spark):
     s = spark.createDataFrame([(0, 10), (1, 1000), (2, 1000)], "rank long, size long")
     got = {r.rank: r.target for r in mixing.targets(s, 1.5, 2.0).collect()}
-    assert got[0] == 20 and got[1] + got[2] == pytest.approx(1.5 * 2010 - 20) and got[2] == 2000
+    assert got[0] == 20 and got[1] + got[2] == pytest.approx(1.5 * 2010 - 20) and got[2] == pytest.approx(2 * got[1])
 
 
 def test_toxicity(spark, docs, empty):

@@ -11,7 +11,7 @@ A block pair gives counts and a spanning forest of its links, never the pairs
 themselves, so a large group of near-equal vectors costs rows in proportion to it.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components, and those of a null label, link with nothing; vectors of different
+components, and those of a null label or vec_id, link with nothing; vectors of different
 lengths never link; rows of a repeated vec_id are separate vectors of one name; an
 empty table gives no rows; other columns are ignored.
 """
@@ -40,6 +40,7 @@ def directions(valid: DataFrame, dim: int, rows: int) -> np.ndarray:
     if not some:
         return np.eye(dim)[:, :LEAD]
     x = np.array([r.v for r in some], dtype=np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # very small and very large ones keep their direction
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x -= x.mean(axis=0)
     return np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :LEAD]
@@ -50,7 +51,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataF
     spark = vectors.sparkSession
     eps = math.sqrt(2 - 2 * cosine) + 1e-9
     v = F.transform("embedding", lambda x: x.cast("double"))
-    good = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
+    good = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     valid = vectors.where(F.coalesce(good, F.lit(False))).select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"))
     dims = {r["d"]: r["n"] for r in valid.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     axes = {d: directions(valid, d, n) for d, n in dims.items()}
@@ -66,7 +67,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataF
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
                 x = flat[offsets[at][:, None] + np.arange(d)]
-                top = np.abs(x).max(axis=1)  # very small and very large ones keep their direction
+                top = np.abs(x).max(axis=1)
                 y = x / top[:, None]
                 scale[at] = np.linalg.norm(y, axis=1)
                 y /= scale[at][:, None]
