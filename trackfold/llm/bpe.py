@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from trackfold.llm.common import parts, ragged, table, trimmed
 
 #: Words a task holds before it sends a block on.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 6_000_000
 #: Words in one row of the fold.
 FOLD_ROWS = 4096
 _BITS = 17

@@ -22,11 +22,15 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _R = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table to read. Batches that go to Python are kept small from here on, unless the session says otherwise: a row can be a long text."""
+    if spark.conf.get(_RECORDS, "10000") == "10000":
+        spark.conf.set(_RECORDS, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
