@@ -44,6 +44,8 @@ _NULL = -(1 << 63)
 _HELD = 600_000
 #: Parts of the dictionary that a task puts in order one after another.
 _PIECES = 16
+#: Bytes of phrases that a task holds before it sends them.
+_CONTENT = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -344,28 +346,39 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
     n_parts = parts(open_.sparkSession)
     pieces = n_parts * _PIECES
 
+    def send(held):
+        part, doc, lo, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(part, kind="stable")
+        text = text[ragged((np.cumsum(size) - size)[order], size[order])]
+        part, doc, lo, size = part[order], doc[order], lo[order], size[order]
+        end = np.concatenate([[0], np.cumsum(size)])
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        blobs = []
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            own = text[end[a] : end[z]]
+            head = np.array([z - a, len(own), own.dtype.itemsize], dtype=np.int64)
+            blobs.append(zstandard.compress(head.tobytes() + doc[a:z].tobytes() + lo[a:z].tobytes() + size[a:z].tobytes() + own.tobytes(), 1))
+        return pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
     def contents(batches):
+        held, units = [], 0
         for b, _, values, bounds in _stepped(batches, shape):
             p = parse(values, bounds, shape)
             marks = [m[m & 1 > 0] >> 1 for m in _marks(b, "marks")]
-            begin = np.searchsorted(p.doc, np.arange(len(bounds) - 1))
-            at = _picked(marks, p, begin)
+            at = _picked(marks, p, np.searchsorted(p.doc, np.arange(len(bounds) - 1)))
             if not len(at):
                 continue
-            # in this step one of equal phrases of a document is enough, but each place needs its answer
+            size = p.hi[at] - p.lo[at] + shape.width
             part = ((p.trigger[at] & _T40) % np.uint64(pieces)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            at, part = at[by], part[by]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-            ids = _ids(b)
-            blobs = []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                q = at[a:z]
-                size = p.hi[q] - p.lo[q] + shape.width
-                text = values[ragged(p.lo[q], size)]
-                head = np.array([len(q), len(text), text.dtype.itemsize], dtype=np.int64)
-                blobs.append(zstandard.compress(head.tobytes() + ids[p.doc[q]].tobytes() + (p.lo[q] - bounds[p.doc[q]]).astype(np.int64).tobytes() + size.astype(np.int64).tobytes() + text.tobytes(), 1))
-            yield pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+            held.append((part, _ids(b)[p.doc[at]], p.lo[at] - bounds[p.doc[at]], size, values[ragged(p.lo[at], size)]))
+            units += int(size.sum())
+            if units * values.itemsize > _CONTENT:
+                yield send(held)
+                held, units = [], 0
+        if held:
+            yield send(held)
+        held = []
+        trimmed()
 
     def sort(batches):
         blobs: dict[int, list[bytes]] = {}
