@@ -137,10 +137,10 @@ def last_rows(s, d):
     return series.last_row(events(s, d), ["series_key"], ["us", "event_id"]).select("event_id", "is_last")
 
 
-@query(f"with {EVENTS} select event_id, round((max(us) over w - min(us) over w) / 1e6, 6) as present_for_duration, round(avg(area) over w, 6) as mean_area from e window w as (partition by series_key)")
+@query(f"with {EVENTS} select event_id, round((max(us) over w - min(us) over w) / 1e6, 6) as present_for_duration, round(sum(area) over w, 4) as sum_area from e window w as (partition by series_key)")
 def present_durations(s, d):
     """A5-A7, W4."""
-    return shown(series.with_group(series.present_duration(events(s, d), ["series_key"], "time"), ["series_key"], mean_area=F.avg("area")).select("event_id", "present_for_duration", "mean_area"))
+    return shown(series.with_group(series.present_duration(events(s, d), ["series_key"], "time"), ["series_key"], sum_area=F.sum("area")).select("event_id", "present_for_duration", F.round("sum_area", 4).alias("sum_area")))
 
 
 @query(f"with {EVENTS} select event_id, coalesce(sum(event_id % 11) over (partition by series_key order by us, event_id rows between unbounded preceding and 1 preceding), 0)::bigint as cumulative_shift from e")
