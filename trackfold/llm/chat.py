@@ -51,15 +51,15 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     linked = m.where("not parent <=> node").join(known, "parent", "left_semi")
     up = checkpointed(m.join(linked.select("node", F.col("parent").alias("up")), "node", "left").select("node", "up", "score", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.coalesce("up", "node").alias("top")))
     jumps = [up.where("up is not null").select("node", "up")]
-    rounds = 0
+    rounds, nodes = 0, m.count()
     while True:
         open_ = up.where("up is not null")
         if open_.isEmpty():
             break
-        rounds += 1
-        if rounds > 62:  # only cycles are left
+        if 1 << rounds >= nodes:  # no path is so long: only cycles are left
             up = up.where("up is null")
             break
+        rounds += 1
         far = up.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"), F.col("top").alias("top2"))
         # an ancestor that has reached its root carries the sum over the rest of the way
         # only nodes still on their way take part in a round
