@@ -429,14 +429,14 @@ select cell, coalesce(owner, -1) as owner from o left join p on p.r = o.r and p.
 def containment(s, d):
     """J3."""
     cells = read(s, d, "orders").select(F.lit(0).alias("f"), F.col("o_orderkey").alias("cell"), F.month("o_orderdate").alias("r"), F.dayofmonth("o_orderdate").alias("c"))
-    px = read(s, d, "lineitem").where("l_quantity > 49").select(F.lit(0).alias("f"), F.col("l_suppkey").alias("object"), F.month("l_shipdate").alias("r"), F.dayofmonth("l_shipdate").alias("c"))
+    px = read(s, d, "lineitem").select(F.lit(0).alias("f"), F.col("l_suppkey").alias("object"), F.month("l_shipdate").alias("r"), F.dayofmonth("l_shipdate").alias("c"))
     return spatial.owners_by_containment(cells, px, ["f"]).select("cell", "owner")
 
 
 @query("select distinct l_suppkey as id, o_custkey as other from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 45")
 def outlines_touching(s, d):
     """J20."""
-    a = read(s, d, "lineitem").where("l_quantity > 45").select(F.lit(0).alias("f"), F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("r"), F.lit(0).alias("c"))
+    a = read(s, d, "lineitem").select(F.lit(0).alias("f"), F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("r"), F.lit(0).alias("c"))
     b = read(s, d, "orders").select(F.lit(0).alias("f"), F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("r"), F.lit(0).alias("c"))
     return spatial.touching(a, b, ["f"]).select("id", "other")
 
