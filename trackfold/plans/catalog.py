@@ -529,7 +529,7 @@ def smoothed_series(s, d):
 def growth_rates(s, d):
     """W14, K2, K3, K12."""
     e = events(s, d).where("area > 0").select("series_key", "event_id", (F.col("us") / 3.6e9).alias("hours"), "area")
-    return growth.growth_rates(e, ["series_key"], "hours", ["area"], runs=1)
+    return growth.growth_rates(e, ["series_key"], "hours", ["area"])
 
 
 def synthetic_frames(s: SparkSession, labels: int = 4, times: int = 4, size: int = 128) -> DataFrame:
