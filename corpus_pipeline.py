@@ -23,6 +23,8 @@ from trackfold.llm import bpe, jaccard, mixing, substring, toxicity
 from trackfold.llm.common import bloom, checkpointed, may_hold, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Of a row in the mix: 128 bits of its contents.
+KEYS = ("key1", "key2")
 #: A stage scores with a model, so SQL cannot express the rows.
 ORACLE_SQL = None
 
@@ -56,13 +58,24 @@ def cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("kept").alias("text"), "rest.lang", "rest.source", F.char_length("kept").cast("bigint").alias("n_chars"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEYS, which tell rows apart that differ in any column; null ids and repeated ids included."""
+    flags = [F.col(c).isNull() for c in COLUMNS]
+    return docs.select("*", *[F.xxhash64(F.lit(i), *flags, *COLUMNS).alias(k) for i, k in enumerate(KEYS)])
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document: its text, or the words that are taken where a source's target ends within it."""
-    docs = _documents(docs)
-    placed, pieces = mixing.mixed(docs)
-    taken = pieces.groupBy("rank", "at", "doc_id", "epoch").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-    taken = taken.join(placed.select("rank", "at", "doc_id", "size"), ["rank", "at", "doc_id"]).where("size > 0").select("doc_id", "size", "first", "n")
-    both = taken.join(docs, "doc_id").where(F.col("size") == mixing.words(F.col("text")))
+    docs = _keyed(_documents(docs))
+    placed, pieces = mixing.mixed(docs, also=KEYS)
+    taken = pieces.groupBy("rank", "at", "epoch").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    taken = taken.join(placed.where("size > 0").select("rank", "at", "size", *KEYS), ["rank", "at"]).select("size", "first", "n", *KEYS)
+    # equal rows are one here, as each of them has rows of its own in taken
+    many = checkpointed(placed.groupBy(*KEYS).agg(F.count("*").alias("m")).where("m > 1").select(*KEYS))
+    if not many.isEmpty():
+        filter_ = bloom(many, KEYS[0])
+        docs = may_hold(docs, KEYS[0], filter_, False).unionByName(may_hold(docs, KEYS[0], filter_).dropDuplicates(list(KEYS)))
+    both = taken.join(docs, list(KEYS))
     some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), (F.col("first") + 1).cast("int"), F.col("n").cast("int")), " ")
     text = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(some)
     return both.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("bigint").alias("n_chars"))

@@ -17,8 +17,9 @@ size: slots may be shared, which costs candidates and never a link.
 
 Defined results: lower case means A-Z; fewer than five words are one shingle; without
 words (null, empty) a set is empty, links with nothing and is its own class; equal
-sets are linked; rows of a repeated doc_id are one class; an empty table gives no
-rows; other columns are ignored.
+sets are linked; rows of a repeated doc_id are one class; a row of a null doc_id links
+with nothing and has a null class; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -410,28 +411,35 @@ def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     classes = spark.sparkContext.broadcast(frequencies(docs, k))  # SLOTS bytes
     sig = checkpointed(signatures(docs, classes, k))
-    sets = checkpointed(sig.where("n_shingles > 0").groupBy("set1", "set2", "n_shingles", "grp").agg(F.min("doc_id").alias("rep")))
+    known = docs.where("doc_id is not null")
+    sets = checkpointed(sig.where("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2", "n_shingles", "grp").agg(F.min("doc_id").alias("rep")))
     groups = sets.groupBy("grp").agg(F.min("rep").alias("rep"), F.count("*").alias("m"), F.first("n_shingles").alias("n"))
-    run = checkpointed(runs(docs, classes, k))
+    run = checkpointed(runs(known, classes, k))
     g = groups.select("grp", "rep")
     pairs = led(run).join(g.select(F.col("grp").alias("a"), F.col("rep").alias("ra")), "a").join(g.select(F.col("grp").alias("b"), F.col("rep").alias("rb")), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     inside = sets.join(g.withColumnRenamed("rep", "lead"), "grp").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     blocks = max(1, sets.count() // TOGETHER)
     asked = pairs.union(inside).groupBy(_block(F.col("a"), blocks).alias("block"), "b", F.col("b").alias("cb")).agg(F.collect_set(F.struct("a", F.col("a").alias("c"))).alias("with"))
-    links = checkpointed(verified(asked, docs, k))
+    links = checkpointed(verified(asked, known, k))
+    # rows of one doc_id: it is linked with the representative of each of its sets
+    again = sig.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id")
+    again = checkpointed(sig.join(again, "doc_id").join(sets, ["set1", "set2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = links.union(again)
     comp = components(links)
     # pairs that are left: a token, or a group of several sets, over more than one class
     rows = opened(run).union(groups.where("m > 1").select(F.xxhash64("grp").alias("token"), "grp", "n", F.lit(0).cast("bigint").alias("at")))
     classes_of = sets.select("grp", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp"))
     rows = rows.join(classes_of.groupBy("grp").agg(F.collect_list(F.struct("rep", "comp")).alias("members")), "grp").select("token", "n", "at", F.explode("members").alias("x")).select("token", "x.rep", "n", "at", "x.comp")
     rows = rows.repartition(parts(spark), "token")
-    more = checkpointed(verified(across(rows, blocks), docs, k))
+    more = checkpointed(verified(across(rows, blocks), known, k))
     if not more.isEmpty():
         comp = components(links.union(more))
     named = sets.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set1", "set2", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("component_id"))
     # a class is named by the smallest member, which is a representative
     same = sig.join(named, (sig.set1 == named.set1) & (sig.set2 == named.set2) & (sig.n_shingles == named._n), "left")
-    return same.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    class_of = again.select("b").distinct().join(comp, F.col("b") == F.col("id")).select(F.col("b").alias("doc_id"), F.col("component").alias("_c"))
+    same = same.select("doc_id", sig.n_shingles, "component_id").join(class_of, "doc_id", "left")
+    return same.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "component_id", "doc_id")).alias("component_id"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

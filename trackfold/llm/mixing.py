@@ -76,10 +76,10 @@ def targets(sources: DataFrame, share: float, most: float) -> DataFrame:
     return s.withColumn("target", F.least("cap", F.col("weight") * F.lit(level))).drop("cap", "weight")
 
 
-def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces). documents: doc_id, source, rank (of the source), size, source_size, target, at (its first word in the source's stream). pieces, in mix order by slot (null: after all slots) and block: rank, block, slot, at, epoch, doc_id, first (word of the document), n."""
+def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 17, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(documents, pieces). documents: doc_id, source, rank (of the source), size, source_size, target, at (its first word in the source's stream), and the columns `also`, which order documents of one id and size. pieces, in mix order by slot (null: after all slots) and block: rank, block, slot, at, epoch, doc_id, first (word of the document), n."""
     spark = docs.sparkSession
-    sized = checkpointed(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
+    sized = checkpointed(docs.select("doc_id", "source", words(F.col("text")).alias("size"), *also))
     sources = ordered(sized.groupBy("source").agg(F.sum("size").alias("size")), F.col("source").asc_nulls_last()).drop("before")
     sources = targets(sources, share, most)
     sources = ordered(sources.withColumnRenamed("rank", "_rank"), F.col("_rank"), F.round("target")).drop("_rank").withColumn("length", F.round("target").cast("bigint"))
@@ -88,7 +88,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = B
     small = F.broadcast if n <= BROADCAST_SOURCES else (lambda x: x)
     placed = sized.join(small(sources.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "before")
     placed = placed.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 1))
-    placed = checkpointed(running(placed, "rank", F.shiftright("_h", 51), ["_h", "doc_id"], F.col("size"), "at").drop("_h"))  # 4096 buckets
+    placed = checkpointed(running(placed, "rank", F.shiftright("_h", 51), ["_h", "doc_id", *also], F.col("size"), "at").drop("_h"))  # 4096 buckets
 
     # the schedule, with room for what a low-discrepancy sequence may be short of
     slots = int(whole / block * 1.02) + n + 64 if whole else 0
