@@ -173,6 +173,24 @@ def test_segmentation_of_discs(spark):
     assert {r.lineage for r in out.where("kind = 'colony'").collect()} == {"0", "1"}
 
 
+def test_split_at_a_notch_on_one_side_and_of_long_chains():
+    m = np.zeros((40, 80), bool)
+    m[10:30, 10:70] = True
+    for k in range(13):  # a notch from above that leaves seven rows
+        m[10 + k, 40 - (13 - k) // 2 : 41 + (13 - k) // 2] = False
+    (c,) = morph.contours(m)
+    parts = morph.split(c, 0.6, 50)
+    assert len(parts) == 2 and sorted(int(p[:, 0].mean() > 40) for p in parts) == [0, 1]
+
+    yy, xx = np.mgrid[:40, : 60 * 17 + 40]
+    chain = np.zeros(yy.shape, bool)
+    for k in range(60):
+        chain |= (yy - 20) ** 2 + (xx - 20 - 17 * k) ** 2 <= 9**2
+    (c,) = morph.contours(chain)
+    parts = morph.split(c, 0.6, 50)
+    assert len(parts) == 60 and all(np.ptp(p[:, 0]) < 20 for p in parts)
+
+
 def test_focus_picks_the_sharp_plane():
     rng = np.random.default_rng(1)
     sharp = rng.integers(0, 255, (64, 64)).astype(np.uint8)

@@ -252,23 +252,50 @@ def pinches(k: np.ndarray, height: float = 0.1, apart: int = 10) -> np.ndarray:
     return np.array(sorted(keep), dtype=int)
 
 
-def split(c: np.ndarray, factor: float, least: float, depth: int = 8) -> list[np.ndarray]:
-    """A contour cut in two between near pinches that lie far apart along it, if both parts are large enough, again and again."""
-    c = np.asarray(c).reshape(-1, 2)
+def across(c: np.ndarray, i: int, reach: float, apart: int, around: int = 5) -> tuple[float, int, int] | None:
+    """From point i of a contour to the nearest one within reach that is more than `apart` away along the ring, both then moved by up to `around` places, not past the contour's ends, to where they are nearest: distance and indices."""
     n = len(c)
-    if n < 20 or depth == 0:
-        return [c]
+    d = np.hypot(*(c - c[i]).T)
+    along = np.abs(np.arange(n) - i)
+    far = np.flatnonzero((d <= reach) & (np.minimum(along, n - along) > apart))
+    if not len(far):
+        return None
+    j = int(far[d[far].argmin()])
+    p, q = (np.arange(max(0, k - around), min(n, k + around + 1)) for k in (i, j))
+    between = np.hypot(*(c[p][:, None] - c[q][None]).transpose(2, 0, 1))
+    at = np.unravel_index(int(between.argmin()), between.shape)
+    i, j = sorted((int(p[at[0]]), int(q[at[1]])))
+    return None if min(j - i, n - j + i) < apart else (float(between[at]), i, j)
+
+
+def _cut(c: np.ndarray, factor: float, least: float) -> tuple[np.ndarray, np.ndarray] | None:
+    n = len(c)
+    if n < 20:
+        return None
     sign = 1 if ((c[:, 0] * np.roll(c[:, 1], -1) - np.roll(c[:, 0], -1) * c[:, 1]).sum()) > 0 else -1
     at = pinches(sign * curvature(c))
+    if not len(at):
+        return None
     reach = 2 * float(distance(np.pad(mask_of(c), 1)).max()) * factor
-    pairs = [(float(np.hypot(*(c[i] - c[j]))), i, j) for a, i in enumerate(at) for j in at[a + 1 :] if min(j - i, n - j + i) >= max(n / 5, 10)]
-    for d, i, j in sorted(pairs):
-        if d > reach:
-            break
-        one, two = c[i + 1 : j], np.concatenate([c[j + 1 :], c[:i]])
+    pairs = [across(c, int(i), reach, max(n // 5, 10)) for i in at]
+    for _, i, j in sorted((p for p in pairs if p), key=lambda p: p[0]):
+        one, two = np.concatenate([c[:i], c[j + 1 :]]), c[i + 1 : j]
         if len(one) > 2 and len(two) > 2 and area(one) >= least and area(two) >= least:
-            return split(one, factor, least, depth - 1) + split(two, factor, least, depth - 1)
-    return [c]
+            return one, two
+    return None
+
+
+def split(c: np.ndarray, factor: float, least: float) -> list[np.ndarray]:
+    """A contour cut in two between a pinch and the near contour on its other side, if both parts are large enough, again and again until nothing can be cut."""
+    left, out = [np.asarray(c).reshape(-1, 2)], []
+    while left:
+        c = left.pop()
+        parts = _cut(c, factor, least)
+        if parts is None:
+            out.append(c)
+        else:
+            left += parts[::-1]
+    return out
 
 
 def watershed(m: np.ndarray, h: float = 1.0) -> np.ndarray:
