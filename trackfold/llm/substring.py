@@ -1,12 +1,9 @@
-"""Substring dedup (operator 6): relative Lempel-Ziv parsing over words.
-
-Every document is factored against the text of the documents before it. The reference
-is indexed in blocks: phrases (runs of windows of one trigger, see `repeats`) under
-the hash of their trigger, blocks being dealt over tasks. A phrase that an earlier
-document holds whole is copied at once, and neighbours so copied are one longer factor.
-At a factor's boundary, where a phrase differs from those in the index, each of its
-windows is looked up in the block by its words: the factor grows by those found.
-Factors of at least a window's length are duplicate spans; the words between are literals.
+"""Substring dedup (operator 6): repeated passages of words.
+
+The method is that of operator 4 (see `repeats`) with words as units, not a relative
+Lempel-Ziv parsing: phrases (runs of windows of one trigger) meet under the hash of
+their trigger, and suffix ranks to a window's depth find the windows that an earlier
+document holds. Words within such windows are removed; the words between are kept.
 
 Defined results: a null text has no words; a text shorter than a window keeps all its
 words; of equal rows with one doc_id none removes the other, as no id is smaller; a
