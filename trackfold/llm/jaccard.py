@@ -2,15 +2,14 @@
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Shingles have one
 global order, rare ones first; two sets that reach the threshold share one of their
-first n - ceil(t * n) + 1. Documents of equal prefix and size form a group, and
-only groups meet under a prefix shingle, where their sizes and the shingle's places
-bound the overlap they can reach. Surviving group pairs are expanded to members,
-and each pair of different sets is verified on its texts.
+first n - ceil(t * n) + 1. Documents of equal prefix and size form a group. Sizes and the shingle's places
+bound the overlap that two can reach; pairs that survive are verified on their texts.
 
 Connectivity, not all pairs, is what classes need: first each group is verified
 against the two leaders it meets under most shingles, and links join classes; then
-every pair that is still in different classes is verified, so no link between different
-classes is lost.
+groups are expanded to members, and every pair of these that meets under a shingle and
+is still in different classes is verified, so no link between different classes is lost.
+A document's links are not counted.
 
 The order's frequencies are counted over all documents in SLOTS hashed slots, a fixed
 size: slots may be shared, which costs candidates and never a link.
