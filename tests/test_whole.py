@@ -1,13 +1,14 @@
 """Queries take all rows of their tables."""
 
+import hashlib
 import zlib
 from datetime import datetime
 
 import numpy as np
 
-from trackfold.functions.kernels import gp
-from trackfold.operators import growth
-from trackfold.plans.catalog import QUERIES
+from trackfold.functions.kernels import gp, segment
+from trackfold.operators import growth, segmentation
+from trackfold.plans.catalog import QUERIES, synthetic_frames
 
 
 def stored(spark, place, **tables):
@@ -43,3 +44,19 @@ def test_growth_rates_take_the_best_of_five_starts(spark):
         assert np.allclose([r.area_growth_rate for r in rows], best, rtol=1e-6, atol=1e-9), key
         one_is_worse += not np.allclose(one, best, rtol=1e-3, atol=1e-6)
     assert one_is_worse
+
+
+def test_focused_frames_depend_on_the_focus(spark):
+    stacks = {}
+    for r in synthetic_frames(spark, 2, 3).orderBy("label", "time_index").collect():
+        stacks.setdefault(r.label, []).append(segmentation.array_of(r.image.asDict()))
+    got = {r.label: r for r in QUERIES["focused_frames"](spark, "").collect()}
+    assert set(got) == set(stacks)
+    digest = lambda a: hashlib.sha256(bytes(segmentation.image_of(a)["px"])).hexdigest()
+    for label, a in stacks.items():
+        assert [got[label].digest, got[label].digest_large_backlash] == [digest(segment.flatten(np.stack(a), x)) for x in (False, True)]
+        assert got[label].digest != digest(segment.flatten(np.stack(a[:1])))
+    best = {r.label: (r.z_index, r.score) for r in QUERIES["sharpest_planes"](spark, "").collect()}
+    for label, a in stacks.items():
+        score = [segment.sharpness(x.astype(float)) for x in a]
+        assert best[label][0] == int(np.argmax(score)) and np.isclose(best[label][1], max(score))

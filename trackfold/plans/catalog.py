@@ -568,9 +568,20 @@ def segmented_lineages(s, d):
     return segmentation.lineages(segmentation.objects(synthetic_frames(s)))
 
 
+def synthetic_stacks(s: SparkSession) -> DataFrame:
+    """Drawn frames, a label's times as depths."""
+    return synthetic_frames(s, 2, 3).withColumn("z_index", F.col("time_index")).withColumn("time_index", F.lit(0))
+
+
 @query()
 def focused_frames(s, d):
-    """I18-I20, T6 on drawn stacks."""
-    f = synthetic_frames(s, 2, 3)
-    z = f.withColumn("z_index", F.col("time_index")).withColumn("time_index", F.lit(0))
-    return segmentation.flattened(z).select("label", "time_index", "image.h", "image.w")
+    """I18-I20 on drawn stacks: the focused images' digests, for both settings of backlash."""
+    z = synthetic_stacks(s)
+    small, large = (segmentation.flattened(z, large_backlash=x).select("label", "time_index", "image.h", "image.w", F.sha2("image.px", 256).alias(n)) for x, n in ((False, "digest"), (True, "digest_large_backlash")))
+    return small.join(large.select("label", "time_index", "digest_large_backlash"), ["label", "time_index"])
+
+
+@query()
+def sharpest_planes(s, d):
+    """T6, I16 on drawn stacks."""
+    return segmentation.sharpest(synthetic_stacks(s))
