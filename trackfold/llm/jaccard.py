@@ -2,23 +2,30 @@
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Shingles have one
 global order, rare ones first; two sets that reach the threshold share one of their
-first n - ceil(t * n) + 1. Documents of equal prefix and size form a group. Sizes and the shingle's places
-bound the overlap that two can reach; pairs that survive are verified on their texts.
-
-Connectivity, not all pairs, is what classes need: first each group is verified
-against the two leaders it meets under most shingles, and links join classes; then
-groups are expanded to members, and every pair of these that meets under a shingle and
-is still in different classes is verified, so no link between different classes is lost.
-A document's links are not counted.
+first n - ceil(t * n) + 1. Documents of equal prefix and size form a group.
+
+1. Groups meet under prefix shingles. Sizes and the shingle's places bound the overlap
+   that two groups can reach; groups without a partner under a shingle leave its run.
+2. Runs that overlap are joined into clusters, by the member of least hash: copies of
+   one text meet under each of their shingles, and their texts are to move once.
+3. Groups are expanded to their sets, whose texts move to the clusters, compressed. A
+   cluster of more than CHUNK sets is dealt in chunks, each pair of chunks to a task.
+4. In a cluster sets are searched breadth first: a set that is reached is compared with
+   those not reached yet. Parity sketches bound the difference of two sets from below;
+   pairs that survive are verified in full. The links found span each class.
+
+Classes need connectivity, so pairs within a class that is linked already are not
+verified, and a document's links are not counted. No step writes pairs: a cluster of m
+sets gives at most m - 1 links.
 
 The order's frequencies are counted over all documents in SLOTS hashed slots, a fixed
 size: slots may be shared, which costs candidates and never a link.
 
 Defined results: lower case means A-Z; fewer than five words are one shingle; without
 words (null, empty) a set is empty, links with nothing and is its own class; equal
-sets are linked; rows of a repeated doc_id are one class; a row of a null doc_id links
-with nothing and has a null class; an empty table gives no rows; other columns are
-ignored.
+sets are linked; all rows of a repeated doc_id are one class, whatever their texts; a
+row of a null doc_id links with nothing and has a null class; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +36,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackfold.llm.common import Rolling, Words, bloom, checkpointed, components, may_hold, mix, parts, steps, table, texts_of
+from trackfold.llm.common import Rolling, Words, bloom, checkpointed, components, in_bloom, mix, parts, ragged, steps, table, texts_of, trimmed
 
 WORDS = 5
 #: The threshold as a fraction: inter * DEN >= union * NUM.
 NUM, DEN = 3, 4
 SLOTS = 1 << 20
-#: Members of a run that others are tried with before all remaining pairs are.
-LEADERS = 4
-#: Documents that others are verified against together, on average.
-TOGETHER = 64
+#: Members of a run beyond which all are taken for candidates, as filtering would try all pairs.
+LONG_RUN = 4096
+#: Runs of one key are one cluster up to so many members; beyond, those that overlap by half are.
+SMALL = 256
+#: Sets of a cluster that are compared in one task.
+CHUNK = 8192
+#: Text bytes of clusters that are compared in one step; a larger cluster makes a step of its own.
+TOGETHER = 1 << 20
 _ROWS = 60_000
 
 
@@ -234,174 +245,204 @@ def _can(n1, at1, n2, at2):
     return (np.minimum(n1 - at1, n2 - at2) >= need) & (np.minimum(n1, n2) * DEN >= np.maximum(n1, n2) * NUM)
 
 
-def _leads(token, ids, n, at, comp, seed: int):
-    """Of the members of runs: pairs with the LEADERS members of the run that come first by a hash, and in how many runs they meet. Only pairs of different classes that may reach the threshold."""
-    order = np.lexsort((mix(ids.view(np.uint64) + np.uint64(seed)), token))
-    token, ids, n, at, comp = token[order], ids[order], n[order], at[order], comp[order]
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    size = np.diff(np.r_[first, len(token)])
-    begin, size = np.repeat(first, size), np.repeat(size, size)
-    pairs = []
-    for j in range(LEADERS):
-        me = np.flatnonzero(size > j)
-        lead = begin[me] + j
-        ok = (comp[me] != comp[lead]) & _can(n[me], at[me], n[lead], at[lead])
-        pairs.append(np.stack([ids[me[ok]], ids[lead[ok]]], axis=1))
-    pair, count = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-    return pa.RecordBatch.from_pydict({"id": pa.array(pair[:, 0]), "lead": pa.array(pair[:, 1]), "n": pa.array(count.astype(np.int64))})
-
-
-def _best(found: DataFrame) -> DataFrame:
-    """For each member the two leaders that it meets most often: pairs (a, b)."""
-    one = found.groupBy("id", "lead").agg(F.sum("n").alias("n")).groupBy("id").agg(F.max(F.struct("n", "lead")).alias("x"), F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("y"))
-    each = one.select("id", F.explode(F.array_distinct(F.array("x.lead", -F.col("y.m")))).alias("lead"))
-    return each.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-
+def _partnered(x: np.ndarray) -> np.ndarray:
+    """x: entries by token and size. Those that can reach the threshold with another one under their token."""
+    n, at, token = x["n"].astype(np.int64), x["at"].astype(np.int64), x["token"].astype(np.uint64)
+    ends = np.searchsorted(token, token, "right")
+    begins = np.searchsorted(token, token, "left")
+    out = ends - begins > LONG_RUN
+    live = np.flatnonzero(~out)
+    step = 1
+    while len(live):  # by ascending size: a partner's size is at most n * DEN / NUM
+        live = live[live + step < ends[live]]
+        live = live[n[live + step] * NUM <= n[live] * DEN]
+        ok = live[_can(n[live], at[live], n[live + step], at[live + step])]
+        out[ok] = out[ok + step] = True
+        step += 1
+    return out
 
-def led(run: DataFrame) -> DataFrame:
-    """Group pairs (a, b), at most two for each group."""
 
-    def leads(batches):
+def _merged(runs_: list[np.ndarray]) -> list[np.ndarray]:
+    """Runs of one key, as clusters."""
+    whole = np.unique(np.concatenate(runs_))
+    if len(whole) <= SMALL:
+        return [whole]
+    out: list[set] = []
+    for r in sorted({x.tobytes(): x for x in runs_}.values(), key=len, reverse=True):
+        own = set(r.tolist())
+        for c in out:
+            if 2 * len(own & c) >= len(own):
+                c |= own
+                break
+        else:
+            out.append(own)
+    return [np.array(sorted(c), dtype=np.int64) for c in out]
+
+
+def clusters(run: DataFrame) -> DataFrame:
+    """run: packed runs. Rows cluster, grp: every two groups that can reach the threshold are in a cluster together."""
+    n_parts = parts(run.sparkSession)
+
+    def keyed(batches):
         for b in batches:
             for blob in b.column("run").to_pylist():
                 x = _unpack(blob)
-                g = np.ascontiguousarray(x["grp"].astype(np.int64))
-                yield _leads(x["token"].astype(np.uint64), g, x["n"].astype(np.int64), x["at"].astype(np.int64), g, 0)
-
-    return _best(run.mapInArrow(leads, "id long, lead long, n long"))
+                x = x[np.lexsort((x["n"], x["token"]))]
+                x = x[_partnered(x)]
+                if not len(x):
+                    continue
+                grp = np.ascontiguousarray(x["grp"].astype(np.int64))
+                x = x[np.lexsort((mix(grp.view(np.uint64)), x["token"]))]
+                grp, new = x["grp"].astype(np.int64), np.r_[True, x["token"][1:] != x["token"][:-1]]
+                at = np.flatnonzero(new)
+                size = np.diff(np.r_[at, len(x)])
+                key = grp[at]
+                part = (mix(key.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                at, size, key, part = at[order], size[order], key[order], part[order]
+                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+                blobs = [zstandard.compress(np.int64(z - a).tobytes() + size[a:z].tobytes() + grp[ragged(at[a:z], size[a:z])].tobytes(), 1) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
+    def gather(batches):
+        from pyspark import TaskContext
 
-def opened(run: DataFrame) -> DataFrame:
-    def rows(batches):
+        place, number = TaskContext.get().partitionId() << 33, 0
+        held: dict[int, dict[bytes, np.ndarray]] = {}
         for b in batches:
-            for blob in b.column("run").to_pylist():
-                x = _unpack(blob)
-                yield pa.RecordBatch.from_pydict({"token": pa.array(x["token"].astype(np.uint64).view(np.int64)), "grp": pa.array(x["grp"].astype(np.int64)), "n": pa.array(x["n"].astype(np.int64)), "at": pa.array(x["at"].astype(np.int64))})
-
-    return run.mapInArrow(rows, "token long, grp long, n long, at long")
-
-
-def _block(a, blocks: int):
-    """Of documents that others are verified against together: the same for columns and for arrays."""
-    m = a % ((1 << 31) - 1)
-    if isinstance(a, np.ndarray):
-        return m * 40503 % blocks
-    return F.pmod(F.pmod(a, F.lit((1 << 31) - 1)) * 40503, F.lit(blocks)).cast("bigint")
-
-
-_ASKED = "block long, b long, cb long, with array<struct<a:long,c:long>>"
-
-
-def across(rows: DataFrame, blocks: int) -> DataFrame:
-    """rows: token, rep, n, at, comp, all of a token in one partition. For each document b the documents a under one of its tokens that are in another class and that it may reach the threshold with, by blocks; every such pair is in the result."""
-
-    def grouped(a, b, ca, cb):
-        block = _block(a, blocks)
-        order = np.lexsort((a, b, block))
-        a, b, ca, cb, block = a[order], b[order], ca[order], cb[order], block[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        a, b, ca, cb, block = a[new], b[new], ca[new], cb[new], block[new]
-        cuts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (block[1:] != block[:-1])])
-        with_ = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(a)), pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(ca)], names=["a", "c"]))
-        return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(b[cuts]), pa.array(cb[cuts]), with_], names=["block", "b", "cb", "with"])
-
-    def pairs(batches):
-        held: list[pa.RecordBatch] = [b for b in batches if len(b)]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        x = {c: t.column(c).to_numpy() for c in t.column_names}
-        order = np.lexsort((x["n"], x["token"]))
-        x = {c: v[order] for c, v in x.items()}
-        ends = np.searchsorted(x["token"], x["token"], "right")
-        # by ascending size: a partner's size is at most n * DEN / NUM
-        out: list[np.ndarray] = []
-        size, step = 0, 1
-        live = np.arange(len(order))
-        while len(live):
-            other = live + step
-            live, other = live[other < ends[live]], other[other < ends[live]]
-            near = x["n"][other] * NUM <= x["n"][live] * DEN
-            live, other = live[near], other[near]
-            ok = (x["comp"][live] != x["comp"][other]) & _can(x["n"][live], x["at"][live], x["n"][other], x["at"][other])
-            i, j = live[ok], other[ok]
-            swap = x["rep"][i] > x["rep"][j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            out.append(np.stack([i, j]))
-            size += len(i)
-            if size > 1_000_000:
-                i, j = np.concatenate(out, axis=1)
-                yield grouped(x["rep"][i], x["rep"][j], x["comp"][i], x["comp"][j])
-                out, size = [], 0
-            step += 1
-        if size:
-            i, j = np.concatenate(out, axis=1)
-            yield grouped(x["rep"][i], x["rep"][j], x["comp"][i], x["comp"][j])
-
-    found = rows.mapInArrow(pairs, _ASKED)
-    return found.groupBy("block", "b", "cb").agg(F.array_distinct(F.flatten(F.collect_list("with"))).alias("with"))
-
-
-def _short(ranges):
-    """Ranges of at most half of _ROWS rows."""
-    for a, z in ranges:
-        for i in range(a, z, _ROWS // 2):
-            yield i, min(z, i + _ROWS // 2)
+            for blob in b.column("blob").to_pylist():
+                raw = np.frombuffer(zstandard.decompress(blob), np.int64)
+                size = raw[1 : 1 + raw[0]]
+                members, end = raw[1 + raw[0] :], np.cumsum(size)
+                for a, z in zip((end - size).tolist(), end.tolist(), strict=True):
+                    m = members[a:z]
+                    held.setdefault(int(m[0]), {}).setdefault(m.tobytes(), m)  # the first of a run has the least hash
+        ids, groups = [], []
+        for found in held.values():
+            for c in _merged(list(found.values())):
+                ids.append(np.full(len(c), place + number))
+                groups.append(c)
+                number += 1
+        if ids:
+            ids, groups = np.concatenate(ids), np.concatenate(groups)
+            for i in range(0, len(ids), _ROWS):
+                yield pa.RecordBatch.from_pydict({"cluster": pa.array(ids[i : i + _ROWS]), "grp": pa.array(groups[i : i + _ROWS])})
+
+    return run.mapInArrow(keyed, "part int, blob binary").repartition(n_parts, "part").mapInArrow(gather, "cluster long, grp long")
+
+
+class _Sets:
+    """Shingle sets of some texts with parity sketches: bit b of a sketch says whether the set has an odd number of shingles that fall on b, so two sets differ in no fewer shingles than their sketches in bits."""
+
+    def __init__(self, texts: list[bytes], k: int):
+        h, self.bounds = shingle_sets_of(texts, k)
+        self.n = np.diff(self.bounds)
+        self.sign = _sum_by(mix(h ^ np.uint64(0x5851F42D4C957F2D)), np.repeat(np.arange(len(texts)), self.n), len(texts)).view(np.int64)
+        most = int(self.n.max()) if len(self.n) else 0
+        width = min(4096, max(256, 1 << (4 * most).bit_length()))
+        self.sketch = np.zeros((len(texts), width // 64), dtype=np.uint64)
+        per = max(1, (1 << 23) // width)
+        for a in range(0, len(texts), per):
+            z = min(a + per, len(texts))
+            own = h[self.bounds[a] : self.bounds[z]]
+            at = np.repeat(np.arange(z - a) * width, self.n[a:z]) + (own % np.uint64(width)).astype(np.int64)
+            odd = np.bincount(at, minlength=(z - a) * width).astype(np.uint8) & 1
+            self.sketch[a:z] = np.packbits(odd.reshape(z - a, width), axis=1).view(np.uint64)
+        self.ids = np.unique(h, return_inverse=True)[1].astype(np.int64)
+        self.span = int(self.ids.max()) + 1 if len(self.ids) else 1
+        self.keys = np.repeat(np.arange(len(texts)), self.n) * self.span + self.ids
+
+    def likely(self, i, j) -> np.ndarray:
+        n, m = self.n[i], self.n[j]
+        ok = np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM
+        differ = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=-1, dtype=np.int64)
+        return ok & (differ * (DEN + NUM) <= (n + m) * (DEN - NUM))
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the sets of each pair reach the threshold, counted in full."""
+        out = np.zeros(len(i), dtype=bool)
+        size = self.n[i]
+        for a, z in steps((8 * size).tolist(), 1 << 24):
+            own = ragged(self.bounds[i[a:z]], size[a:z])
+            want = np.repeat(j[a:z], size[a:z]) * self.span + self.ids[own]
+            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            both = np.bincount(np.repeat(np.arange(z - a), size[a:z]), weights=self.keys[at] == want, minlength=z - a).astype(np.int64)
+            out[a:z] = both * DEN >= (size[a:z] + self.n[j[a:z]] - both) * NUM
+        return out
+
+
+def shingle_sets_of(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of any number of texts."""
+    found, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for i in range(0, len(texts), _ROWS):
+        for a, z in steps(len(t) for t in texts[i : i + _ROWS]):
+            h, at = shingle_sets(texts[i + a : i + z], k)
+            bounds.append(at[1:] + bounds[-1][-1])
+            found.append(h)
+    return np.concatenate(found), np.concatenate(bounds)
+
+
+def _spanning(sets: _Sets, members: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span each class among members, breadth first."""
+    out = []
+    left = members
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            may = np.flatnonzero(sets.likely(i, left))
+            hit = may[sets.near(left[may], np.full(len(may), i))] if len(may) else may
+            if len(hit):
+                found = left[hit].tolist()
+                out += [(i, j) for j in found]
+                reached += found
+                left = np.delete(left, hit)
+    return out
 
 
-def verified(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """asked: block, b, cb (its class), with (documents a and their classes c). Pairs (a, b) whose sets reach the threshold; of classes that a task has linked already, further pairs are passed over."""
+def linked(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """asked: cell, a (doc_id), set1 (of its set). Pairs (a, b) of sets in one cell that reach the threshold, enough of them to span the classes of the cell."""
     asked = checkpointed(asked)
-    members = asked.select("block", F.transform("with", lambda w: w.a).alias("a")).groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("a"))).alias("a"))
+    filter_ = bloom(asked, "a")
 
-    def listed(batches):
+    def pack(batches):
+        z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            a = b.column("a")
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.repeat(b.column("block").to_numpy(), np.diff(a.offsets.to_numpy()))), "a": a.flatten()})
-
-    one = checkpointed(members.mapInArrow(listed, "block long, a long"))
-    some = may_hold(docs, "doc_id", bloom(asked.select("b").union(one.select("a")), "b"))
-    held = some.withColumnRenamed("doc_id", "a").join(one, "a").groupBy("block").agg(F.collect_list(F.struct("a", "text")).alias("held"))
-    x = asked.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(held, "block")
-    x = x.select("b", "cb", "tb", "with", F.filter("held", lambda h: F.exists("with", lambda w: w.a == h.a)).alias("held"))
-
-    def run(batches):
-        up: dict[int, int] = {}
-
-        def find(c):
-            while c in up:
-                c = up[c]
-            return c
+            b = b.filter(pa.array(in_bloom(filter_, b.column("doc_id").to_numpy()) if len(b) else np.zeros(0, bool)))
+            yield pa.RecordBatch.from_pydict({"a": b.column("doc_id"), "packed": pa.array([z.compress(t) for t in texts_of(b)], pa.binary())})
+
+    rows = asked.join(docs.mapInArrow(pack, "a long, packed binary"), "a").repartition(parts(docs.sparkSession), "cell").sortWithinPartitions("cell")
+
+    def compare(batches):
+        z = zstandard.ZstdDecompressor()
+        held: list[tuple[int, int, int, bytes]] = []
+        total = 0
+
+        def found():
+            at: dict[tuple[int, bytes], int] = {}
+            cells: dict[int, set[int]] = {}
+            own = [(cell, at.setdefault((a, text), len(at)), want) for cell, a, want, text in held]
+            sets = _Sets([text for _, text in at], k)
+            ids = [a for a, _ in at]
+            for cell, i, want in own:
+                if sets.sign[i] == want and sets.n[i]:  # a repeated doc_id has other texts too
+                    cells.setdefault(cell, set()).add(i)
+            links = [p for c in cells.values() if len(c) > 1 for p in _spanning(sets, np.array(sorted(c)))]
+            return pa.RecordBatch.from_pydict({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
         for b in batches:
-            tb, idb, cb = texts_of(b, "tb"), b.column("b").to_pylist(), b.column("cb").to_pylist()
-            lists = b.column("held")
-            flat = lists.flatten()
-            ta = texts_of(pa.RecordBatch.from_arrays([flat.field("text")], names=["text"]))
-            ida = flat.field("a").to_pylist()
-            owner = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy())).tolist()
-            class_of = [{w["a"]: w["c"] for w in ws} for ws in b.column("with").to_pylist()]
-            links = []
-            for i, j in _short(steps(len(t) + len(tb[o]) for t, o in zip(ta, owner, strict=True))):
-                own = list(dict.fromkeys([*ta[i:j], *(tb[o] for o in owner[i:j])]))
-                at = {t: m for m, t in enumerate(own)}
-                h, bounds = shingle_sets(own, k)
-                sets = [h[p:q] for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
-                for m in range(i, j):
-                    o = owner[m]
-                    p, q = sets[at[ta[m]]], sets[at[tb[o]]]
-                    if not len(p) or min(len(p), len(q)) * DEN < max(len(p), len(q)) * NUM:
-                        continue
-                    c, d = find(class_of[o][ida[m]]), find(cb[o])
-                    if c == d:
-                        continue
-                    both = int(np.isin(p, q, assume_unique=True, kind="sort").sum())
-                    if both * DEN >= (len(p) + len(q) - both) * NUM:
-                        links.append((ida[m], idb[o]))
-                        up[max(c, d)] = min(c, d)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return x.mapInArrow(run, "a long, b long")
+            for cell, a, want, blob in zip(*(b.column(c).to_pylist() for c in ("cell", "a", "set1", "packed")), strict=True):
+                if total > TOGETHER and cell != held[-1][0]:
+                    yield found()
+                    held, total = [], 0
+                held.append((cell, a, want, z.decompress(blob)))
+                total += len(held[-1][3])
+        if held:
+            yield found()
+        held = []
+        trimmed()
+
+    return rows.select("cell", "a", "set1", "packed").mapInArrow(compare, "a long, b long")
 
 
 def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -412,32 +453,25 @@ def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
     sig = checkpointed(signatures(docs, classes, k))
     known = docs.where("doc_id is not null")
     sets = checkpointed(sig.where("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2", "n_shingles", "grp").agg(F.min("doc_id").alias("rep")))
-    groups = sets.groupBy("grp").agg(F.min("rep").alias("rep"), F.count("*").alias("m"), F.first("n_shingles").alias("n"))
-    run = checkpointed(runs(known, classes, k))
-    g = groups.select("grp", "rep")
-    pairs = led(run).join(g.select(F.col("grp").alias("a"), F.col("rep").alias("ra")), "a").join(g.select(F.col("grp").alias("b"), F.col("rep").alias("rb")), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    inside = sets.join(g.withColumnRenamed("rep", "lead"), "grp").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    blocks = max(1, sets.count() // TOGETHER)
-    asked = pairs.union(inside).groupBy(_block(F.col("a"), blocks).alias("block"), "b", F.col("b").alias("cb")).agg(F.collect_set(F.struct("a", F.col("a").alias("c"))).alias("with"))
-    links = checkpointed(verified(asked, known, k))
+    found = clusters(runs(known, classes, k))
+    # a group of several sets is a cluster too, as no shingle need be shared with another group
+    several = sets.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select((-F.shiftrightunsigned(F.xxhash64("grp"), 1) - 1).alias("cluster"), "grp")
+    asked = checkpointed(found.union(several).join(sets.select("grp", F.col("rep").alias("a"), "set1"), "grp").select("cluster", "a", "set1"))
+    large = asked.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    asked = asked.join(large, "cluster", "left").withColumn("mine", F.pmod(F.xxhash64("a", "set1"), F.coalesce("chunks", F.lit(1))))
+    asked = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    asked = asked.select(F.when(F.col("chunks").isNull(), F.col("cluster")).otherwise(F.xxhash64("cluster", F.least("mine", "other"), F.greatest("mine", "other"))).alias("cell"), "a", "set1")
+    links = checkpointed(linked(asked, known, k))
     # rows of one doc_id: it is linked with the representative of each of its sets
     again = sig.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id")
     again = checkpointed(sig.join(again, "doc_id").join(sets, ["set1", "set2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = links.union(again)
-    comp = components(links)
-    # pairs that are left: a token, or a group of several sets, over more than one class
-    rows = opened(run).union(groups.where("m > 1").select(F.xxhash64("grp").alias("token"), "grp", "n", F.lit(0).cast("bigint").alias("at")))
-    classes_of = sets.select("grp", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp"))
-    rows = rows.join(classes_of.groupBy("grp").agg(F.collect_list(F.struct("rep", "comp")).alias("members")), "grp").select("token", "n", "at", F.explode("members").alias("x")).select("token", "x.rep", "n", "at", "x.comp")
-    rows = rows.repartition(parts(spark), "token")
-    more = checkpointed(verified(across(rows, blocks), known, k))
-    if not more.isEmpty():
-        comp = components(links.union(more))
+    comp = components(links.union(again))
+    classes.unpersist()
     named = sets.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set1", "set2", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("component_id"))
-    # a class is named by the smallest member, which is a representative
-    same = sig.join(named, (sig.set1 == named.set1) & (sig.set2 == named.set2) & (sig.n_shingles == named._n), "left")
+    # a class is named by the smallest member, which is a representative or has a repeated doc_id
+    same = sig.join(named, (sig.set1 == named.set1) & (sig.set2 == named.set2) & (sig.n_shingles == named._n), "left").select("doc_id", sig.n_shingles, "component_id")
     class_of = again.select("b").distinct().join(comp, F.col("b") == F.col("id")).select(F.col("b").alias("doc_id"), F.col("component").alias("_c"))
-    same = same.select("doc_id", sig.n_shingles, "component_id").join(class_of, "doc_id", "left")
+    same = same.join(class_of, "doc_id", "left")
     return same.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "component_id", "doc_id")).alias("component_id"))
 
 
