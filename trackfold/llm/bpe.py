@@ -6,8 +6,17 @@ numbers the distinct ones and keeps each text as numbers; the distinct words of
 tasks meet by hash, are folded once, and the ids go back to the tasks' texts. Only
 word lists, ids and numbers move. Decoding concatenates the ids' byte pieces.
 
-The rank table: a pair (a, b) of ids that merges has its rank, which is the new id, at
-place base[a] + b of one array, together with a, so that a wrong place is noticed.
+The rank table: each id has a base. A pair (a, b) of ids that merges has its entry at
+place base[a] + b: a, the rank (which is the new id) and the new id's base, so that a
+wrong place is noticed and the next look-up needs no second table.
+The table is one binary literal of decimal numbers of one width: the plan holds a few MB
+of bytes, not arrays of boxed numbers.
+
+A fold's steps grow with the square of a word, so words over PIECE bytes are folded in
+pieces that overlap, and put together where two pieces have a token in common. That is
+exact: a sequence of tokens is a word's encoding if each two neighbours encode to
+themselves, and each two are neighbours in some piece. Words whose pieces have no token
+in common, which takes a token that repeats at a period no stride fits, are merged whole.
 
 Defined results: a null text is empty and has no ids; special tokens are ordinary
 text; rows of a repeated doc_id are separate documents; an empty table gives no rows;
@@ -19,6 +28,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import random
 
 import numpy as np
@@ -28,15 +38,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackfold.llm.common import parts, ragged, table, trimmed
+from trackfold.llm.common import dealt, parts, ragged, table, trimmed
 
 #: Words a task holds before it sends a block on.
 BLOCK_WORDS = 6_000_000
 #: Words in one row of the fold.
 FOLD_ROWS = 4096
-_BITS = 17
-_LIMIT = 1 << _BITS
-_FAR = 1 << 40
+#: Bytes of a long word's pieces, and between their starts.
+PIECE, STRIDE = 288, 192
+# a table's entry: the first id, the rank (17 bits each) and the base of the new id (19 bits); a code is the last two
+_ID, _BASE = 17, 19
+_CODE = 1 << (_ID + _BASE)
+_SIZE = 1 << _BASE
+_WIDTH = 16
+_EMPTY = (1 << (2 * _ID + _BASE)) - 1
+_FAR = 1 << 54
 
 
 @functools.cache
@@ -46,35 +62,35 @@ def vocabulary(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def rank_table(path: str) -> tuple[str, str, str]:
-    """Comma-separated: ids of the 256 bytes; base of each id (and of one past the last, which merges with nothing); the table."""
+def rank_table(path: str) -> tuple[np.ndarray, bytes]:
+    """The code of each id (and of one past the last, which merges with nothing), and the table."""
     ranks = vocabulary(path)
-    if max(ranks.values()) >= _LIMIT:
-        raise ValueError("a rank needs more bits")
+    last = max(ranks.values()) + 1
     rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         for k in range(1, len(token)):
             a, b = ranks.get(token[:k]), ranks.get(token[k:])
             if a is not None and b is not None:
                 rows.setdefault(a, []).append((b, rank))
-    last = max(ranks.values()) + 1
-    size = 1 << 18
-    while size < 2.2 * sum(map(len, rows.values())) + last:
-        size *= 2
-    taken = np.zeros(size, dtype=bool)
-    out = np.full(size, -1, dtype=np.int64)
+    if last >= (1 << _ID) - 1 or 2.2 * sum(map(len, rows.values())) + last > _SIZE:
+        raise ValueError("the vocabulary needs a larger table")
+    taken = np.zeros(_SIZE, dtype=bool)
     base = np.zeros(last + 1, dtype=np.int64)
     draw = random.Random(1)
     for a in sorted(rows, key=lambda x: (-len(rows[x]), x)):
         b = np.array([x for x, _ in rows[a]])
         while True:
-            at = draw.randrange(size - last - 1)
+            at = draw.randrange(_SIZE - last)
             if not taken[at + b].any():
                 break
         taken[at + b] = True
-        out[at + b] = (a << _BITS) + np.array([r for _, r in rows[a]])
         base[a] = at
-    return tuple(",".join(map(str, x)) for x in ([ranks[bytes([i])] for i in range(256)], base.tolist(), out.tolist()))
+    codes = (np.arange(last + 1) << _BASE) | base
+    out = np.full(_SIZE, _EMPTY, dtype=np.int64)
+    for a, row in rows.items():
+        b, r = np.array(row).T
+        out[base[a] + b] = (a << (_ID + _BASE)) | codes[r]
+    return codes, b"".join(b"%0*d" % (_WIDTH, x) for x in out.tolist())
 
 
 @functools.cache
@@ -97,35 +113,75 @@ def odd_tokens(path: str) -> dict[str, int]:
     return odd
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """ids of a word by a heap of pairs."""
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    end = list(range(1, n + 1))
+    rank = lambda i: ranks.get(word[i : end[after[i]]]) if after[i] < n else None
+    heap = [(r, i, end[after[i]]) for i in range(n) if (r := rank(i)) is not None]
+    heapq.heapify(heap)
+    gone = [False] * n
+    while heap:
+        r, i, z = heapq.heappop(heap)
+        if gone[i] or after[i] >= n or end[after[i]] != z or rank(i) != r:
+            continue
+        j = after[i]
+        gone[j], end[i], after[i] = True, end[j], after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and (r := rank(k)) is not None:
+                heapq.heappush(heap, (r, k, end[after[k]]))
+    return [ranks[word[i : end[i]]] for i in range(n) if not gone[i]]
+
+
+def joined(pieces_: list[np.ndarray], lengths: np.ndarray) -> np.ndarray | None:
+    """ids of a word from those of its pieces, which start STRIDE apart; lengths: bytes of each id. None if two pieces have no token in common."""
+    ids = pieces_[0]
+    place = np.concatenate([[0], np.cumsum(lengths[ids])])
+    out, done = [], 0  # ids before done are settled
+    for k, more in enumerate(pieces_[1:], 1):
+        at = k * STRIDE + np.concatenate([[0], np.cumsum(lengths[more])])
+        both = np.intersect1d((place[done:-1] << 10) + np.diff(place[done:]), (at[:-1] << 10) + np.diff(at))
+        if not len(both):
+            return None
+        end = (both[0] >> 10) + (both[0] & 1023)
+        out.append(ids[done : int(np.searchsorted(place, end))])
+        done = int(np.searchsorted(at, end))
+        ids, place = more, at
+    out.append(ids[done:])
+    return np.concatenate(out)
+
+
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def encoded(word: Column, path: str) -> Column:
-    """ids of a word: an array<int> column. word: the ids of its bytes, between two of an id that merges with nothing."""
-    _, base, places = rank_table(path)
-    base, places = F.split(F.lit(base), ",").cast("array<int>"), F.split(F.lit(places), ",").cast("array<bigint>")
+    """ids of a word: an array<int> column. word: the codes of its bytes, between two of the id that merges with nothing."""
+    places = F.lit(rank_table(path)[1])
 
     def rank(a: Column, b: Column) -> Column:
-        """_LIMIT or more: the pair does not merge."""
-        return F.pmod(F.get(places, F.get(base, a) + b) - F.shiftleft(a.cast("bigint"), _BITS), F.lit(_FAR))
+        """The code of the pair's id; _CODE or more: the pair does not merge."""
+        at = a.bitwiseAND(F.lit(_SIZE - 1)) + F.shiftright(b, _BASE)
+        entry = F.substring(places, (at * _WIDTH + 1).cast("int"), F.lit(_WIDTH)).cast("string").cast("bigint")
+        return F.pmod(entry - F.shiftleft(F.shiftright(a, _BASE), _ID + _BASE), F.lit(_FAR))
 
     def step(s: Column, _: Column) -> Column:
-        def merge(m: Column) -> Column:
-            new = m.cast("int")
-
+        def merge(new: Column) -> Column:
             def at(p: Column) -> Column:
                 ids = F.concat(F.slice(s.ids, F.lit(1), p - 1), F.array(new), F.slice(s.ids, p + 2, F.lit(1 << 30)))
                 ranks = F.concat(F.slice(s.ranks, F.lit(1), p - 2), F.array(rank(F.get(s.ids, p - 2), new), rank(new, F.get(s.ids, p + 1))), F.slice(s.ranks, p + 2, F.lit(1 << 30)))
                 return F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
-            return F.when(m >= _LIMIT, s).otherwise(_let(F.array_position(s.ranks, m).cast("int"), at))
+            return F.when(new >= _CODE, s).otherwise(_let(F.array_position(s.ranks, new).cast("int"), at))
 
         return _let(F.array_min(s.ranks), merge)
 
     ranks = F.transform(F.sequence(F.lit(0), F.size(word) - 2), lambda i: rank(F.get(word, i), F.get(word, i + 1)))
     start = F.struct(word.alias("ids"), ranks.alias("ranks"))
-    return F.aggregate(F.slice(word, F.lit(3), F.size(word) - 3), start, step, lambda s: F.slice(s.ids, F.lit(2), F.size(s.ids) - 2))
+    return F.aggregate(F.slice(word, F.lit(3), F.size(word) - 3), start, step, lambda s: F.transform(F.slice(s.ids, F.lit(2), F.size(s.ids) - 2), lambda c: F.shiftright(c, _BASE).cast("int")))
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
@@ -150,6 +206,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
     """docs: doc_id, text. finish(doc_ids, bounds, ids, word_bounds) makes a record batch of documents: bounds in words, word_bounds in ids."""
     spark = docs.sparkSession
     n_parts = parts(spark)
+    deal = dealt(n_parts)
     cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
 
     def block(batches):
@@ -157,7 +214,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
         from pyspark import TaskContext
 
         place, number = TaskContext.get().partitionId(), 0
-        ids, counts, words, held = [], [], [], 0
+        ids, null, counts, words, held = [], [], [], [], 0
 
         def send():
             key = (place << 32) | number
@@ -172,8 +229,8 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
             place_of = np.empty(len(order), dtype=np.int32)
             place_of[order] = np.arange(len(order), dtype=np.int32)
             names = names.take(pa.array(order))
-            stream = _zip(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(counts).astype(np.int32) if counts else np.zeros(0, np.int32), place_of[index])
-            out = [(0, key, key % n_parts, stream)]
+            stream = _zip(np.concatenate(ids), np.concatenate(null).astype(np.uint8), np.concatenate(counts).astype(np.int32), place_of[index])
+            out = [(0, key, deal[key % n_parts], stream)]
             if len(names):
                 raw = names.to_pylist()
                 part = np.fromiter((hash_of(w) % n_parts for w in raw), dtype=np.int64, count=len(raw))
@@ -183,7 +240,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
                     at = by[a:z]
                     text = names.take(pa.array(at)).cast(pa.large_binary())
                     size = pc.binary_length(text).to_numpy()
-                    out.append((1, key, int(part[at[0]]), _zip(np.diff(at, prepend=0).astype(np.int32), size.astype(np.int32), np.frombuffer(b"".join(text.to_pylist()), np.uint8))))
+                    out.append((1, key, deal[int(part[at[0]])], _zip(np.diff(at, prepend=0).astype(np.int32), size.astype(np.int32), np.frombuffer(b"".join(text.to_pylist()), np.uint8))))
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "block", "part", "blob"])
 
@@ -193,7 +250,8 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
         for b in batches:
             lists = b.column("words")
             n = np.diff(lists.offsets.to_numpy())
-            ids.append(b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy())
+            ids.append(b.column("doc_id").fill_null(0).to_numpy())
+            null.append(b.column("doc_id").is_null().to_numpy(zero_copy_only=False))
             counts.append(n)
             flat = lists.flatten()
             if len(flat):
@@ -201,17 +259,18 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
             held += len(flat)
             if held > BLOCK_WORDS:
                 yield send()
-                ids, counts, words, held, number = [], [], [], 0, number + 1
+                ids, null, counts, words, held, number = [], [], [], [], 0, number + 1
                 trimmed()
         if ids:
             yield send()
-        ids, counts, words = [], [], []
+        ids, null, counts, words = [], [], [], []
         trimmed()
 
     sent = cut.mapInArrow(block, "kind int, block long, part int, blob binary").repartition(n_parts, "part")
 
-    of_byte = np.array(rank_table(path)[0].split(","), dtype=np.int32)
-    none = max(vocabulary(path).values()) + 1
+    codes = rank_table(path)[0]
+    of_byte = codes[[vocabulary(path)[bytes([i])] for i in range(256)]]
+    none = codes[-1]
     odd = odd_tokens(path)
     if odd:
         raise ValueError(f"{len(odd)} tokens of {path} do not merge by ranks")
@@ -223,7 +282,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
         for b in batches:
             ask = pc.equal(b.column("kind"), 1)
             if (on := b.filter(pc.invert(ask))).num_rows:
-                yield pa.RecordBatch.from_arrays([on.column("kind"), on.column("block"), pa.array([[]] * len(on), pa.list_(pa.list_(pa.int32()))), on.column("blob")], names=names_of)
+                yield pa.RecordBatch.from_arrays([on.column("kind"), on.column("block"), pa.array([[]] * len(on), pa.list_(pa.list_(pa.int64()))), on.column("blob")], names=names_of)
             b = b.filter(ask)
             for key, blob in zip(b.column("block").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 step, size, raw = _unzip(blob)
@@ -241,16 +300,40 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
         cuts = np.searchsorted(index // FOLD_ROWS, np.arange(-(-len(names) // FOLD_ROWS) + 1))
         for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             w = names.slice(i * FOLD_ROWS, FOLD_ROWS).cast(pa.large_binary())
-            size = pc.binary_length(w).to_numpy()
-            ids = np.full(int(size.sum()) + 2 * len(w), none, dtype=np.int32)
-            at = np.cumsum(size + 2) - size - 2
-            ids[ragged(at + 1, size)] = of_byte[np.frombuffer(b"".join(w.to_pylist()), np.uint8)]
-            w = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), w), pa.array([_zip(key[a:z], local[a:z], (index[a:z] % FOLD_ROWS).astype(np.int16))], pa.binary())], names=names_of)
-
-    asked = sent.mapInArrow(meet, "kind int, block long, words array<array<int>>, asked binary")
+            size = pc.binary_length(w).to_numpy().astype(np.int64)
+            # a long word is several pieces
+            n = 1 + -(-np.maximum(size - PIECE, 0) // STRIDE)
+            owner = np.repeat(np.arange(len(w)), n)
+            from_ = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+            length = np.minimum(size[owner] - from_, PIECE)
+            text = np.frombuffer(b"".join(w.to_pylist()), np.uint8)
+            ids = np.full(int(length.sum()) + 2 * len(owner), none)
+            at = np.cumsum(length + 2) - length - 2
+            ids[ragged(at + 1, length)] = of_byte[text[ragged((np.cumsum(size) - size)[owner] + from_, length)]]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids))
+            long_ = text[np.repeat(size > PIECE, size)]
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists), pa.array([_zip(key[a:z], local[a:z], (index[a:z] % FOLD_ROWS).astype(np.int16), size.astype(np.int32), long_)], pa.binary())], names=names_of)
+
+    asked = sent.mapInArrow(meet, "kind int, block long, words array<array<bigint>>, asked binary")
     folded = asked.select("kind", "block", F.transform("words", lambda w: encoded(w, path)).alias("ids"), "asked")
 
+    sizes = np.diff(pieces(path)[1])
+
+    def whole(o, ids, bytes_, text):
+        """Words for their pieces."""
+        n = 1 + -(-np.maximum(bytes_.astype(np.int64) - PIECE, 0) // STRIDE)
+        last = np.cumsum(n)
+        found, at = [], 0
+        for a, z, k in zip(o[last - n].tolist(), o[last].tolist(), range(len(n)), strict=True):
+            if n[k] == 1:
+                found.append(ids[a:z])
+                continue
+            cuts = o[last[k] - n[k] : last[k] + 1]
+            one = joined([ids[p:q] for p, q in zip(cuts[:-1], cuts[1:], strict=True)], sizes)
+            found.append(np.array(merged(text[at : at + bytes_[k]].tobytes(), vocabulary(path)), dtype=np.int32) if one is None else one)
+            at += int(bytes_[k])
+        return np.concatenate([[0], np.cumsum([len(x) for x in found])]), np.concatenate(found)
+
     def answer(batches):
         for b in batches:
             done = pc.equal(b.column("kind"), 0)
@@ -258,10 +341,12 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
                 yield pa.RecordBatch.from_arrays([on.column("kind"), on.column("block"), on.column("asked")], names=["kind", "block", "blob"])
             b = b.filter(pc.invert(done))
             for i in range(len(b)):
-                key, local, at = _unzip(b.column("asked")[i].as_py())
+                key, local, at, bytes_, text = _unzip(b.column("asked")[i].as_py())
                 lists = b.column("ids")[i].values
                 o = lists.offsets.to_numpy().astype(np.int64)
                 ids = lists.values.to_numpy(zero_copy_only=False)
+                if len(text):
+                    o, ids = whole(o, ids, bytes_, text)
                 size = np.diff(o)
                 cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
                 out = []
@@ -272,13 +357,14 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "block", "blob"])
 
     answers = folded.mapInArrow(answer, "kind int, block long, blob binary")
-    both = answers.repartition(n_parts, "block").sortWithinPartitions("block", "kind")
+    both = answers.repartition(n_parts, F.get(F.lit(deal), F.pmod("block", F.lit(n_parts)).cast("int"))).sortWithinPartitions("block", "kind")
 
     def assemble(batches):
         stream, got, now = None, [], None
 
         def close():
-            ids, counts, index = stream
+            ids, null, counts, index = stream
+            ids = pa.array(ids, pa.int64(), mask=null > 0)
             if got:
                 local, size, flat = (np.concatenate(x) for x in zip(*got, strict=True))
             else:
@@ -331,15 +417,11 @@ def decoded(ids: np.ndarray, piece: tuple[np.ndarray, np.ndarray]) -> tuple[np.n
     return text[ragged(at[ids], size)], np.concatenate([[0], np.cumsum(size)])
 
 
-def _null(ids: np.ndarray) -> pa.Array:
-    return pa.array(ids, pa.int64(), mask=ids == np.iinfo(np.int64).min)
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """A row per document: doc_id, ids."""
 
     def finish(doc_ids, bounds, ids, word_bounds):
-        return pa.RecordBatch.from_arrays([_null(doc_ids), pa.ListArray.from_arrays(pa.array(word_bounds[bounds], pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(word_bounds[bounds], pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
     return tokenized(docs, path, pattern, "doc_id long, ids array<int>", finish)
 
@@ -370,7 +452,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         o = word_bounds[bounds]
         one = [hashlib.sha256(raw[4 * p : 4 * q]).hexdigest() for p, q in zip(o[:-1], o[1:], strict=True)]
         two = [hashlib.sha256(text[at[p] : at[q]]).hexdigest() for p, q in zip(o[:-1], o[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([_null(doc_ids), pa.array(np.diff(o), pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(o), pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return tokenized(docs, path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", finish)
 

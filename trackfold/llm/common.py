@@ -38,6 +38,23 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(n: int) -> list[int]:
+    """For each of n partitions a number that repartition(n, number) deals to it: the 32-bit Murmur3 hash that Spark deals by, so that no two of n keys meet in one partition."""
+
+    def turn(x, k):
+        return (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+
+    v = np.arange(64 * n + 1024, dtype=np.uint32)
+    h = np.uint32(42) ^ turn(v * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+    part = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+    found, first = np.unique(part, return_index=True)
+    out = dict(zip(found.tolist(), first.tolist(), strict=True))
+    return [out.get(i, i) for i in range(n)]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
     spark = df.sparkSession
