@@ -24,7 +24,8 @@ def sentences(seed, n, words=60):
 def corpus():
     a, b, c = sentences(1, 3)
     texts = [a, b, a, None, "", "   ", "short", b.replace("alpha", "ALPHA"), a + " " + c, c[:150] + " new end " + b[50:], "x" * 120, "y" + "x" * 130, "été " * 40, "été " * 41, "word " * 3000 + a, "   odd\u0085 spaces\n\n\tand 🎉🎉 signs!!! don't 12345"]
-    return [(i, t) for i, t in enumerate(texts)] + [(None, b), (2, a)]
+    again = [(None, b), (2, a), (2, b + " tail " + c), (2, "short"), (None, c + " of a null id"), (None, "z" * 90), (7, a[:200]), (9, c + " " + b)]  # ids that repeat, with equal and with other texts
+    return [(i, t) for i, t in enumerate(texts)] + again
 
 
 @pytest.fixture(scope="module")

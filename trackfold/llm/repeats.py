@@ -19,7 +19,11 @@ id. The task is to mark each repeated window, without shuffling every window.
 4. Marks go back to their documents. A Bloom filter of fixed size spares documents
    without marks the shuffle; what it lets through wrongly finds no marks in the join.
 
-Phrase hashes hold 48 bits beside the trigger's 40; step 3 compares units.
+Phrase hashes hold 48 bits beside the trigger's 56; step 3 compares units.
+
+A row is known by its doc_id, which orders, and a key: 0, or a hash of its text where the
+doc_id is null or repeated, so that rows of one id with different texts have marks of
+their own. Equal rows share a key and their marks.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackfold.llm.common import Rolling, bloom, checkpointed, in_bloom, mix, parts, ragged, steps, texts_of, trimmed
+from trackfold.llm.common import Rolling, bloom, checkpointed, dealt, in_bloom, mix, parts, ragged, steps, texts_of, trimmed
 
 _ROWS = 60_000
 #: Stands for a null doc_id, so that it joins and counts as the smallest.
@@ -104,8 +108,25 @@ def parse(values: np.ndarray, bounds: np.ndarray, shape: Shape) -> Phrases:
     return Phrases(doc, number, low[lo], roll.of(lo, end + w), lo, end)
 
 
-_T40, _H48 = np.uint64((1 << 40) - 1), np.uint64((1 << 48) - 1)
-_ENTRY = np.dtype([("t", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("n", "<u4")])
+_T56, _H48 = np.uint64((1 << 56) - 1), np.uint64((1 << 48) - 1)
+_ENTRY = np.dtype([("t", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("k", "<i8"), ("n", "<u4")])
+
+
+def _part(t: np.ndarray, n: int) -> np.ndarray:
+    """Of n parts, in the order of t."""
+    return (((t >> np.uint64(24)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def _numbered(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows (doc_ids, keys), and which of them each is."""
+    if not key.any():
+        docs, which = np.unique(doc, return_inverse=True)
+        return docs, np.zeros(len(docs), np.int64), which
+    order = np.lexsort((key, doc))
+    new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1])]
+    which = np.empty(len(doc), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return doc[order][new], key[order][new], which
 
 
 def _planes(x: np.ndarray, used: int) -> bytes:
@@ -113,13 +134,13 @@ def _planes(x: np.ndarray, used: int) -> bytes:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """x by ascending t. Differences of t, 48 bits of h, documents as places in a list, numbers."""
-    docs, which = np.unique(x["doc"], return_inverse=True)
+    """x by ascending t. Differences of t, 48 bits of h, rows as places in a list, numbers."""
+    docs, keys, which = _numbered(x["doc"], x["k"])
     t = x["t"].copy()
     t[1:] -= x["t"][:-1]
     wide, long_ = len(docs) > 65536, int(x["n"].max()) > 65535
     head = np.array([len(x), len(docs), wide, long_], dtype=np.int64)
-    body = _planes(t, 5) + _planes(np.ascontiguousarray(x["h"]), 6) + docs.astype(np.int64).tobytes() + _planes(which.astype(np.uint32), 4 if wide else 2) + _planes(x["n"].astype(np.uint32), 4 if long_ else 2)
+    body = _planes(t, 7) + _planes(np.ascontiguousarray(x["h"]), 6) + docs.astype(np.int64).tobytes() + keys.astype(np.int64).tobytes() + _planes(which.astype(np.uint32), 4 if wide else 2) + _planes(x["n"].astype(np.uint32), 4 if long_ else 2)
     return zstandard.compress(head.tobytes() + body, 1)
 
 
@@ -136,59 +157,63 @@ def _unpack(blob: bytes) -> np.ndarray:
         return out.view(kind).ravel()
 
     out = np.empty(m, dtype=_ENTRY)
-    out["t"] = np.cumsum(planes(5, "<u8"), dtype=np.uint64)
+    out["t"] = np.cumsum(planes(7, "<u8"), dtype=np.uint64)
     out["h"] = planes(6, "<u8")
     docs = np.frombuffer(raw, np.int64, d, o)
-    o += 8 * d
-    out["doc"] = docs[planes(4 if wide else 2, "<u4")]
+    keys = np.frombuffer(raw, np.int64, d, o + 8 * d)
+    o += 16 * d
+    which = planes(4 if wide else 2, "<u4")
+    out["doc"], out["k"] = docs[which], keys[which]
     out["n"] = planes(4 if long_ else 2, "<u4")
     return out
 
 
-def _by_doc(doc: np.ndarray, marks: np.ndarray) -> pa.RecordBatch | None:
-    """Marks (unsigned 32 bits) as one binary value for each document."""
-    if not len(doc):
-        return None
-    order = np.argsort(doc, kind="stable")
-    doc, marks = doc[order], np.ascontiguousarray(marks[order].astype("<u4"))
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
-    value = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(marks)])
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[cuts[:-1]]), "marks": value})
+def _by_row(doc: np.ndarray, key: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+    """Marks (unsigned 32 bits) as one binary value for each row."""
+    docs, keys, which = _numbered(doc, key)
+    order = np.argsort(which, kind="stable")
+    marks = np.ascontiguousarray(marks[order].astype("<u4"))
+    cuts = np.searchsorted(which[order], np.arange(len(docs) + 1))
+    value = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(marks)])
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(docs), "key": pa.array(keys), "marks": value})
 
 
-def _bucketed(doc: np.ndarray, marks: np.ndarray, n: int) -> list[tuple[int, bytes]]:
-    """Marks dealt by document into n buckets: a packed row for each bucket, however many documents it has."""
+def _bucketed(doc: np.ndarray, key: np.ndarray, marks: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+    """Marks dealt by row into n buckets: a packed row for each bucket, however many documents it has."""
     if not len(doc):
         return []
-    bucket = (mix(doc.view(np.uint64)) % np.uint64(n)).astype(np.int64)
-    order = np.lexsort((doc, bucket))
-    doc, marks, bucket = doc[order], marks[order].astype("<u4"), bucket[order]
+    bucket = (mix(doc.view(np.uint64) ^ mix(key.view(np.uint64))) % np.uint64(n)).astype(np.int64)
+    order = np.lexsort((key, doc, bucket))
+    doc, key, marks, bucket = doc[order], key[order], marks[order].astype("<u4"), bucket[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    deal = dealt(n)
     out = []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         step = np.diff(doc[a:z], prepend=0)
-        out.append((int(bucket[a]), zstandard.compress(_planes(step, 8) + _planes(marks[a:z], 4), 1)))
+        out.append((deal[int(bucket[a])], zstandard.compress(_planes(step, 8) + _planes(key[a:z], 8) + _planes(marks[a:z], 4), 1)))
     return out
 
 
 def _gathered(rows: DataFrame, name: str) -> DataFrame:
-    """rows: bucket, blob. A row for each document: doc_id and its marks."""
+    """rows: bucket, blob. A row for each row of documents: doc_id, key and its marks."""
 
     def run(batches):
-        doc, marks = [], []
+        doc, key, marks = [], [], []
         for b in batches:
             for blob in b.column("blob").to_pylist():
                 raw = zstandard.decompress(blob)
-                m = len(raw) // 12
-                doc.append(np.cumsum(np.frombuffer(raw, np.uint8, 8 * m).reshape(8, m).T.copy().view(np.int64).ravel()))
-                marks.append(np.frombuffer(raw, np.uint8, 4 * m, 8 * m).reshape(4, m).T.copy().view("<u4").ravel())
+                m = len(raw) // 20
+                planes = lambda o, n: np.frombuffer(raw, np.uint8, n * m, o * m).reshape(n, m).T.copy()  # noqa: B023, E731
+                doc.append(np.cumsum(planes(0, 8).view(np.int64).ravel()))
+                key.append(planes(8, 8).view(np.int64).ravel())
+                marks.append(planes(16, 4).view("<u4").ravel())
         if doc:
-            out = _by_doc(np.concatenate(doc), np.concatenate(marks))
+            out = _by_row(*(np.concatenate(x) for x in (doc, key, marks)))
             for i in range(0, len(out), 10_000):
-                yield out.slice(i, 10_000).rename_columns(["doc_id", name])
+                yield out.slice(i, 10_000).rename_columns(["doc_id", "key", name])
         trimmed()
 
-    return rows.repartition(parts(rows.sparkSession), "bucket").mapInArrow(run, f"doc_id long, {name} binary")
+    return rows.repartition(parts(rows.sparkSession), "bucket").mapInArrow(run, f"doc_id long, key long, {name} binary")
 
 
 def _stepped(batches, shape: Shape):
@@ -233,28 +258,32 @@ def _ids(b: pa.RecordBatch) -> np.ndarray:
     return b.column("doc_id").to_numpy()
 
 
+def _keys(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("key").to_numpy()
+
+
 #: A mark of step 2 is a phrase's number, doubled, and 1 if its windows are still open.
 def dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
-    """Steps 1 and 2: doc_id, marks."""
+    """Steps 1 and 2: doc_id, key, marks."""
     n_parts = parts(docs.sparkSession)
+    deal = np.array(dealt(n_parts))
 
     def send(held):
         x = np.concatenate(held)
-        key = ((x["t"] % np.uint64(n_parts)) << np.uint64(40)) | x["t"]
-        order = np.argsort(key)
-        x, key = x[order], key[order]
-        near = key[1:] == key[:-1]
+        order = np.argsort(x["t"])
+        x = x[order]
+        near = x["t"][1:] == x["t"][:-1]
         shared = np.flatnonzero(np.r_[False, near] | np.r_[near, False])
-        x[shared] = x[shared[np.lexsort((x["n"][shared], x["doc"][shared], x["h"][shared], key[shared]))]]
+        x[shared] = x[shared[np.lexsort((x["n"][shared], x["k"][shared], x["doc"][shared], x["h"][shared], x["t"][shared]))]]
         again = _same(x, "t", "h")
         first = x["doc"][np.maximum.accumulate(np.where(again, 0, np.arange(len(x))))]
         done = x["doc"] > first
         settled, x = x[done], x[~done]
-        part = (x["t"] % np.uint64(n_parts)).astype(np.int64)
+        part = _part(x["t"], n_parts)
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
         blobs = [_pack(x[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "settled": pa.array([False] * len(blobs)), "blob": pa.array(blobs, pa.binary())})
-        if rows := _bucketed(np.ascontiguousarray(settled["doc"]), settled["n"] << np.uint32(1), n_parts):
+        yield pa.RecordBatch.from_pydict({"part": pa.array(deal[part[cuts[:-1]]], pa.int32()), "settled": pa.array([False] * len(blobs)), "blob": pa.array(blobs, pa.binary())})
+        if rows := _bucketed(np.ascontiguousarray(settled["doc"]), np.ascontiguousarray(settled["k"]), settled["n"] << np.uint32(1), n_parts):
             yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "settled": pa.array([True] * len(rows)), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     def phrases(batches):
@@ -262,7 +291,7 @@ def dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
         for b, _, values, bounds in _stepped(batches, shape):
             p = parse(values, bounds, shape)
             x = np.empty(len(p.lo), dtype=_ENTRY)
-            x["t"], x["h"], x["doc"], x["n"] = p.trigger & _T40, p.hash & _H48, _ids(b)[p.doc], p.number
+            x["t"], x["h"], x["doc"], x["k"], x["n"] = p.trigger & _T56, p.hash & _H48, _ids(b)[p.doc], _keys(b)[p.doc], p.number
             held.append(x)
             size += len(x)
             if size > _HELD:
@@ -303,11 +332,11 @@ def dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
         still = ~covered & several & (least != most)
         marks = (x["n"] << np.uint32(1)) | still
         some = covered | still
-        if rows := _bucketed(x["doc"][some], marks[some], n_parts):
+        if rows := _bucketed(x["doc"][some], x["k"][some], marks[some], n_parts):
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
         trimmed()
 
-    sent = docs.select("doc_id", "text").mapInArrow(phrases, "part int, settled boolean, blob binary")
+    sent = docs.select("doc_id", "key", "text").mapInArrow(phrases, "part int, settled boolean, blob binary")
     return _gathered(sent.repartition(n_parts, "part").mapInArrow(meet, "bucket int, blob binary"), "marks")
 
 
@@ -342,22 +371,22 @@ def ranks(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def order(open_: DataFrame, shape: Shape) -> DataFrame:
-    """Step 3. open_: doc_id, text, marks. doc_id, late: the places of windows that start in an earlier document too."""
+    """Step 3. open_: doc_id, key, text, marks. doc_id, key, late: the places of windows that start in an earlier document too."""
     n_parts = parts(open_.sparkSession)
     pieces = n_parts * _PIECES
 
     def send(held):
-        part, doc, lo, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
+        part, doc, key, lo, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(part, kind="stable")
         text = text[ragged((np.cumsum(size) - size)[order], size[order])]
-        part, doc, lo, size = part[order], doc[order], lo[order], size[order]
+        part, doc, key, lo, size = part[order], doc[order], key[order], lo[order], size[order]
         end = np.concatenate([[0], np.cumsum(size)])
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
         blobs = []
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             own = text[end[a] : end[z]]
             head = np.array([z - a, len(own), own.dtype.itemsize], dtype=np.int64)
-            blobs.append(zstandard.compress(head.tobytes() + doc[a:z].tobytes() + lo[a:z].tobytes() + size[a:z].tobytes() + own.tobytes(), 1))
+            blobs.append(zstandard.compress(head.tobytes() + doc[a:z].tobytes() + key[a:z].tobytes() + lo[a:z].tobytes() + size[a:z].tobytes() + own.tobytes(), 1))
         return pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def contents(batches):
@@ -369,8 +398,8 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
             if not len(at):
                 continue
             size = p.hi[at] - p.lo[at] + shape.width
-            part = ((p.trigger[at] & _T40) % np.uint64(pieces)).astype(np.int64)
-            held.append((part, _ids(b)[p.doc[at]], p.lo[at] - bounds[p.doc[at]], size, values[ragged(p.lo[at], size)]))
+            part = _part(p.trigger[at] & _T56, pieces)
+            held.append((part, _ids(b)[p.doc[at]], _keys(b)[p.doc[at]], p.lo[at] - bounds[p.doc[at]], size, values[ragged(p.lo[at], size)]))
             units += int(size.sum())
             if units * values.itemsize > _CONTENT:
                 yield send(held)
@@ -393,15 +422,16 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
         trimmed()
 
     def sort_one(blobs):
-        doc, lo, size, text = [], [], [], []
+        doc, key, lo, size, text = [], [], [], [], []
         for blob in blobs:
             raw = zstandard.decompress(blob)
             m, n, item = np.frombuffer(raw, np.int64, 3)
             doc.append(np.frombuffer(raw, np.int64, m, 24))
-            lo.append(np.frombuffer(raw, np.int64, m, 24 + 8 * m))
-            size.append(np.frombuffer(raw, np.int64, m, 24 + 16 * m))
-            text.append(np.frombuffer(raw, np.uint8 if item == 1 else np.uint64, n, 24 + 24 * m))
-        doc, lo, size, text = map(np.concatenate, (doc, lo, size, text))
+            key.append(np.frombuffer(raw, np.int64, m, 24 + 8 * m))
+            lo.append(np.frombuffer(raw, np.int64, m, 24 + 16 * m))
+            size.append(np.frombuffer(raw, np.int64, m, 24 + 24 * m))
+            text.append(np.frombuffer(raw, np.uint8 if item == 1 else np.uint64, n, 24 + 32 * m))
+        doc, key, lo, size, text = map(np.concatenate, (doc, key, lo, size, text))
         rank = ranks(text, shape.width)
         windows = size - shape.width + 1
         begin = np.cumsum(size) - size
@@ -411,16 +441,32 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
         first = np.full(int(r.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, r, owner)
         late = owner > first[r]
-        return owner[late], place[late]
+        return owner[late], np.repeat(key, windows)[late], place[late]
 
     sorted_ = open_.mapInArrow(contents, "part int, blob binary").repartition(n_parts, "part").mapInArrow(sort, "bucket int, blob binary")
     return _gathered(sorted_, "late")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs: doc_id (not null), text, rest; with key. Which doc_ids are repeated is counted on that column alone."""
+    again = checkpointed(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return docs.withColumn("key", F.lit(0).cast("bigint"))
+    filter_ = bloom(again, "doc_id")
+    hashed = docs.withColumn("key", F.xxhash64("text"))  # a row that the filter lets through wrongly keeps its hash, which does no harm
+
+    def run(batches):
+        for b in batches:
+            some = in_bloom(filter_, _ids(b)) if len(b) else np.zeros(0, bool)
+            yield b.set_column(b.schema.get_field_index("key"), "key", pa.array(np.where(some, _keys(b), 0)))
+
+    return hashed.mapInArrow(run, hashed.schema)
+
+
 def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> DataFrame:
     """docs: doc_id, text. finish(batch, texts, values, bounds, windows) makes a record batch of documents; windows is a boolean for each value: a repeated window starts there. The batch has doc_id, text and `rest`, a struct of the other columns."""
     rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(True).alias("none")]).alias("rest"))
+    docs = keyed(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(True).alias("none")]).alias("rest")))
     found = checkpointed(dictionary(docs, shape))
 
     def is_open(batches):
@@ -436,9 +482,9 @@ def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> Da
             ok = in_bloom(any_, _ids(b)) if len(b) else np.zeros(0, bool)
             yield b.filter(pa.array(~ok))
 
-    held = packed(docs.select("doc_id", "text"), ids)
-    late = checkpointed(order(held.join(open_, "doc_id"), shape))
-    both = found.join(late, "doc_id", "left")
+    held = packed(docs.select("doc_id", "key", "text"), ids)
+    late = checkpointed(order(held.join(open_, ["doc_id", "key"]), shape))
+    both = found.join(late, ["doc_id", "key"], "left")
     any_ = bloom(found, "doc_id")
 
     def run(batches):
@@ -461,7 +507,7 @@ def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> Da
             yield finish(b, texts, values, bounds, windows)
 
     plain = docs.mapInArrow(lambda x: run(unmarked(x)), schema)
-    marked = packed(docs, any_).join(both, "doc_id", "left").mapInArrow(run, schema)
+    marked = packed(docs, any_).join(both, ["doc_id", "key"], "left").mapInArrow(run, schema)
     return plain.unionByName(marked)
 
 

@@ -6,7 +6,7 @@ their trigger, and suffix ranks to a window's depth find the windows that an ear
 document holds. Words within such windows are removed; the words between are kept.
 
 Defined results: a null text has no words; a text shorter than a window keeps all its
-words; of equal rows with one doc_id none removes the other, as no id is smaller; a
+words; of rows with one doc_id, whatever their texts, none removes from the other, as no id is smaller; a
 null doc_id counts as the smallest; an empty table gives no rows; other columns are
 ignored. Words are compared by 64-bit hashes.
 """

@@ -7,7 +7,7 @@ by side (`repeats` has the steps). The trigger is the least gram of a window ins
 of a fixed residue, so that no window is without one and every repeat is found.
 
 Defined results: a null text is empty; a text shorter than a window keeps all its
-bytes; of equal rows with one doc_id none removes the other, as no id is smaller; a
+bytes; of rows with one doc_id, whatever their texts, none removes from the other, as no id is smaller; a
 null doc_id counts as the smallest; an empty table gives no rows; other columns are
 ignored. Cut bytes can end within a UTF-8 sequence; the kept bytes are exact.
 """
