@@ -12,7 +12,6 @@ those of documents are dropped at the first stage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfold.llm import bpe, jaccard, mixing, substring, toxicity
-from trackfold.llm.common import bloom, checkpointed, may_hold, table
+from trackfold.llm.common import bloom, checkpointed, may_hold, parts, shared, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Of a row in the mix: 128 bits of its contents.
@@ -65,11 +64,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document: its text, or the words that are taken where a source's target ends within it."""
+    """A row for each time the mix takes a document, in the order of the schedule: its text, or the words that are taken where a source's target ends within it."""
     docs = _keyed(_documents(docs))
     placed, pieces = mixing.mixed(docs, also=KEYS)
-    taken = pieces.groupBy("rank", "at", "epoch").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-    taken = taken.join(placed.where("size > 0").select("rank", "at", "size", *KEYS), ["rank", "at"]).select("size", "first", "n", *KEYS)
+    taken = pieces.groupBy("rank", "at", "epoch").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.min("slot").alias("slot"))
+    taken = taken.join(placed.where("size > 0").select("rank", "at", "size", *KEYS), ["rank", "at"]).select("size", "first", "n", "slot", *KEYS)
     # equal rows are one here, as each of them has rows of its own in taken
     many = checkpointed(placed.groupBy(*KEYS).agg(F.count("*").alias("m")).where("m > 1").select(*KEYS))
     if not many.isEmpty():
@@ -78,7 +77,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     both = taken.join(docs, list(KEYS))
     some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), (F.col("first") + 1).cast("int"), F.col("n").cast("int")), " ")
     text = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(some)
-    return both.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("bigint").alias("n_chars"))
+    out = both.select("slot", "doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("bigint").alias("n_chars"))
+    return out.repartitionByRange(parts(spark), "slot").sortWithinPartitions("slot").drop("slot")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,8 +91,7 @@ STAGES = [("toxicity", clean), ("near duplicates", distinct), ("substring dedup"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackfold-pipeline-")
-    place = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
