@@ -291,6 +291,13 @@ def test_language(spark, docs, empty):
     assert language.labelled(empty, *language.learn(empty)).count() == 0 and {x.lang_pred for x in language.labelled(docs, *language.learn(empty)).collect()} == {"und"}
 
 
+def test_long_texts_are_several_chains():
+    text = ("grüß " * 50 + "é" * 90 + " end").encode()
+    for most in (7, 40, 1000):
+        got = language.chains(text, most)
+        assert b"".join(got) == text and all(0 < len(x) <= most and x.decode() for x in got)
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     e, a, bounds = rng.normal(size=(75, 3)), rng.normal(size=(3, 3)), np.array([0, 0, 1, 75])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -55,12 +56,21 @@ def dealt(n: int) -> list[int]:
     return [out.get(i, i) for i in range(n)]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Where that is unset: one of our own on a single machine, an error on a cluster, whose executors would not see it."""
+    place = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="trackfold-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="trackfold-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(place)
+    return place
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,11 +8,12 @@ probabilities, so that a text that switches languages is labelled word by word.
 document's score for a language is the mean of its words' probabilities.
 
 Words are put through in chunks: products of transfer matrices within chunks first,
-then what enters each chunk, then the words, so that one long text costs no long loop.
+then what enters each chunk, then the words, so that one long text costs no long loop. A
+text of more than STEP_BYTES is several chains, cut between words (within a word only if
+that is longer still), which bounds the memory of a step; its score is over all its words.
 
 Defined results: null, and texts without a letter, are `und` with score 0; so is every
-text if nothing was learned; languages beyond the LANGS most frequent in training
-are not learned; ties go to the first language by code point; equal rows are separate;
+text if nothing was learned; every language of a training row is learned; ties go to the first language by code point; equal rows are separate;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,16 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackfold.llm.common import Rolling, ragged, steps, table, texts_of
+from trackfold.llm.common import STEP_BYTES, Rolling, ragged, steps, table, texts_of
 
-#: Training takes about TRAIN_DOCS documents of each of the LANGS most frequent languages, of at most TRAIN_BYTES.
-LANGS, TRAIN_DOCS, TRAIN_BYTES = 100, 200, 20_000
+#: Training takes about TRAIN_DOCS documents of each language, and of each one stretch of TRAIN_CHARS, which starts at a place that a hash draws. All labelled rows are counted.
+TRAIN_DOCS, TRAIN_CHARS = 200, 4_000
 BITS = 18
 CHUNK = 32
 SEGMENT = 48
 _GRAMS = (2, 3, 4)
 _AFFIXES = (2, 3, 4, 5)
-_ROWS = 60_000
 
 # ASCII bytes that are not letters part words
 _PART = np.array([i < 128 and not chr(i).isalpha() for i in range(256)])
@@ -183,17 +183,32 @@ def train(texts: list[bytes], labels: np.ndarray, n: int, epochs: int = 4, rate:
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= TRAIN_BYTES))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     langs = sorted(r.lang for r in counts)
     if not langs:
         return [], np.zeros((1 << BITS, 1), np.float32), np.zeros((1, 1))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1.0, TRAIN_DOCS / r.n) * (1 << 20)) + 1)])
-    rows = known.select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)).alias("h")).where(F.col("h") < F.try_element_at(share, F.col("lang"))).orderBy("h", "text").limit(2 * TRAIN_DOCS * len(langs)).collect()
+    start = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.lit(1), F.char_length("text") - TRAIN_CHARS + 1)).cast("int")
+    rows = known.select(F.substring("text", start + 1, F.lit(TRAIN_CHARS)).alias("text"), "lang", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)).alias("h")).where(F.col("h") < F.try_element_at(share, F.col("lang"))).orderBy("h", "text").limit(2 * TRAIN_DOCS * len(langs)).collect()
     at = {x: i for i, x in enumerate(langs)}
     return langs, *train([r.text.encode() for r in rows], np.array([at[r.lang] for r in rows], dtype=np.int64), len(langs))
 
 
+def chains(text: bytes, most: int = STEP_BYTES) -> list[bytes]:
+    """text in stretches of at most `most` bytes that end at a space, or else between characters."""
+    out, a = [], 0
+    while len(text) - a > most:
+        z = text.rfind(b" ", a + 1, a + most)
+        if z < 0:
+            z = a + most
+            while z > a + 1 and text[z] & 0xC0 == 0x80:
+                z -= 1
+        out.append(text[a:z])
+        a = z
+    return [*out, text[a:]]
+
+
 def labelled(docs: DataFrame, langs: list[str], weights: np.ndarray, transitions: np.ndarray) -> DataFrame:
     """docs: doc_id, text. doc_id, lang_pred, score, shares (mean probability of each language)."""
     model = docs.sparkSession.sparkContext.broadcast((weights, transitions))  # 2**BITS rows whatever the data
@@ -202,25 +217,27 @@ def labelled(docs: DataFrame, langs: list[str], weights: np.ndarray, transitions
         w, a = model.value
         for b in batches:
             texts, letter = texts_of(b), b.column("letter").to_pylist()
-            for i in range(0, len(texts), _ROWS):
-                for s, z in steps(len(t) for t in texts[i : i + _ROWS]):
-                    t = Tokens(texts[i + s : i + z])
-                    count = np.diff(t.bounds)
-                    mean = np.zeros((len(count), len(langs)))
-                    if langs and len(t.which):
-                        p = posteriors(t.emissions(w)[t.which], t.bounds, a)
-                        sums = np.concatenate([np.zeros((1, len(langs))), np.cumsum(p, axis=0)])
-                        mean = (sums[t.bounds[1:]] - sums[t.bounds[:-1]]) / np.maximum(count, 1)[:, None]
-                    best = mean.argmax(axis=1) if langs else count
-                    named = [bool(langs) and bool(x) for x in letter[i + s : i + z]]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "doc_id": b.column("doc_id").slice(i + s, z - s),
-                            "lang_pred": pa.array([langs[k] if ok else "und" for k, ok in zip(best.tolist(), named, strict=True)], pa.string()),
-                            "score": pa.array([min(1.0, max(0.0, float(mean[j, k]))) if ok else 0.0 for j, (k, ok) in enumerate(zip(best.tolist(), named, strict=True))], pa.float64()),
-                            "shares": pa.array(mean.tolist(), pa.list_(pa.float64())),
-                        }
-                    )
+            sums, count = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
+            pieces = [(i, x) for i, t in enumerate(texts) for x in chains(t)]
+            for s, z in steps(len(x) for _, x in pieces) if langs else ():
+                t = Tokens([x for _, x in pieces[s:z]])
+                if len(t.which):
+                    owner = np.repeat([i for i, _ in pieces[s:z]], np.diff(t.bounds))
+                    p = posteriors(t.emissions(w)[t.which], t.bounds, a)
+                    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                    sums[owner[first]] += np.add.reduceat(p, first, axis=0)
+                    count += np.bincount(owner, minlength=len(texts))
+            mean = sums / np.maximum(count, 1)[:, None]
+            best = mean.argmax(axis=1) if langs else np.zeros(len(texts), dtype=int)
+            named = [bool(langs) and bool(x) for x in letter]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": b.column("doc_id"),
+                    "lang_pred": pa.array([langs[k] if ok else "und" for k, ok in zip(best.tolist(), named, strict=True)], pa.string()),
+                    "score": pa.array([min(1.0, max(0.0, float(mean[j, k]))) if ok else 0.0 for j, (k, ok) in enumerate(zip(best.tolist(), named, strict=True))], pa.float64()),
+                    "shares": pa.array(mean.tolist(), pa.list_(pa.float64())),
+                }
+            )
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", letter.alias("letter")).mapInArrow(run, "doc_id long, lang_pred string, score double, shares array<double>")

@@ -1,10 +1,12 @@
 """Mixing sources to target weights (operator 3).
 
 A golden-ratio sequence u_k = frac(k * phi) is mapped through the cumulative
-targets of the sources, so that every stretch of the schedule holds each source in
-proportion; the slots of a source are ranked, and slot r takes block r of the
-source's shuffled documents, laid end to end (twice where the target asks for it)
-and cut into blocks of equal word counts.
+weights of the sources (their targets, in whole blocks), so that every stretch of the
+schedule holds each source in proportion; the slots of a source are ranked, and slot r
+takes block r of the source's shuffled documents, laid end to end (twice where the target
+asks for it) and cut into blocks of equal word counts. What the mix takes is what its
+slots name: a block without a slot is not in it. The schedule is lengthened until each
+source has a slot for every block up to its target, whose last block is cut there.
 
 No step gathers a source in one task: ranks and running sums are formed in two
 levels, within hash or range buckets and over the buckets' totals.
@@ -12,7 +14,7 @@ levels, within hash or range buckets and over the buckets' totals.
 Defined results: a null or empty text has size 0 and is never taken; a null source
 is a source, the last; equal rows are separate documents; an empty table gives no
 rows; reruns agree, as the shuffle is a hash of the document; other columns are
-ignored. Blocks that no slot of the schedule met come last.
+ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def targets(sources: DataFrame, share: float, most: float) -> DataFrame:
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 17, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces). documents: doc_id, source, rank (of the source), size, source_size, target, at (its first word in the source's stream), and the columns `also`, which order documents of one id and size. pieces, in mix order by slot (null: after all slots) and block: rank, block, slot, at, epoch, doc_id, first (word of the document), n."""
+    """(documents, pieces). documents: doc_id, source, rank (of the source), size, source_size, target, at (its first word in the source's stream), and the columns `also`, which order documents of one id and size. pieces, in mix order by slot: rank, block, slot, at, epoch, doc_id, first (word of the document), n."""
     spark = docs.sparkSession
     sized = checkpointed(docs.select("doc_id", "source", words(F.col("text")).alias("size"), *also))
     sources = ordered(sized.groupBy("source").agg(F.sum("size").alias("size")), F.col("source").asc_nulls_last()).drop("before")
@@ -90,26 +92,35 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = B
     placed = placed.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 1))
     placed = checkpointed(running(placed, "rank", F.shiftright("_h", 51), ["_h", "doc_id", *also], F.col("size"), "at").drop("_h"))  # 4096 buckets
 
-    # the schedule, with room for what a low-discrepancy sequence may be short of
-    slots = int(whole / block * 1.02) + n + 64 if whole else 0
-    size = max(1, -(-slots // BUCKETS))
-    u = F.expr(f"pmod(id * {PHI!r}D, 1D)")
-    k = spark.range(slots, numPartitions=parts(spark)).select(F.col("id").alias("slot"), u.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    lo, hi = F.col("before") / F.lit(float(whole or 1)), (F.col("before") + F.col("length")) / F.lit(float(whole or 1))
-    spans = sources.where("length > 0").select("rank", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo * CELLS), F.least(F.floor(hi * CELLS), F.lit(CELLS - 1).cast("bigint")))).alias("cell"))
-    k = k.join(small(spans), "cell").where("lo <= u and u < hi").select("slot", "rank")
-    k = running(k, "rank", F.floor(F.col("slot") / size), ["slot"], F.lit(1), "block").select("rank", "block", "slot")
+    # the schedule: the least weight is a block's share, which three times as many slots as blocks are sure to meet
+    sources = ordered(sources.drop("before").withColumn("blocks", F.ceil(F.col("length") / block)).withColumnRenamed("rank", "_rank"), F.col("_rank"), F.col("blocks")).drop("_rank")
+    sources = checkpointed(sources)
+    blocks = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    lo, hi = F.col("before") / F.lit(float(blocks or 1)), (F.col("before") + F.col("blocks")) / F.lit(float(blocks or 1))
+    spans = sources.where("blocks > 0").select("rank", "blocks", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo * CELLS), F.least(F.floor(hi * CELLS), F.lit(CELLS - 1).cast("bigint")))).alias("cell"))
+
+    def schedule(slots: int) -> DataFrame:
+        size = max(1, -(-slots // BUCKETS))
+        k = spark.range(slots, numPartitions=parts(spark)).select(F.col("id").alias("slot"), F.expr(f"pmod(id * {PHI!r}D, 1D)").alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+        k = k.join(small(spans), "cell").where("lo <= u and u < hi").select("slot", "rank", "blocks")
+        return checkpointed(running(k, "rank", F.floor(F.col("slot") / size), ["slot"], F.lit(1), "block").where("block < blocks").select("rank", "block", "slot"))
+
+    slots = 3 * blocks + 64 if blocks else 0
+    k = schedule(slots)
+    while k.count() < blocks:
+        slots *= 2
+        k = schedule(slots)
 
     twice = placed.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-int(most * 1000) // 1000) - 1)))))
     twice = twice.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("at")).withColumn("to", F.least(F.col("from") + F.col("size"), "length")).where("to > from")
     cut = twice.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     a, z = F.greatest("from", F.col("block") * block), F.least("to", (F.col("block") + 1) * block)
     pieces = cut.select("rank", "block", "at", "epoch", "doc_id", (a - F.col("from")).alias("first"), (z - a).alias("n"))
-    return placed, pieces.join(k, ["rank", "block"], "left")
+    return placed, pieces.join(k, ["rank", "block"])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, pieces = mixed(table(spark, sf_dir, "documents"))
-    taken = pieces.groupBy("rank", "at").agg(F.sum("n").alias("taken"))  # one document of a size over 0 starts at a place
+    taken = pieces.groupBy("rank", "at").agg(F.sum("n").alias("taken"), F.min("slot").alias("slot"))  # one document of a size over 0 starts at a place
     both = placed.join(taken, ["rank", "at"], "left")
-    return both.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("bigint").alias("taken"), "source")
+    return both.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("bigint").alias("taken"), "source", "slot")

@@ -30,8 +30,6 @@ from trackfold.llm.common import checkpointed, table
 
 #: At most about this many labelled rows train the lexicon and the score (a hash of doc_id chooses).
 TRAIN_ROWS = 100_000
-#: At most so many entries, those of most evidence.
-LEXICON = 20_000
 #: Least neighbourhoods and documents of an entry, and the least lower bound of its log odds.
 SUPPORT, ODDS = 8, 1.5
 PREFIXES = (4, 5, 6)
@@ -71,17 +69,18 @@ def lexicon(train: DataFrame) -> dict[str, float]:
     bad = rows.where("toxic = 1").select("doc_id", F.explode(around).alias("x")).select("doc_id", "x.word", "x.near").groupBy("word").agg(F.count_distinct("near").alias("n"), F.count_distinct("doc_id").alias("d"))
     bad = bad.select("word", F.least("n", "d").alias("bad"), F.lit(0).cast("bigint").alias("good"))
     good = rows.where("toxic = 0").select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("good")).select("word", F.lit(0).cast("bigint").alias("bad"), "good")
-    both = bad.union(good).where("word <> ''").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    both = checkpointed(bad.union(good).where("word <> ''").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     begins = [F.when(F.char_length("word") > n, F.concat(F.lit(" "), F.substring("word", 1, n))) for n in PREFIXES]
     each = both.select("bad", "good", F.explode(F.array_compact(F.array(F.concat(F.lit(" "), "word", F.lit(" ")), *begins))).alias("pattern")).groupBy("pattern").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     n1, n0 = both.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     odds = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) + F.lit(math.log((n0 + 1) / (n1 + 1)))
+    # as the training rows are bounded, so are these
     each = each.where(F.col("bad") >= SUPPORT).withColumn("odds", odds).withColumn("least", odds - 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))).where(F.col("least") > ODDS)
-    return {r.pattern: float(r.least) for r in each.orderBy(F.desc("least"), "pattern").limit(LEXICON).select("pattern", "least").collect()}
+    return {r.pattern: float(r.least) for r in each.orderBy(F.desc("least"), "pattern").select("pattern", "least").collect()}
 
 
 def exceptions(train: DataFrame, lex: dict[str, float]) -> list[str]:
-    """Pairs of words, a match among them, that at least SUPPORT clean and no toxic training documents hold, at most LEXICON of them."""
+    """Pairs of words, a match among them, that at least SUPPORT clean and no toxic training documents hold."""
     if not lex:
         return []
 
@@ -102,7 +101,7 @@ def exceptions(train: DataFrame, lex: dict[str, float]) -> list[str]:
 
     p = train.select("folded", F.col("toxic").cast("int").alias("toxic")).mapInArrow(pairs, "phrase string, toxic int")
     p = p.groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where((F.col("bad") == 0) & (F.col("n") >= SUPPORT))
-    return [r.phrase for r in p.orderBy(F.desc("n"), "phrase").limit(LEXICON).collect()]
+    return [r.phrase for r in p.orderBy(F.desc("n"), "phrase").collect()]
 
 
 class Matcher:
@@ -175,7 +174,8 @@ def scored(docs: DataFrame, labels: DataFrame, excepted: list[str] | None = None
     train = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", folded(F.col("text")).alias("folded"))
     lex = lexicon(train)
     found = checkpointed(features(docs, lex, [*(excepted or []), *exceptions(train, lex)]))
-    t = found.join(chosen, "doc_id").select("total", "n", "words", "toxic").toArrow().to_pandas()
+    # of rows of a repeated doc_id the one that weighs most, so that there are at most about TRAIN_ROWS
+    t = found.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.struct("total", "n", "words")).alias("x")).select("x.total", "x.n", "x.words", "toxic").toArrow().to_pandas()
     y = t["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         w = fit(_x(t["total"].to_numpy(), t["n"].to_numpy(), t["words"].to_numpy()), y)
