@@ -9,8 +9,9 @@ word lists, ids and numbers move. Decoding concatenates the ids' byte pieces.
 The rank table: each id has a base. A pair (a, b) of ids that merges has its entry at
 place base[a] + b: a, the rank (which is the new id) and the new id's base, so that a
 wrong place is noticed and the next look-up needs no second table.
-The table is one binary literal of decimal numbers of one width: the plan holds a few MB
-of bytes, not arrays of boxed numbers.
+The table enters the plan as a scalar subquery over one row, which is a constant of each
+task: as a literal its half a million numbers would be printed into each description of
+the plan that Spark keeps.
 
 A fold's steps grow with the square of a word, so words over PIECE bytes are folded in
 pieces that overlap, and put together where two pieces have a token in common. That is
@@ -50,7 +51,6 @@ PIECE, STRIDE = 288, 192
 _ID, _BASE = 17, 19
 _CODE = 1 << (_ID + _BASE)
 _SIZE = 1 << _BASE
-_WIDTH = 16
 _EMPTY = (1 << (2 * _ID + _BASE)) - 1
 _FAR = 1 << 54
 
@@ -62,7 +62,7 @@ def vocabulary(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def rank_table(path: str) -> tuple[np.ndarray, bytes]:
+def rank_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The code of each id (and of one past the last, which merges with nothing), and the table."""
     ranks = vocabulary(path)
     last = max(ranks.values()) + 1
@@ -90,7 +90,7 @@ def rank_table(path: str) -> tuple[np.ndarray, bytes]:
     for a, row in rows.items():
         b, r = np.array(row).T
         out[base[a] + b] = (a << (_ID + _BASE)) | codes[r]
-    return codes, b"".join(b"%0*d" % (_WIDTH, x) for x in out.tolist())
+    return codes, out
 
 
 @functools.cache
@@ -158,15 +158,13 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoded(word: Column, path: str) -> Column:
-    """ids of a word: an array<int> column. word: the codes of its bytes, between two of the id that merges with nothing."""
-    places = F.lit(rank_table(path)[1])
+def encoded(word: Column, places: Column) -> Column:
+    """ids of a word: an array<int> column. word: the codes of its bytes, between two of the id that merges with nothing; places: the rank table."""
 
     def rank(a: Column, b: Column) -> Column:
         """The code of the pair's id; _CODE or more: the pair does not merge."""
         at = a.bitwiseAND(F.lit(_SIZE - 1)) + F.shiftright(b, _BASE)
-        entry = F.substring(places, (at * _WIDTH + 1).cast("int"), F.lit(_WIDTH)).cast("string").cast("bigint")
-        return F.pmod(entry - F.shiftleft(F.shiftright(a, _BASE), _ID + _BASE), F.lit(_FAR))
+        return F.pmod(F.get(places, at.cast("int")) - F.shiftleft(F.shiftright(a, _BASE), _ID + _BASE), F.lit(_FAR))
 
     def step(s: Column, _: Column) -> Column:
         def merge(new: Column) -> Column:
@@ -315,7 +313,9 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists), pa.array([_zip(key[a:z], local[a:z], (index[a:z] % FOLD_ROWS).astype(np.int16), size.astype(np.int32), long_)], pa.binary())], names=names_of)
 
     asked = sent.mapInArrow(meet, "kind int, block long, words array<array<bigint>>, asked binary")
-    folded = asked.select("kind", "block", F.transform("words", lambda w: encoded(w, path)).alias("ids"), "asked")
+    constant = spark.createDataFrame(pa.table({"t": pa.array([rank_table(path)[1]], pa.list_(pa.int64()))})).scalar()
+    asked = asked.withColumn("t", F.when(F.col("kind") == 1, constant))
+    folded = asked.select("kind", "block", F.transform("words", lambda w: encoded(w, F.col("t"))).alias("ids"), "asked")
 
     sizes = np.diff(pieces(path)[1])
 
