@@ -158,12 +158,13 @@ def test_vectors_against_brute_force(spark):
     centre = rng.normal(size=(12, 16))
     v = [(centre[i % 12] + rng.normal(size=16) * rng.choice([0.01, 0.2])).tolist() for i in range(300)]
     rows = [(i, x, i % 2) for i, x in enumerate(v)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, v[0], None), (904, [], 0), (905, [1.0, None], 0), (906, [x * 1e-200 for x in v[0]], 0)]
-    x = np.array(v + [v[0]])
+    rows += [(1000 + k, v[4], 0) for k in range(700)]  # copies
+    x = np.array(v + [v[0]] + [v[4]] * 700)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ids = [*range(300), 906]
-    label = [i % 2 for i in range(300)] + [0]
+    ids = [*range(300), 906, *range(1000, 1700)]
+    label = [i % 2 for i in range(300)] + [0] * 701
     cos = x @ x.T
-    links = [(ids[a], ids[b]) for a in range(301) for b in range(a + 1, 301) if label[a] == label[b] and cos[a, b] >= 0.98]
+    links = [(ids[a], ids[b]) for a in range(1001) for b in range(a + 1, 1001) if label[a] == label[b] and cos[a, b] >= 0.98]
     want = brute_components([r[0] for r in rows], links)
     n = {r[0]: 0 for r in rows}
     for a, b in links:
@@ -174,6 +175,14 @@ def test_vectors_against_brute_force(spark):
     assert vectors.deduped(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_of_repeated_ids_and_clashing_columns(spark):
+    schema = "vec_id long, embedding array<float>, label string, h1 long, rep long, row long, at long, component long"
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, b, "x"), (4, c, "x"), (5, a, "y"), (None, a, "x"), (6, [2.0, 0.0, 0.0], "x")]
+    got = sorted({(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.deduped(spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], schema)).collect() if r.vec_id})
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 2, 1, False)]
+
+
 def test_fingerprints(docs, empty):
     got = sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in fingerprint.fingerprints(docs).collect())
     rows = sorted(((i if i is not None else -(10**18), t or "") for i, t in corpus()))

@@ -200,8 +200,8 @@ def _unzip(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) -> DataFrame:
-    """docs: doc_id, text. finish(doc_ids, bounds, ids, word_bounds) makes a record batch of documents: bounds in words, word_bounds in ids."""
+def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs: doc_id, text. block_words: what a task holds before it sends a block on; less takes less memory and more shuffle. finish(doc_ids, bounds, ids, word_bounds) makes a record batch of documents: bounds in words, word_bounds in ids."""
     spark = docs.sparkSession
     n_parts = parts(spark)
     deal = dealt(n_parts)
@@ -255,7 +255,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
             if len(flat):
                 words.append(flat.dictionary_encode())
             held += len(flat)
-            if held > BLOCK_WORDS:
+            if held > block_words:
                 yield send()
                 ids, null, counts, words, held, number = [], [], [], [], 0, number + 1
                 trimmed()
@@ -417,13 +417,13 @@ def decoded(ids: np.ndarray, piece: tuple[np.ndarray, np.ndarray]) -> tuple[np.n
     return text[ragged(at[ids], size)], np.concatenate([[0], np.cumsum(size)])
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row per document: doc_id, ids."""
 
     def finish(doc_ids, bounds, ids, word_bounds):
         return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(word_bounds[bounds], pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
-    return tokenized(docs, path, pattern, "doc_id long, ids array<int>", finish)
+    return tokenized(docs, path, pattern, "doc_id long, ids array<int>", finish, block_words)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
