@@ -24,6 +24,8 @@ from trackfold.llm.common import bloom, checkpointed, may_hold, parts, shared, t
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Of a row in the mix: 128 bits of its contents.
 KEYS = ("key1", "key2")
+#: Words that a task of the last stage holds; its executors have run four stages before.
+BLOCK_WORDS = 1_500_000
 #: A stage scores with a model, so SQL cannot express the rows.
 ORACLE_SQL = None
 
@@ -83,7 +85,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens."""
-    out = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, BLOCK_WORDS)
     return out.withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
