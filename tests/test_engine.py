@@ -268,3 +268,22 @@ def test_names_and_species():
     assert schema.normal_name("ss_area_25%") == "ss_area_p25" and schema.species_parameters(None)[0] == 1.5
     with pytest.raises(ValueError):
         schema.species_parameters("unknown")
+
+
+def test_condition_labels():
+    label = scalar.condition_label
+    assert label(["Drug", "Strain"], ["1.0", "MG1655"], "Ampicillin concentration (uM)") == "ampicillin, Drug, Strain=MG1655"
+    assert label(["dose", "note"], ["0.1234", "nan"]) == "dose=0.12"
+    assert label(["Note", "Kind"], ["nan", "nan"], None) == "note=nan, kind=nan"
+    assert label([], [], "Kanamycin concentration") == "kanamycin" and label([], []) == ""
+
+
+def test_band_of_a_ring():
+    b = morph.band(6, 2)
+    assert [(int(i), int(j)) for i, j in zip(*b.nonzero(), strict=True)] == [(0, 2), (0, 3), (1, 3), (1, 4), (2, 4), (2, 5), (3, 5)]
+
+
+def test_times_of_a_plate_reader_are_kept(spark):
+    t = spark.createDataFrame([("p", "head\nt 0.5 910.25 1800.0 C 37.0 37.0 B2 0.1 0.2 0.3;\n")], "path string, content string")
+    got = tables.plate_reader(t, "e", limit=2).orderBy("time").collect()
+    assert [(r.time, r.round_time, r.pad_name, r.labelid, r.OD600) for r in got] == [(0.5, 0.5, "B2", "e_B2", 0.1), (910.25, 910.25, "B2", "e_B2", 0.2)]

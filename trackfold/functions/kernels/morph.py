@@ -323,3 +323,9 @@ def watershed(m: np.ndarray, h: float = 1.0) -> np.ndarray:
                 lab[a, b] = lab[y, x]
                 heapq.heappush(heap, (-d[a, b], a, b))
     return lab
+
+
+def band(n: int, k: int = 0) -> np.ndarray:
+    """Pairs (i, j) of n points on a ring, i before j, at least k apart either way round."""
+    apart = np.arange(n)[None, :] - np.arange(n)[:, None]
+    return (apart >= k) & (apart < n - k)

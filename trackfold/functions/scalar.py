@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,18 @@ def two_figures(c: Column) -> Column:
     return F.when(r.isNull(), c.cast("string")).otherwise(F.regexp_replace(r.cast("string"), r"\.0$", ""))
 
 
+def to_text(value) -> str:
+    """F2 for one value."""
+    try:
+        x = float(value)
+    except (TypeError, ValueError):
+        return str(value)
+    if not math.isfinite(x):
+        return str(value)
+    x = round(x, 1 - math.floor(math.log10(abs(x)))) if x else 0.0
+    return str(int(x)) if x == int(x) else str(x)
+
+
 def listify(value) -> list:
     """F3."""
     if value is None:
@@ -48,10 +61,24 @@ def pad_label(c: Column) -> Column:
     return F.format_string("Pad %s, %s-%s", F.try_element_at(s, F.lit(3)), F.try_element_at(s, F.lit(1)), F.try_element_at(s, F.lit(2)))
 
 
-def condition_label(text_keys: list[str], text_values: list, numeric_key: str | None = None) -> str:
-    """F7, for axis labels: "Key: value" of each text key, then the numeric key with its unit."""
-    out = [f"{k.replace('_', ' ').capitalize()}: {v}" for k, v in zip(text_keys, text_values, strict=True)]
-    return ", ".join([*out, *([numeric_key.replace("_", " ").capitalize()] if numeric_key else [])])
+def condition_label(text_keys: list[str], text_values: list[str], numeric_key: str | list | None = None) -> str:
+    """F7, for axis labels. First the numeric key up to its "concentration"; then the keys whose value is a number ("key=value" to two significant figures, the key alone at 1), then the others ("key=value", without those that are 'nan'). If no key is left, all of them in lower case, values too unless they are in capitals. The first letter is a small one."""
+
+    def number(v) -> bool:
+        try:
+            return math.isfinite(float(v))
+        except ValueError:
+            return False
+
+    pairs = list(zip(text_keys, text_values, strict=False))
+    out = [k if float(v) == 1.0 else f"{k}={to_text(v)}" for k, v in pairs if number(v)]
+    out += [f"{k}={v}" for k, v in pairs if not number(v) and v != "nan"]
+    if not out:
+        out = [f"{k.lower()}={v if v.isupper() else v.lower()}" for k, v in pairs]
+    if isinstance(numeric_key, str):
+        numeric_key = numeric_key.split("concentration")[0].strip()
+    label = ", ".join([*listify(numeric_key), *out]).strip()
+    return label[:1].lower() + label[1:]
 
 
 def safe_filename(c: Column) -> Column:

@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def joined(df: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the other columns of few, which has a row for each combination of the keys; null equals null."""
+    r = few.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keys)], *[c for c in few.columns if c not in keys])
+    on = F.lit(True)
+    for i, c in enumerate(keys):
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"_{i}"))
+    return df.join(r, on, "left").drop(*[f"_{i}" for i in range(len(keys))])
+
+
 def matches(**values) -> Column:
     """P10: a predicate of equalities in which null equals null."""
     out = F.lit(True)
@@ -35,44 +44,41 @@ def split_controls(df: DataFrame, column: str = "col", control: int = 12) -> tup
 
 
 def repeats(df: DataFrame, text: list[str], numeric: list[str], key: str, name: str = "repeat") -> DataFrame:
-    """The rank of each key among the keys of its group of text keys, from 1, nulls last; ranks of the last numeric key that a row has count, and without numeric keys all rows do."""
-    if not numeric:
-        return df.withColumn(name, F.dense_rank().over(Window.partitionBy(*text).orderBy(F.asc_nulls_last(key))).cast("bigint"))
+    """The rank of each key among the keys of its group of text keys, from 1, nulls last; ranks of the last numeric key that a row has count, and without numeric keys all rows do. Distinct keys are ranked, and joined back: a group may hold any share of the rows."""
+    has = {f"_has{i}": F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double")) for i, n in enumerate(numeric)}
+    df = df.withColumns(has) if has else df.withColumn("_has0", F.lit(True))
     ranks = []
-    for n in reversed(numeric):
-        has = F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double"))
-        w = Window.partitionBy(*text, has).orderBy(F.asc_nulls_last(key))
-        ranks.append(F.when(has, F.dense_rank().over(w)))
-    return df.withColumn(name, F.coalesce(*ranks).cast("bigint"))
+    for i in reversed(range(max(1, len(numeric)))):
+        one = df.where(f"_has{i}").select(*text, key).distinct().withColumn(f"_rank{i}", F.dense_rank().over(Window.partitionBy(*text).orderBy(F.asc_nulls_last(key))))
+        df = joined(df, one, [*text, key])
+        ranks.append(F.when(F.col(f"_has{i}"), F.col(f"_rank{i}")))
+    out = df.withColumn(name, F.coalesce(*ranks).cast("bigint"))
+    return out.drop(*[c for i in range(max(1, len(numeric))) for c in (f"_has{i}", f"_rank{i}")])
 
 
 def replicates(df: DataFrame, condition: list[str], pad: str, order: str, name: str = "replicate") -> DataFrame:
     """Pads of a condition numbered from 1 by first appearance."""
     first = df.groupBy(*condition, pad).agg(F.min(order).alias("_first"))
     first = first.withColumn(name, F.row_number().over(Window.partitionBy(*condition).orderBy("_first")).cast("bigint")).drop("_first")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*condition, pad]]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return df.alias("l").join(first.alias("r"), on, "left").select("l.*", f"r.{name}")
+    return joined(df, first, [*condition, pad])
 
 
 def repeats_beside_control(df: DataFrame, experiment: str, row: str, col: str, control: int = 12, name: str = "repeat") -> DataFrame:
     """Rows of a plate are repeats, numbered on through the experiments in order; controls are dealt over their experiment's repeats in turn."""
-    n = df.where(F.col(col) != control).select(experiment, row).distinct()
-    n = n.withColumn("_rank", F.dense_rank().over(Window.partitionBy(experiment).orderBy(row)))
-    per = n.groupBy(experiment).agg(F.max("_rank").alias("_n"))
+    d = df.withColumn("_control", F.col(col) == control)
+    rows = d.select(experiment, "_control", row).distinct().withColumn("_rank", F.dense_rank().over(Window.partitionBy(experiment, "_control").orderBy(row)))
+    per = rows.groupBy(experiment).agg(F.max(F.when(~F.col("_control"), F.col("_rank"))).alias("_n")).where("_n is not null")
     per = per.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy(experiment).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per experiment
-    out = df.join(per, experiment, "left")
-    rank = F.dense_rank().over(Window.partitionBy(experiment, F.col(col) == control).orderBy(row))
-    value = F.when(F.col(col) == control, F.pmod(rank - 1, F.col("_n"))).otherwise(rank - 1) + 1 + F.col("_offset")
-    return out.withColumn(name, value.cast("bigint")).drop("_n", "_offset")
+    out = joined(joined(d, rows, [experiment, "_control", row]), per, [experiment])
+    rank = F.col("_rank")
+    value = F.when(F.col("_control"), F.pmod(rank - 1, F.col("_n"))).otherwise(rank - 1) + 1 + F.col("_offset")
+    return out.withColumn(name, value.cast("bigint")).drop("_n", "_offset", "_rank", "_control")
 
 
 def normalised(df: DataFrame, key: str, by: list[str], concentration: str, name: str | None = None) -> DataFrame:
     """A3: a value over the mean at concentration 0 within its group."""
-    base = F.avg(F.when(F.col(concentration) == 0, F.col(key))).over(Window.partitionBy(*by))
-    return df.withColumn(name or f"{key}_normalised", F.try_divide(F.col(key), base))
+    base = df.where(F.col(concentration) == 0).groupBy(*by).agg(F.avg(key).alias("_base"))
+    return joined(df, base, by).withColumn(name or f"{key}_normalised", F.try_divide(F.col(key), F.col("_base"))).drop("_base")
 
 
 def normalised_to_self(df: DataFrame, key: str, by: list[str], bin_: str, name: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfold.functions import plates, scalar
-from trackfold.operators import conditions, describe, growth, lineage, lysis, scoring, segmentation, series, spatial, timebin
+from trackfold.operators import conditions, describe, growth, guards, lineage, lysis, scoring, segmentation, series, spatial, timebin
 from trackfold.sources import tables
 
 QUERIES: dict = {}
@@ -424,7 +424,7 @@ def tracked_points(s, d):
     return spatial.tracked(_points(s, d))
 
 
-@query("""with o as (select o_orderkey as cell, month(o_orderdate) as r, day(o_orderdate) as c from orders), p as (select month(l_shipdate) as r, day(l_shipdate) as c, max(l_suppkey) as owner from lineitem where l_quantity > 49 group by all)
+@query("""with o as (select o_orderkey as cell, month(o_orderdate) as r, day(o_orderdate) as c from orders), p as (select month(l_shipdate) as r, day(l_shipdate) as c, max(l_suppkey) as owner from lineitem group by all)
 select cell, coalesce(owner, -1) as owner from o left join p on p.r = o.r and p.c = o.c""")
 def containment(s, d):
     """J3."""
@@ -433,7 +433,7 @@ def containment(s, d):
     return spatial.owners_by_containment(cells, px, ["f"]).select("cell", "owner")
 
 
-@query("select distinct l_suppkey as id, o_custkey as other from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 45")
+@query("select distinct l_suppkey as id, o_custkey as other from lineitem join orders on l_orderkey = o_orderkey")
 def outlines_touching(s, d):
     """J20."""
     a = read(s, d, "lineitem").select(F.lit(0).alias("f"), F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("r"), F.lit(0).alias("c"))
@@ -444,14 +444,13 @@ def outlines_touching(s, d):
 @query("select d.doc_id, l.doc_id is null as is_debris_ml from documents d left join (select distinct doc_id from labels) l on l.doc_id = d.doc_id")
 def debris_flags(s, d):
     """J16, S20."""
-    known = read(s, d, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
-    return read(s, d, "documents").select("doc_id").join(known, "doc_id", "left").select("doc_id", F.col("known").isNull().alias("is_debris_ml"))
+    return guards.flagged(read(s, d, "documents").select("doc_id"), read(s, d, "labels"), "doc_id", "is_debris_ml")
 
 
 @query("select count(*) as unmatched from documents d anti join labels l on l.doc_id = d.doc_id")
 def unmatched_count(s, d):
     """U6."""
-    return read(s, d, "documents").join(read(s, d, "labels"), "doc_id", "left_anti").agg(F.count("*").alias("unmatched"))
+    return guards.unmatched(read(s, d, "documents"), read(s, d, "labels"), "doc_id")
 
 
 @query("select s_suppkey as k, s_name as name, null::varchar as segment from supplier union all select c_custkey, c_name, c_mktsegment from customer")
@@ -464,7 +463,7 @@ def widened_union(s, d):
 @query("select distinct l_suppkey % 50 as label from lineitem where l_suppkey % 50 <> 0")
 def labels_without_background(s, d):
     """U3, U4."""
-    return read(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("label")).distinct().where("label <> 0")
+    return guards.labels(read(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("label")), "label")
 
 
 @query("""with x as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i from orders) select o_orderkey from x where i >= 10 and i < 500 and (i - 10) % 7 = 0""")
@@ -507,15 +506,17 @@ def plate_traversal(s, d):
     return plates.traversal(k, "r", "c").select("k", "position")
 
 
-@query(f"""with {EVENTS}, x as (select series_key, row_number() over (partition by series_key order by us, event_id) as n, round(area, 3) as v from e) select series_key, ((n - 1) * 900)::double as time, v as "OD600", 'A' as "row", (series_key % 12 + 1)::bigint as col from x""")
+@query(f"""with {EVENTS}, x as (select series_key, ((row_number() over (partition by series_key order by us, event_id) - 1) * 905.5)::double as t, round(area, 3) as v, (series_key % 12 + 1)::bigint as col from e)
+select series_key, t as time, round(t / 86400, 6) as time_days, t as round_time, round(t / 86400, 6) as round_time_days, round(t / 3600, 6) as round_time_hours, v as "OD600", 'A' as "row", col, 'x' as experiment, 'A' || col as pad_name, 'x_A' || col as labelid, true as named from x""")
 def plate_reader_table(s, d):
     """A reader's text of each user, parsed again."""
     e = events(s, d).groupBy("series_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", F.round("area", 3).alias("v")))), lambda q: q.v).alias("v"))
     number = lambda c: F.transform(c, lambda v: F.format_string("%.3f", v))
-    times = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: (i * 900.0))
+    times = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: (i * 905.5))
     text = F.concat(F.lit("header\nt "), F.array_join(number(times), " "), F.lit(" C 37.0 A"), (F.col("series_key") % 12 + 1).cast("string"), F.lit(" note "), F.array_join(number(F.col("v")), " "), F.lit(";\nend"))
     out = tables.plate_reader(e.select(F.col("series_key").cast("string").alias("path"), text.alias("content")), "x")
-    return out.select(F.col("path").cast("bigint").alias("series_key"), "time", "OD600", "row", F.col("col").cast("bigint").alias("col"))
+    same = F.concat("row", F.col("col").cast("string")) == F.col("pad_name")
+    return rounded(out.select(F.col("path").cast("bigint").alias("series_key"), "time", "time_days", "round_time", "round_time_days", "round_time_hours", "OD600", "row", F.col("col").cast("bigint").alias("col"), "experiment", "pad_name", "labelid", same.alias("named")))
 
 
 @query()
@@ -585,3 +586,56 @@ def focused_frames(s, d):
 def sharpest_planes(s, d):
     """T6, I16 on drawn stacks."""
     return segmentation.sharpest(synthetic_stacks(s))
+
+
+@query("""select l.l_orderkey, l.l_linenumber, l.l_quantity::double as q, o.o_orderpriority as priority from (select *, case when l_linenumber % 5 = 0 then 'NaN'::double when l_linenumber % 7 = 0 then null else l_quantity end as v from lineitem) l
+left join (select o_orderkey, o_orderpriority from orders where o_orderkey % 2 = 0) o on o.o_orderkey = l.l_orderkey where l.l_suppkey - 5 >= 0 and l.v is not null and not isnan(l.v)""")
+def guarded_rows(s, d):
+    """P1, P7, P8."""
+    v = F.when(F.col("l_linenumber") % 5 == 0, F.lit(float("nan"))).when(F.col("l_linenumber") % 7 == 0, F.lit(None)).otherwise(F.col("l_quantity").cast("double"))
+    cells = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") - 5).alias("id"), v.alias("v"), F.col("l_quantity").cast("double").alias("q"))
+    about = read(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("priority"))
+    return guards.with_metadata(guards.present(guards.identified(cells), "v"), about, "l_orderkey").select("l_orderkey", "l_linenumber", "q", "priority")
+
+
+@query("select user_id as series_key, event_id from events where user_id in (select user_id from events group by user_id having count(*) > 20)")
+def long_tracks(s, d):
+    """P17."""
+    return guards.tracked(read(s, d, "events").select(F.col("user_id").alias("series_key"), "event_id"), ["series_key"])
+
+
+@query("select p_partkey, p_size > 5 and p_partkey % 100 > 10 and p_size + 3 < 45 and p_partkey % 100 + 4 < 90 as inside from part")
+def boxes_inside(s, d):
+    """P15."""
+    box = F.col("p_size"), F.col("p_partkey") % 100, F.lit(3), F.lit(4)
+    return read(s, d, "part").select("p_partkey", guards.inside(box, (5, 10, 40, 80)).alias("inside"))
+
+
+@query("select distinct l_suppkey as id from lineitem join (select o_orderkey from orders where o_orderpriority = '1-URGENT' and o_orderkey % 50 = 1) on o_orderkey = l_orderkey")
+def objects_annotated(s, d):
+    """P19."""
+    marked = read(s, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("place"))
+    return guards.holding(read(s, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("place")), marked, ["place"])
+
+
+@query("""with w as (select l_orderkey as id, count(*) as area, arg_max(l_linenumber, l_quantity * 100 - l_linenumber) as r from lineitem group by all)
+select id, area, r, case when area < 3 or r % 3 = 0 then false end as keep from w""")
+def colony_rule(s, d):
+    """P21."""
+    px = read(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("double").alias("edt"), F.col("l_linenumber").alias("r"), F.lit(0).alias("c"))
+    w = guards.widest_point(px, ["id"], "edt", ("r", "c"))
+    return big(w.select("id", "area", "r", guards.keep_rule(F.col("area"), F.col("r") % 3 == 0, 3).alias("keep")))
+
+
+@query("select l_suppkey as id, round(avg(l_quantity), 6)::double as mean, round(stddev_pop(l_quantity), 6)::double as std from lineitem group by all")
+def pixel_statistics(s, d):
+    """A12."""
+    return shown(guards.pixel_statistics(read(s, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_quantity").cast("double").alias("v")), ["id"], "v"))
+
+
+@query("select l_orderkey as frame, count(*) as n, list_transform(list(l_linenumber order by l_linenumber), lambda x: x * x)::bigint[] as squares from lineitem group by all")
+def frame_counts(s, d):
+    """A8."""
+    cells = read(s, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("bigint").alias("v"))
+    lists = cells.groupBy("frame").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    return guards.counted(cells, "frame").join(lists.select("frame", guards.each(F.col("v"), lambda x: x * x).alias("squares")), "frame")

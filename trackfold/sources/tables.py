@@ -17,7 +17,7 @@ def plate_reader_tokens(texts: DataFrame, content: str = "content") -> DataFrame
 
 
 def plate_reader(texts: DataFrame, experiment: str, content: str = "content", limit: int | None = None) -> DataFrame:
-    """The long table of optical densities. The first text after numbers opens a series, further texts beside it are passed over; `t` holds times, `C` temperatures, the others are wells."""
+    """The long table of optical densities. The first text after numbers opens a series, further texts beside it are passed over; `t` holds times, `C` temperatures, the others are wells. The columns round_time* hold the times as they are."""
     w = Window.partitionBy("path").orderBy("pos")
     d = plate_reader_tokens(texts, content)
     d = d.withColumn("_open", F.col("is_text") & ~F.coalesce(F.lag("is_text").over(w), F.lit(False)))
@@ -28,9 +28,8 @@ def plate_reader(texts: DataFrame, experiment: str, content: str = "content", li
     v = v.where(F.col("at") <= limit) if limit else v
     times = v.where("title = 't'").select("path", "at", F.col("value").alias("time"))
     od = v.where("title not in ('t', 'C')").select("path", "at", "title", F.col("value").alias("OD600")).join(times, ["path", "at"])
-    rounded = F.floor(F.col("time") / 900) * 900
     row, col = F.substring("title", 1, 1), F.substring("title", 2, 10).try_cast("int")
-    return od.select("path", F.lit(experiment).alias("experiment"), (F.col("time") / 86400).alias("time_days"), (rounded / 86400).alias("round_time_days"), rounded.cast("double").alias("round_time"), (rounded / 3600).alias("round_time_hours"), "time", row.alias("row"), col.alias("col"), "OD600", F.col("title").alias("pad_name"), F.concat(F.lit(experiment + "_"), "title").alias("labelid"))
+    return od.select("path", F.lit(experiment).alias("experiment"), (F.col("time") / 86400).alias("time_days"), (F.col("time") / 86400).alias("round_time_days"), F.col("time").alias("round_time"), (F.col("time") / 3600).alias("round_time_hours"), "time", row.alias("row"), col.alias("col"), "OD600", F.col("title").alias("pad_name"), F.concat(F.lit(experiment + "_"), "title").alias("labelid"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
