@@ -139,6 +139,39 @@ def test_jaccard_takes_awkward_rows(docs):
     assert jaccard.joined(docs).count() == len(corpus())
 
 
+def test_jaccard_in_chunks_with_repeated_ids_and_long_texts(spark, monkeypatch):
+    """Clusters over several tasks; rows of one doc_id join the classes of all their texts."""
+    monkeypatch.setattr(jaccard, "CHUNK", 4)
+    a, b = sentences(8, 2, 80)
+    long_ = " ".join(sentences(9, 900, 60))
+    rows = [(i, " ".join([f"lead{i}", *a.split()])) for i in range(1, 20)] + [(30, a), (31, a), (31, b), (32, b), (40, long_), (41, long_ + " and more"), (42, None)]
+    got = {}
+    for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    assert got == {**{i: {1} for i in range(1, 20)}, 30: {1}, 31: {1}, 32: {1}, 40: {40}, 41: {40}, 42: {42}}
+
+
+def test_sets_are_compared_exactly():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "b", "c"]) for _ in range(rng.randrange(1, 40))).encode() for _ in range(60)] + [b"", b"a b"]
+    sets = jaccard._Sets(texts, 5)
+    own = []
+    for t in texts:
+        w = t.decode().split()
+        own.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    i, j = (np.array(x) for x in zip(*itertools.combinations(range(len(texts)), 2), strict=True))
+    want = np.array([4 * len(own[p] & own[q]) >= 3 * len(own[p] | own[q]) for p, q in zip(i, j, strict=True)])
+    some = (sets.n[i] > 0) & (sets.n[j] > 0)
+    assert (sets.near(i[some], j[some]) == want[some]).all() and sets.likely(i[some & want], j[some & want]).all()
+
+
+def test_runs_of_a_key_become_clusters(monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    runs = [np.array(x) for x in ([1, 2, 3, 4], [1, 2, 3, 5], [1, 2, 3, 4], [1, 8, 9])]
+    got = jaccard._merged(runs)
+    assert [c.tolist() for c in got] == [[1, 2, 3, 4, 5], [1, 8, 9]] and [c.tolist() for c in jaccard._merged(runs[3:])] == [[1, 8, 9]]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in common.components(e).collect()}
@@ -210,13 +243,32 @@ def test_bpe_as_tiktoken(docs, empty, spark):
     tiktoken = pytest.importorskip("tiktoken")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary(path), special_tokens={})
-    more = [(50, "=" * 700 + " " * 300 + "\n" * 9 + "word"), (51, "𝔘nicode ١٢٣ ½ ǅ ़ा"), (52, "<|endoftext|> isn't 'special'")]
+    more = [(60, "哈" * 700 + "你好" * 90), (61, "abcab" * 99), (62, "x" * 289), (-(2**63), "least"), (50, "=" * 700 + " " * 300 + "\n" * 9 + "word"), (51, "𝔘nicode ١٢٣ ½ ǅ ़ा"), (52, "<|endoftext|> isn't 'special'")]
     rows = corpus() + more
     d = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     ids = bpe.encode(d, path, public_tokenizers.PATTERN)
     assert sorted((str(r.doc_id), list(r.ids)) for r in ids.collect()) == sorted((str(i), enc.encode_ordinary(t or "")) for i, t in rows)
     assert sorted((str(r.doc_id), bytes(r.bytes)) for r in bpe.decode(ids, path).collect()) == sorted((str(i), (t or "").encode()) for i, t in rows)
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
+    want = [(str(i), len(e), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in e)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows for e in [enc.encode_ordinary(t or "")]]
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(d, path, public_tokenizers.PATTERN).collect()) == sorted(want)
+
+
+def test_a_word_is_merged_and_joined_as_tiktoken_does():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.vocabulary(path)
+    enc = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    sizes = np.diff(bpe.pieces(path)[1])
+    rng = random.Random(3)
+    for letters in ("ab", "aab", "theing", "=-", "哈你"):
+        word = "".join(rng.choice(letters) for _ in range(700)).encode()
+        want = enc.encode_ordinary(word.decode())
+        assert bpe.merged(word, ranks) == want
+        cut = [word[k : k + bpe.PIECE] for k in range(0, len(word) - bpe.PIECE + bpe.STRIDE, bpe.STRIDE)]
+        one = bpe.joined([np.array(bpe.merged(x, ranks)) for x in cut], sizes)
+        assert one is None or one.tolist() == want
 
 
 def test_mixing(docs, empty, spark):
