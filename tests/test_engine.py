@@ -287,3 +287,21 @@ def test_times_of_a_plate_reader_are_kept(spark):
     t = spark.createDataFrame([("p", "head\nt 0.5 910.25 1800.0 C 37.0 37.0 B2 0.1 0.2 0.3;\n")], "path string, content string")
     got = tables.plate_reader(t, "e", limit=2).orderBy("time").collect()
     assert [(r.time, r.round_time, r.pad_name, r.labelid, r.OD600) for r in got] == [(0.5, 0.5, "B2", "e_B2", 0.1), (910.25, 910.25, "B2", "e_B2", 0.2)]
+
+
+def test_species_of_rows(spark):
+    from trackfold import schema
+
+    rows = spark.createDataFrame([("e. COLI",), (None,), ("Staphylococcus aureus",)], "species string")
+    assert sorted(r.sigma for r in schema.with_species(rows, "species").collect()) == [1.5, 1.5, 2.5]
+    with pytest.raises(Exception, match="no parameters for species"):
+        schema.with_species(spark.createDataFrame([("unknown",)], "species string"), "species").collect()
+
+
+def test_positions_with_ties_and_none(spark):
+    from trackfold.operators import series
+
+    d = spark.createDataFrame([(v,) for v in [5, 1, 1, 1, 9, 2] * 40], "v long")
+    got = sorted((r.position, r.v) for r in series.positioned(d, "v").collect())
+    assert [p for p, _ in got] == list(range(240)) and [v for _, v in got] == sorted([5, 1, 1, 1, 9, 2] * 40)
+    assert series.positioned(d.where("v > 100"), "v").count() == 0

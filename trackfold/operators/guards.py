@@ -85,3 +85,18 @@ def labels(df: DataFrame, column: str, background=0) -> DataFrame:
 def unmatched(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
     """How many rows have no partner."""
     return df.join(other, on, "left_anti").agg(F.count("*").alias("unmatched"))
+
+
+def pruned(df: DataFrame, names: list[str]) -> DataFrame:
+    """Those of the named columns that there are, in the names' order."""
+    return df.select(*[n for n in names if n in df.columns])
+
+
+def with_keys(df: DataFrame, label: str, number: str, lineage: str) -> DataFrame:
+    """`label_number` joins label and number by an underscore, `label_lineage` is the label before the lineage."""
+    return df.withColumns({"label_number": F.concat_ws("_", label, F.col(number).cast("string")), "label_lineage": F.concat(label, lineage)})
+
+
+def tile_levels(pixels: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean and greatest value of each tile."""
+    return pixels.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("greatest"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,9 @@ def fold(counts: Sequence[int], look) -> tuple[list[list[int]], list[str], dict[
         after = ids
     n = len(paths)
     return by_frame, paths, {i: str(n - 1 - i) for i in range(n)}
+
+
+def numbered_children(df: DataFrame, label: str, parent_: str, id_: str) -> DataFrame:
+    """`child` numbers a parent's children from 0 by ascending id; `path` is the parent before that number."""
+    w = Window.partitionBy(label, parent_).orderBy(id_)
+    return df.withColumn("child", F.row_number().over(w) - 1).withColumn("path", F.concat_ws(".", F.col(parent_).cast("string"), F.col("child").cast("string")))

@@ -114,3 +114,22 @@ def normal_range(df: DataFrame, by: list[str], value: str, low: float, high: flo
     w = Window.partitionBy(*by)
     q = F.percentile(F.col(value).cast("double"), F.array(F.lit(low / 100), F.lit(high / 100))).over(w)
     return df.withColumn("_q", q).withColumn(f"{value}_clipped", F.least(F.greatest(F.col(value).cast("double"), F.get("_q", F.lit(0))), F.get("_q", F.lit(1)))).drop("_q")
+
+
+def best(df: DataFrame, by: list[str], score: str, choice: str) -> DataFrame:
+    """The candidate of the greatest score in each group, the least candidate of equals."""
+    top = F.max(F.struct(F.col(score).alias("s"), (-F.col(choice)).alias("c")))
+    return df.groupBy(*by).agg(top.alias("_t")).select(*by, (-F.col("_t.c")).alias(choice), F.col("_t.s").alias(score))
+
+
+def positioned(df: DataFrame, order: str, name: str = "position") -> DataFrame:
+    """Rows numbered from 0 by a column, across the whole table. Quantiles of the column cut it into ranges, which are numbered each in a task of its own and moved by the rows of the ranges before; equal values share a range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.select(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
+    cuts = sorted(set(cuts or []))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    d = df.withColumn("_b", bucket)
+    sums = d.groupBy("_b").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sums.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    return d.withColumn(name, own).join(F.broadcast(before), "_b").withColumn(name, F.col(name) + F.col("_n")).drop("_b", "_n")

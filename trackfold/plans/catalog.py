@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackfold import schema
 from trackfold.functions import plates, scalar
 from trackfold.operators import conditions, describe, growth, guards, lineage, lysis, scoring, segmentation, series, spatial, timebin
 from trackfold.sources import tables
@@ -469,9 +470,7 @@ def labels_without_background(s, d):
 @query("""with x as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i from orders) select o_orderkey from x where i >= 10 and i < 500 and (i - 10) % 7 = 0""")
 def sliced(s, d):
     """S2."""
-    from pyspark.sql import Window
-
-    x = read(s, d, "orders").select("o_orderkey").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1)
+    x = series.positioned(read(s, d, "orders").select("o_orderkey"), "o_orderkey", "i")
     return series.projected_steps(x, "i", 10, 500, 7).select("o_orderkey")
 
 
@@ -537,8 +536,6 @@ def synthetic_frames(s: SparkSession, labels: int = 4, times: int = 4, size: int
     """Bright discs that grow, a frame for each label and time."""
     import pandas as pd
 
-    from trackfold import schema
-
     def draw(batches):
         import numpy as np
 
@@ -639,3 +636,121 @@ def frame_counts(s, d):
     cells = read(s, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("bigint").alias("v"))
     lists = cells.groupBy("frame").agg(F.array_sort(F.collect_list("v")).alias("v"))
     return guards.counted(cells, "frame").join(lists.select("frame", guards.each(F.col("v"), lambda x: x * x).alias("squares")), "frame")
+
+
+@query("""select o_orderkey, (round(o_totalprice::double / pow(10, floor(log10(o_totalprice::double)) - 1)) * pow(10, floor(log10(o_totalprice::double)) - 1))::bigint::varchar as figures, o_orderpriority as unchanged,
+  'Pad ' || o_custkey || ', ' || o_orderkey || '-' || o_orderstatus as pad from orders where o_totalprice >= 100""")
+def text_functions(s, d):
+    """F2, F6."""
+    o = read(s, d, "orders").where("o_totalprice >= 100")
+    pad = scalar.pad_label(F.concat_ws("_", F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_custkey").cast("string")))
+    return o.select("o_orderkey", scalar.two_figures(F.col("o_totalprice").cast("double")).alias("figures"), scalar.two_figures(F.col("o_orderpriority")).alias("unchanged"), pad.alias("pad"))
+
+
+@query("select o_orderpriority, min(o_totalprice)::double as price_min, max(o_totalprice)::double as price_max from orders group by all")
+def ranges_of_groups(s, d):
+    """a key that is no column is passed over."""
+    o = read(s, d, "orders").select("o_orderpriority", F.col("o_totalprice").cast("double").alias("price"))
+    return scalar.group(o, ["o_orderpriority", "no_such_key"]).agg(*scalar.min_max("price"))
+
+
+# a parallelogram of each part: width, height and slant from its columns
+_OUTLINE = "b as (select p_partkey, p_size + 3 as w, p_partkey % 40 + 2 as h, p_partkey % 7 as k, p_partkey % 90 as x, p_size as y from part)"
+
+
+@query(f"""with {_OUTLINE}, c as (select *, w * h as area, 2 * w + 2 * sqrt(h * h + k * k) as perimeter from b)
+select p_partkey, area::double as area, round(perimeter, 6) as perimeter, round(perimeter * perimeter / (4 * pi() * area), 6) as circularity, (x + 5)::bigint as box_x, (y - 4)::bigint as box_y, (w + k + 1)::bigint as box_w, (h + 1)::bigint as box_h,
+  not (x + 5 > 15 and y - 4 > 15 and x + 5 + w + k + 1 < 185 and y - 4 + h + 1 < 85) as on_border, round(pi() - atan2(h, k) , 6) as turn, round(2 * pi(), 6) as turns from c""")
+def outline_measures(s, d):
+    """A21, I14, I24, P14, W11 on drawn outlines, moved by (5, -4)."""
+    p = read(s, d, "part").select("p_partkey", (F.col("p_size") + 3).alias("w"), (F.col("p_partkey") % 40 + 2).alias("h"), (F.col("p_partkey") % 7).alias("k"), (F.col("p_partkey") % 90).alias("x"), F.col("p_size").alias("y"))
+    at = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    x, y, w, h, k = (F.col(c) for c in "xywhk")
+    p = p.withColumn("points", scalar.moved(F.array(at(x, y), at(x + w, y), at(x + w + k, y + h), at(x + k, y + h)), F.lit(5), F.lit(-4)))
+    p = p.select("p_partkey", scalar.contour_area(F.col("points")).alias("area"), scalar.arc_length(F.col("points")).alias("perimeter"), scalar.bounding_box(F.col("points")).alias("box"), series.turning(F.col("points")).alias("angles"))
+    box = [F.col(f"box.{c}").cast("bigint").alias(f"box_{c}") for c in "xywh"]
+    turns = F.aggregate("angles", F.lit(0.0), lambda a, v: a + v)
+    return shown(p.select("p_partkey", "area", "perimeter", scalar.circularity(F.col("perimeter"), F.col("area")).alias("circularity"), *box, scalar.on_border(F.col("box"), 100, 200).alias("on_border"), F.get("angles", F.lit(0)).alias("turn"), turns.alias("turns")))
+
+
+@query("""with p as (select l_orderkey, list((l_quantity::double - 25) / 100 order by l_linenumber, l_quantity) as v from lineitem group by all)
+select l_orderkey, list_position(v, list_max(v)) < list_position(v, list_min(v)) and list_max(v) > 0.05 and list_max(v) - list_min(v) > 0.1 as ring from p""")
+def ring_profiles(s, d):
+    """P18."""
+    v = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda q: (q.l_quantity.cast("double") - 25) / 100)
+    return read(s, d, "lineitem").groupBy("l_orderkey").agg(v.alias("v")).select("l_orderkey", scalar.ring_profile_peak(F.col("v")).alias("ring"))
+
+
+_SPECIES = "case c_custkey % 4 when 0 then 'S. AUREUS' when 1 then 'escherichia coli' when 2 then 'Pseudomonas aeruginosa' end"
+
+
+@query("""select c_custkey, case c_custkey % 4 when 0 then 2.5 when 2 then 1.0 else 1.5 end::double as sigma, case c_custkey % 4 when 0 then -2000 when 2 then -3000 else -1000 end::double as threshold,
+  case c_custkey % 4 when 0 then 0.75 when 2 then 0.65 else 0.3 end::double as split_factor, case c_custkey % 4 when 0 then 15 when 2 then 30 else 60 end::bigint as least_mask from customer""")
+def species_of_rows(s, d):
+    """P20."""
+    return schema.with_species(read(s, d, "customer").select("c_custkey", F.expr(_SPECIES).alias("species")), "species").drop("species")
+
+
+@query("""select l_orderkey, l_linenumber, l_suppkey || '_' || l_linenumber as label_number, l_suppkey || l_returnflag as label_lineage from lineitem""")
+def composite_keys(s, d):
+    """P3, P6."""
+    x = read(s, d, "lineitem").withColumn("label", F.col("l_suppkey").cast("string"))
+    return guards.pruned(guards.with_keys(x, "label", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber", "no_such_column", "label_number", "label_lineage"])
+
+
+@query("select l_returnflag, l_linenumber, avg(l_quantity)::decimal(18, 6)::double as mean, max(l_quantity)::double as greatest from lineitem group by all")
+def tile_levels(s, d):
+    """A19."""
+    return shown(guards.tile_levels(read(s, d, "lineitem").select("l_returnflag", "l_linenumber", F.col("l_quantity").cast("double").alias("v")), ["l_returnflag", "l_linenumber"], "v"))
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')")
+def masked_pixels(s, d):
+    """J17."""
+    mask = read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return spatial.masked(read(s, d, "lineitem").select("l_orderkey", "l_linenumber"), mask, ["l_orderkey"])
+
+
+@query("""select l_orderkey, l_linenumber, round(o_totalprice::double * 0.112, 6) as distance_to_edge from lineitem left join (select * from orders where o_orderstatus = 'F') on o_orderkey = l_orderkey""")
+def edge_distances(s, d):
+    """J18."""
+    edt = read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").cast("double").alias("edt"))
+    return shown(spatial.edge_distance(read(s, d, "lineitem").select("l_orderkey", "l_linenumber"), edt, ["l_orderkey"]))
+
+
+@query("select l_orderkey as place, arg_max(l_linenumber, (l_quantity, -l_linenumber))::bigint as z, max(l_quantity)::double as v from lineitem group by all")
+def depths_of_pixels(s, d):
+    """T10."""
+    x = read(s, d, "lineitem").select(F.col("l_orderkey").alias("place"), F.col("l_linenumber").alias("z"), F.col("l_quantity").cast("double").alias("v"))
+    return big(spatial.sharpest_depths(x, ["place"], "z", "v"))
+
+
+@query("select o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) as choice, max(o_totalprice)::double as score from orders group by all")
+def best_candidates(s, d):
+    """T2."""
+    x = read(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias("choice"), F.col("o_totalprice").cast("double").alias("score"))
+    return series.best(x, ["o_custkey"], "score", "choice")
+
+
+@query("""with n as (select o_orderkey, o_orderstatus, o_custkey, row_number() over (partition by o_orderstatus, o_custkey order by o_orderkey) - 1 as child from orders) select o_orderkey, child::bigint as child, o_custkey || '.' || child as path from n""")
+def numbered_children(s, d):
+    """A18, T4."""
+    return big(lineage.numbered_children(read(s, d, "orders"), "o_orderstatus", "o_custkey", "o_orderkey").select("o_orderkey", "child", "path"))
+
+
+@query(f"""with {EVENTS}, x as (select series_key, row_number() over (partition by series_key order by us, event_id) as n, round(area, 3) as v from e) select series_key, ((n - 1) * 905.5)::double as time, v as "OD600" from x where n <= 4""")
+def first_time_points(s, d):
+    """T7."""
+    e = events(s, d).groupBy("series_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", F.round("area", 3).alias("v")))), lambda q: q.v).alias("v"))
+    number = lambda c: F.array_join(F.transform(c, lambda v: F.format_string("%.3f", v)), " ")
+    text = F.concat(F.lit("header\nt "), number(F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: i * 905.5)), F.lit(" B2 "), number(F.col("v")), F.lit(";\nend"))
+    out = tables.plate_reader(e.select(F.col("series_key").cast("string").alias("path"), text.alias("content")), "x", limit=4)
+    return rounded(out.select(F.col("path").cast("bigint").alias("series_key"), "time", "OD600"))
+
+
+@query("""with ct as (select distinct l_returnflag as img, l_suppkey % 50 as gt from lineitem where l_suppkey % 50 <> 0), h as (select distinct l_returnflag as img, l_suppkey % 50 as gt from lineitem where l_quantity = 7)
+select ct.img, count(h.gt) as with_cells, count(*) - count(h.gt) as without_cells from ct left join h on h.img = ct.img and h.gt = ct.gt group by all""")
+def colony_errors(s, d):
+    """B8 by intent."""
+    px = read(s, d, "lineitem").select(F.col("l_returnflag").alias("img"), (F.col("l_suppkey") % 50).alias("gt"), (F.col("l_partkey") % 50).alias("pred"), "l_quantity")
+    return scoring.colony_errors(scoring.contingency(px), px.where("l_quantity = 7").select("img", F.col("gt").alias("colony")))

@@ -85,3 +85,12 @@ def null_for_nan(df: DataFrame, *columns: str) -> DataFrame:
     """Not-a-number becomes null in these columns, or in all of floating type."""
     floats = [f.name for f in df.schema if isinstance(f.dataType, T.FloatType | T.DoubleType)]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns or floats})
+
+
+def with_species(df: DataFrame, column: str) -> DataFrame:
+    """P20 as a join with the three species: sigma, threshold, split_factor, least_mask. Null is the default, full names and short ones are known in any case; another name is an error."""
+    rows = [(n.lower(), *v) for k, v in SPECIES.items() for n in (k, k[0] + ". " + k.split()[1])]
+    known = df.sparkSession.createDataFrame(rows, "_s string, sigma double, threshold double, split_factor double, least_mask long")
+    d = df.withColumn("_s", F.lower(F.coalesce(F.col(column), F.lit(DEFAULT_SPECIES)))).join(F.broadcast(known), "_s", "left")
+    wrong = F.raise_error(F.concat(F.lit("no parameters for species "), F.col("_s"))).cast("double")
+    return d.withColumn("sigma", F.when(F.col("sigma").isNull(), wrong).otherwise(F.col("sigma"))).drop("_s")
