@@ -290,8 +290,6 @@ def test_times_of_a_plate_reader_are_kept(spark):
 
 
 def test_species_of_rows(spark):
-    from trackfold import schema
-
     rows = spark.createDataFrame([("e. COLI",), (None,), ("Staphylococcus aureus",)], "species string")
     assert sorted(r.sigma for r in schema.with_species(rows, "species").collect()) == [1.5, 1.5, 2.5]
     with pytest.raises(Exception, match="no parameters for species"):
@@ -299,8 +297,6 @@ def test_species_of_rows(spark):
 
 
 def test_positions_with_ties_and_none(spark):
-    from trackfold.operators import series
-
     d = spark.createDataFrame([(v,) for v in [5, 1, 1, 1, 9, 2] * 40], "v long")
     got = sorted((r.position, r.v) for r in series.positioned(d, "v").collect())
     assert [p for p, _ in got] == list(range(240)) and [v for _, v in got] == sorted([5, 1, 1, 1, 9, 2] * 40)
