@@ -81,7 +81,7 @@ def test_phrases_hold_each_window_once(width, gram):
     rng = np.random.default_rng(width)
     values = rng.integers(0, 3, 4000).astype(np.uint8)
     bounds = np.array([0, 0, 5, 5 + width, 900, 4000])
-    p = repeats.parse(values, bounds, repeats.Shape(suffix.byte_units, width, gram))
+    p = repeats.parse(values, bounds, repeats.Shape(suffix.byte_units, width, gram, repeats.by_order))
     seen = np.zeros(len(values), int)
     for lo, hi in zip(p.lo, p.hi, strict=True):
         seen[lo : hi + 1] += 1
@@ -98,6 +98,29 @@ def test_ranks_are_suffix_order():
     assert all((s[i] < s[j]) == (r[i] < r[j]) and (s[i] == s[j]) == (r[i] == r[j]) for i in range(0, 281, 7) for j in range(281))
 
 
+@pytest.mark.parametrize("search", [repeats.by_order, substring.by_factors])
+@pytest.mark.parametrize("letters,width", [(2, 13), (4, 5), (1, 3)])
+def test_searches_find_each_window_of_an_earlier_document(search, letters, width):
+    rng = np.random.default_rng(letters)
+    size = rng.integers(width, 3 * width, 300)
+    doc = rng.integers(0, 90, 300)
+    doc[:3] = -(1 << 63)
+    text = rng.integers(0, letters, int(size.sum())).astype(np.uint64)
+    ends = np.cumsum(size)
+    first, want = {}, []
+    seqs = [(int(d), tuple(text[z - n : z].tolist())) for d, n, z in zip(doc, size, ends, strict=True)]
+    windows = [(d, s[p : p + width]) for d, s in seqs for p in range(len(s) - width + 1)]
+    for d, w in windows:
+        first[w] = min(first.get(w, d), d)
+    want = [first[w] < d for d, w in windows]
+    assert search(text, size, doc, width).tolist() == want
+
+
+def test_factors_grow_to_the_first_word_that_differs():
+    v = np.array([1, 2, 3, 4, 9, 1, 2, 3, 5, 9, 9], dtype=np.uint64)
+    assert substring.agreed(v, np.array([5, 4, 10, 0]), np.array([0, 9, 4, 0]), np.array([4, 2, 1, 0])).tolist() == [3, 1, 1, 0]
+
+
 def brute_components(ids, links):
     up = {i: i for i in ids}
 

@@ -13,9 +13,11 @@ id. The task is to mark each repeated window, without shuffling every window.
    is kept; its other documents hold nothing but repeated windows there, and are done.
    Within one map step copies are settled before anything is shuffled, which is what
    a passage in a third of all documents comes down to.
-3. Order. Only where different phrases share a trigger, the first documents' phrases
-   are brought together and put in order by their suffixes, to the depth of a window;
-   equal windows are neighbours, and the first document among them is known.
+3. Search. Only where different phrases share a trigger, the first documents' phrases
+   are brought together in blocks, each with all phrases of its triggers, and an operator's
+   own search finds the windows there that an earlier document holds: operator 4 puts the
+   suffixes in order to the depth of a window, operator 6 factors each phrase against
+   the block.
 4. Marks go back to their documents. A Bloom filter of fixed size spares documents
    without marks the shuffle; what it lets through wrongly finds no marks in the join.
 
@@ -46,7 +48,7 @@ _ROWS = 60_000
 _NULL = -(1 << 63)
 #: Entries that a task holds before it sends them.
 _HELD = 600_000
-#: Parts of the dictionary that a task puts in order one after another.
+#: Blocks that a task searches one after another.
 _PIECES = 16
 #: Bytes of phrases that a task holds before it sends them.
 _CONTENT = 16 << 20
@@ -54,11 +56,12 @@ _CONTENT = 16 << 20
 
 @dataclass(frozen=True)
 class Shape:
-    """units(texts) gives the values of all texts, one after another, and the bounds of the texts."""
+    """units(texts) gives the values of all texts, one after another, and the bounds of the texts. search(values, sizes, docs, width) gives, for each window of a block's phrases, whether it starts in a phrase of a smaller document too."""
 
     units: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     width: int
     gram: int
+    search: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
 @dataclass
@@ -370,7 +373,17 @@ def ranks(values: np.ndarray, width: int) -> np.ndarray:
     return rank
 
 
-def order(open_: DataFrame, shape: Shape) -> DataFrame:
+def by_order(values: np.ndarray, size: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """The search of operator 4: equal windows have one rank, and the first document of each rank is known."""
+    windows = size - width + 1
+    r = ranks(values, width)[ragged(np.cumsum(size) - size, windows)].astype(np.int64)
+    owner = np.repeat(doc, windows)
+    first = np.full(int(r.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, r, owner)
+    return owner > first[r]
+
+
+def searched(open_: DataFrame, shape: Shape) -> DataFrame:
     """Step 3. open_: doc_id, key, text, marks. doc_id, key, late: the places of windows that start in an earlier document too."""
     n_parts = parts(open_.sparkSession)
     pieces = n_parts * _PIECES
@@ -409,19 +422,19 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
         held = []
         trimmed()
 
-    def sort(batches):
+    def blocks(batches):
         blobs: dict[int, list[bytes]] = {}
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 blobs.setdefault(part, []).append(blob)
         found = []
         while blobs:
-            found.append(sort_one(blobs.popitem()[1]))
+            found.append(block(blobs.popitem()[1]))
         if found and (rows := _bucketed(*(np.concatenate(x) for x in zip(*found, strict=True)), n_parts)):
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
         trimmed()
 
-    def sort_one(blobs):
+    def block(blobs):
         doc, key, lo, size, text = [], [], [], [], []
         for blob in blobs:
             raw = zstandard.decompress(blob)
@@ -432,19 +445,12 @@ def order(open_: DataFrame, shape: Shape) -> DataFrame:
             size.append(np.frombuffer(raw, np.int64, m, 24 + 24 * m))
             text.append(np.frombuffer(raw, np.uint8 if item == 1 else np.uint64, n, 24 + 32 * m))
         doc, key, lo, size, text = map(np.concatenate, (doc, key, lo, size, text))
-        rank = ranks(text, shape.width)
         windows = size - shape.width + 1
-        begin = np.cumsum(size) - size
-        r = rank[ragged(begin, windows)].astype(np.int64)
-        owner = np.repeat(doc, windows)
-        place = ragged(lo, windows)
-        first = np.full(int(r.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, r, owner)
-        late = owner > first[r]
-        return owner[late], np.repeat(key, windows)[late], place[late]
+        late = shape.search(text, size, doc, shape.width)
+        return np.repeat(doc, windows)[late], np.repeat(key, windows)[late], ragged(lo, windows)[late]
 
-    sorted_ = open_.mapInArrow(contents, "part int, blob binary").repartition(n_parts, "part").mapInArrow(sort, "bucket int, blob binary")
-    return _gathered(sorted_, "late")
+    found = open_.mapInArrow(contents, "part int, blob binary").repartition(n_parts, "part").mapInArrow(blocks, "bucket int, blob binary")
+    return _gathered(found, "late")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -483,7 +489,7 @@ def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> Da
             yield b.filter(pa.array(~ok))
 
     held = packed(docs.select("doc_id", "key", "text"), ids)
-    late = checkpointed(order(held.join(open_, ["doc_id", "key"]), shape))
+    late = checkpointed(searched(held.join(open_, ["doc_id", "key"]), shape))
     both = found.join(late, ["doc_id", "key"], "left")
     any_ = bloom(found, "doc_id")
 

@@ -1,14 +1,22 @@
 """Substring dedup (operator 6): repeated passages of words.
 
-The method is that of operator 4 (see `repeats`) with words as units, not a relative
-Lempel-Ziv parsing: phrases (runs of windows of one trigger) meet under the hash of
-their trigger, and suffix ranks to a window's depth find the windows that an earlier
-document holds. Words within such windows are removed; the words between are kept.
+Relative Lempel-Ziv parsing over words. The reference is the corpus itself, in blocks: a
+block holds all different phrases (runs of windows of one trigger, see `repeats`) of
+its triggers, with an index of their windows, and as equal windows have equal triggers,
+no other block can hold a factor of a phrase. A phrase that an earlier document holds
+as a whole is one factor, found by its hash before anything is moved. Every other phrase
+whose trigger occurs again goes to its block and is factored greedily: at a cursor the
+index names the least document with the window that starts there, and the factor grows
+word by word as long as both agree. Factors of a window or more become duplicate spans.
+At a factor's boundary the windows that lie across it are looked up by themselves, so
+that a passage goes on in another document; a window without a source is a literal, and
+the cursor moves by one word. Words within removed spans go, the words between are kept.
 
 Defined results: a null text has no words; a text shorter than a window keeps all its
 words; of rows with one doc_id, whatever their texts, none removes from the other, as no id is smaller; a
 null doc_id counts as the smallest; an empty table gives no rows; other columns are
-ignored. Words are compared by 64-bit hashes.
+ignored. Words are compared by 64-bit hashes; the index holds 64 bits of a window, and a
+factor counts only as far as its words agree.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackfold.llm.common import Words, ragged, table
+from trackfold.llm.common import Rolling, Words, ragged, table
 from trackfold.llm.repeats import Shape, covered, repeated, spans
 
 WIDTH, GRAM = 13, 5
@@ -30,6 +38,50 @@ def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return w.hashes(), w.bounds.astype(np.int64)
 
 
+def agreed(values: np.ndarray, own: np.ndarray, source: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """How many units from each place in own agree with those from its place in source, reach at the most."""
+    out = reach.copy()
+    live, n = np.flatnonzero(reach > 0), 0
+    while len(live):
+        same = values[own[live] + n] == values[source[live] + n]
+        out[live[~same]] = n
+        n += 1
+        live = live[same & (reach[live] > n)]
+    return out
+
+
+def by_factors(values: np.ndarray, size: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """The block's phrases (sizes, documents) factored against its index: for each window, whether a factor holds it. All phrases move their cursors at once."""
+    windows = size - width + 1
+    begin = np.cumsum(size) - size
+    end = begin + size
+    at = ragged(begin, windows)
+    phrase = np.repeat(np.arange(len(size)), windows)
+    # the index: of each window, that of the least document
+    h = Rolling(values).every(width)[at]
+    order = np.lexsort((doc[phrase], h))
+    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    source = np.empty(len(at), dtype=np.int64)
+    source[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    held = np.zeros(len(at), dtype=bool)
+    last = np.cumsum(windows)
+    cursor = last - windows
+    live = np.flatnonzero(windows > 0)
+    while len(live):
+        here = cursor[live]
+        from_ = source[here]
+        length = np.zeros(len(live), dtype=np.int64)
+        hit = np.flatnonzero(doc[phrase[from_]] < doc[live])
+        own, ref = at[here[hit]], at[from_[hit]]
+        length[hit] = agreed(values, own, ref, np.minimum(end[live[hit]] - own, end[phrase[from_[hit]]] - ref))
+        # a factor's windows, then the first across its end; after a literal the next word
+        inner = np.maximum(length - width + 1, 0)
+        held[ragged(here, inner)] = True
+        cursor[live] = here + np.maximum(inner, 1)
+        live = live[cursor[live] < last[live]]
+    return held
+
+
 def factored(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, whole: bool = False) -> DataFrame:
     """doc_id, kept (text), n_words, n_removed, starts and ends (in words) of the factors that are removed, and with `whole` also rest, a struct of the other columns. Kept are words joined by one space; with `whole` a text of which nothing is removed stays as it is."""
     docs = docs if whole else docs.select("doc_id", "text")
@@ -60,7 +112,7 @@ def factored(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, whole: bool
     schema = T.StructType.fromDDL("doc_id long, kept string, n_words long, n_removed long, starts array<long>, ends array<long>")
     if whole:
         schema = schema.add("rest", T.StructType([f for f in docs.schema if f.name.lower() not in ("doc_id", "text")]))
-    return repeated(docs, Shape(word_units, width, gram), schema, finish)
+    return repeated(docs, Shape(word_units, width, gram, by_factors), schema, finish)
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

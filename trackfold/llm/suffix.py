@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfold.llm.common import table
-from trackfold.llm.repeats import Shape, covered, repeated, spans
+from trackfold.llm.repeats import Shape, by_order, covered, repeated, spans
 
 WIDTH, GRAM = 50, 24
 
@@ -47,7 +47,7 @@ def deduped(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         lists = lambda x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x - bounds[doc], pa.int64()))
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "starts": lists(a), "ends": lists(z)})
 
-    return repeated(docs.select("doc_id", "text"), Shape(byte_units, width, gram), "doc_id long, kept binary, n_bytes long, n_removed long, starts array<long>, ends array<long>", finish)
+    return repeated(docs.select("doc_id", "text"), Shape(byte_units, width, gram, by_order), "doc_id long, kept binary, n_bytes long, n_removed long, starts array<long>, ends array<long>", finish)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
