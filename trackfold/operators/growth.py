@@ -5,7 +5,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,26 +38,62 @@ def smoothed(df: DataFrame, series: list[str], time: str, column: str) -> DataFr
     return out.withColumn(column, F.when(~F.isnan(column), F.col(column)))
 
 
-def growth_rates(df: DataFrame, series: list[str], hours: str, columns: list[str], kernel: str = "sqexp", runs: int = 5) -> DataFrame:
-    """`<c>_growth_rate` and `<c>_growth_rate_var`, the derivative of the logarithm in hours and its variance. Series of fewer than six rows, or that cannot be fitted, get nulls. Starts are drawn from a seed that the series' key gives, so reruns agree."""
-    extra = [(f"{c}_growth_rate{v}", T.DoubleType()) for c in columns for v in ("", "_var")]
+#: Points squared, summed over the series that are fitted together.
+TOGETHER = 6_000_000
 
-    def run(key, pdf):
-        pdf = pdf.sort_values(hours, kind="stable")
-        t = pdf[hours].to_numpy(float)
-        seed = zlib.crc32(repr(tuple(map(str, key))).encode())
-        for c in columns:
-            rate = var = np.full(len(pdf), np.nan)
-            if len(pdf) >= LEAST_GROWTH:
-                try:
-                    r = gp.derivatives(t, pdf[c].to_numpy(float), kernel, runs=runs, seed=seed)
-                    rate, var = r["df"], r["df_var"]
-                except (ValueError, np.linalg.LinAlgError):
-                    pass
-            pdf[f"{c}_growth_rate"], pdf[f"{c}_growth_rate_var"] = rate, var
-        return pdf
 
-    out = _grouped(df, series, run, extra)
+def _whole(batches, turn: str):
+    """Arrow batches of rows that stand by series, numbered within it, as tables of whole series: as many as are fitted together, or one that is longer."""
+    ready, last, work = [], [], 0
+    for b in batches:
+        place = b.column(turn).to_numpy()
+        first = np.flatnonzero(place == 1)
+        if not len(first):
+            last.append(b)
+            continue
+        ready += [*last, b.slice(0, first[-1])]
+        work += 2 * sum(int(x.column(turn).to_numpy().sum()) for x in last) + 2 * int(place[: first[-1]].sum())
+        last = [b.slice(first[-1])]
+        if work >= TOGETHER:
+            yield pa.Table.from_batches(ready)
+            ready, work = [], 0
+    if ready or last:
+        yield pa.Table.from_batches([*ready, *last])
+
+
+def growth_rates(df: DataFrame, series: list[str], hours: str, columns: list[str], kernel: str = "sqexp", runs: int = 5) -> DataFrame:
+    """`<c>_growth_rate` and `<c>_growth_rate_var`, the derivative of the logarithm in hours and its variance. Series of fewer than six rows, or that cannot be fitted, get nulls. Starts are drawn from a seed that the series' key gives, so reruns agree. A task fits many series together, which changes results by rounding alone."""
+    extra = [(f"{c}_growth_rate{v}", T.DoubleType()) for c in columns for v in ("", "_var")]
+    turn, numbers = "_growth_turn", ["_growth_hours", *[f"_growth_{i}" for i in range(len(columns))]]
+    names = df.columns
+
+    def run(batches):
+        for table in _whole(batches, turn):
+            start = np.flatnonzero(table.column(turn).to_numpy() == 1)
+            end = [*start[1:], len(table)]
+            t, *ys = (table.column(n).to_numpy() for n in numbers)
+            keys = zip(*(table.column(n).take(start).to_pylist() for n in series))
+            fit = [(a, b, zlib.crc32(repr(tuple(map(str, k))).encode())) for a, b, k in zip(start, end, keys) if b - a >= LEAST_GROWTH]
+            out = table.select(names)
+            for i, y in enumerate(ys):
+                rate, var = np.full(len(table), np.nan), np.full(len(table), np.nan)
+                work = np.cumsum([(b - a) ** 2 for a, b, _ in fit]) // TOGETHER
+                for part in np.split(np.arange(len(fit)), np.flatnonzero(np.diff(work)) + 1):
+                    some = [fit[k] for k in part]
+                    for (a, b, _), found in zip(some, gp.slopes([(t[a:b], y[a:b]) for a, b, _ in some], kernel, runs, [k for *_, k in some])):
+                        if found:
+                            rate[a:b], var[a:b] = found
+                for k, v in enumerate((rate, var)):
+                    out = out.append_column(extra[2 * i + k][0], pa.array(v))
+            yield from out.to_batches()
+
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    each = Window.partitionBy(*series).orderBy(numbers[0])
+    df = df.withColumns(dict(zip(numbers, (F.col(c).cast("double") for c in (hours, *columns)))))
+    # the number is given, as a few small partitions, joined by their size, would leave cores without work
+    numbered = df.repartition(parts, *series).withColumn(turn, F.row_number().over(each))
+    out = numbered.mapInArrow(run, T.StructType([*[df.schema[n] for n in names], *[T.StructField(n, t) for n, t in extra]]))
     return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n, _ in extra})
 
 
