@@ -88,7 +88,7 @@ def growth_rates(df: DataFrame, series: list[str], hours: str, columns: list[str
             yield from out.to_batches()
 
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     each = Window.partitionBy(*series).orderBy(numbers[0])
     df = df.withColumns(dict(zip(numbers, (F.col(c).cast("double") for c in (hours, *columns)))))
     # the number is given, as a few small partitions, joined by their size, would leave cores without work
