@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,29 @@ def test_bpe_as_tiktoken(docs, empty, spark):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(d, path, public_tokenizers.PATTERN).collect()) == sorted(want)
 
 
+def test_bpe_puts_a_block_together_in_small_steps(spark):
+    """A block of more words than one row of numbers holds; no step holds more than a part of them."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    text = lambda i: f"n{i} " + "a bc def " * (i % 7 * 300) + f"z{i % 3}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(300)], "doc_id long, text string").coalesce(1)
+
+    def finish(doc_ids, bounds, ids, word_bounds):
+        parts = [ids[a:z].astype("<i4").tobytes() for a, z in zip(word_bounds[bounds[:-1]], word_bounds[bounds[1:]], strict=True)]
+        return pa.RecordBatch.from_pydict({"doc_id": doc_ids, "ids": pa.array(parts, pa.binary()), "n": pa.array(np.diff(bounds)), "step": pa.array([int(bounds[-1])] * len(doc_ids))})
+
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(records)
+    spark.conf.set(records, "10")
+    try:
+        got = bpe.tokenized(docs, path, public_tokenizers.PATTERN, "doc_id long, ids binary, n long, step long", finish).collect()
+    finally:
+        spark.conf.set(records, before)
+    assert sum(r.n for r in got) > 700_000 and max(r.step for r in got) <= 110_000
+    piece = bpe.pieces(path)
+    assert {r.doc_id: bpe.decoded(np.frombuffer(r.ids, "<i4"), piece)[0].tobytes().decode() for r in got} == {i: text(i) for i in range(300)}
+
+
 def test_a_word_is_merged_and_joined_as_tiktoken_does():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")

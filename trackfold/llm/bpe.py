@@ -43,6 +43,10 @@ from trackfold.llm.common import dealt, parts, ragged, table, trimmed
 
 #: Words a task holds before it sends a block on.
 BLOCK_WORDS = 6_000_000
+#: Words whose numbers move in one row, beyond which a batch of texts makes the next.
+STREAM_WORDS = 500_000
+#: Words that are put together at a time.
+TOGETHER = 100_000
 #: Words in one row of the fold.
 FOLD_ROWS = 4096
 #: Bytes of a long word's pieces, and between their starts.
@@ -208,39 +212,54 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish, blo
     cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
 
     def block(batches):
-        """Rows: kind 0, a block's texts as numbers; kind 1, words that a block asks a part for."""
+        """Rows: kind 0, some of a block's texts as numbers; kind 1, words that a block asks a part for."""
         from pyspark import TaskContext
 
         place, number = TaskContext.get().partitionId(), 0
-        ids, null, counts, words, held = [], [], [], [], 0
+        texts, held = [], 0  # of each batch doc_ids, which are null, words of each text, words
+
+        def rows(out):
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "block", "part", "blob"])
 
         def send():
+            """Rows of the block. Texts are numbered and leave the memory some at a time."""
             key = (place << 32) | number
-            if not words:  # texts without words
-                flat, names, index = None, pa.array([], pa.string()), np.zeros(0, np.int32)
-            else:
-                flat = pa.chunked_array(words).unify_dictionaries()
-                names = flat.chunk(0).dictionary
-                index = np.concatenate([c.indices.to_numpy() for c in flat.chunks])  # 32 bits
-            freq = np.bincount(index, minlength=len(names))
+            enc = pa.chunked_array([w.dictionary.cast(pa.large_string()) for *_, w in texts]).combine_chunks()
+            enc = enc.dictionary_encode()
+            enc = enc.combine_chunks() if isinstance(enc, pa.ChunkedArray) else enc
+            names, ends = enc.dictionary, np.cumsum([len(w.dictionary) for *_, w in texts])
+            number_of = np.split(enc.indices.to_numpy(), ends[:-1])  # of each batch's words, which are distinct
+            del enc
+            freq = np.zeros(len(names), dtype=np.int64)
+            for (*_, w), own in zip(texts, number_of, strict=True):
+                freq[own] += np.bincount(w.indices.to_numpy(), minlength=len(own))
             order = np.argsort(-freq, kind="stable")
             place_of = np.empty(len(order), dtype=np.int32)
             place_of[order] = np.arange(len(order), dtype=np.int32)
             names = names.take(pa.array(order))
-            stream = _zip(np.concatenate(ids), np.concatenate(null).astype(np.uint8), np.concatenate(counts).astype(np.int32), place_of[index])
-            out = [(0, key, deal[key % n_parts], stream)]
-            if len(names):
-                raw = names.to_pylist()
-                part = np.fromiter((hash_of(w) % n_parts for w in raw), dtype=np.int64, count=len(raw))
-                by = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.r_[True, part[by][1:] != part[by][:-1], True])
-                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                    at = by[a:z]
-                    text = names.take(pa.array(at)).cast(pa.large_binary())
-                    size = pc.binary_length(text).to_numpy()
-                    out.append((1, key, deal[int(part[at[0]])], _zip(np.diff(at, prepend=0).astype(np.int32), size.astype(np.int32), np.frombuffer(b"".join(text.to_pylist()), np.uint8))))
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "block", "part", "blob"])
+            some, n = [], 0
+            for own in number_of:
+                ids, null, counts, w = texts.pop(0)
+                some.append((ids, null.astype(np.uint8), counts.astype(np.int32), place_of[own][w.indices.to_numpy()]))
+                n += len(w)
+                if n > STREAM_WORDS or not texts:
+                    yield rows([(0, key, deal[key % n_parts], _zip(*(np.concatenate(x) for x in zip(*some, strict=True))))])
+                    some, n = [], 0
+            if not len(names):
+                return
+            part = np.empty(len(names), dtype=np.int64)
+            for i in range(0, len(names), FOLD_ROWS):
+                part[i : i + FOLD_ROWS] = [hash_of(w) % n_parts for w in names.slice(i, FOLD_ROWS).to_pylist()]
+            by = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, part[by][1:] != part[by][:-1], True])
+            out = []
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                at = by[a:z]
+                text = names.take(pa.array(at)).cast(pa.large_binary())
+                size = pc.binary_length(text).to_numpy()
+                out.append((1, key, deal[int(part[at[0]])], _zip(np.diff(at, prepend=0).astype(np.int32), size.astype(np.int32), np.frombuffer(b"".join(text.to_pylist()), np.uint8))))
+            yield rows(out)
 
         import xxhash
 
@@ -248,20 +267,16 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish, blo
         for b in batches:
             lists = b.column("words")
             n = np.diff(lists.offsets.to_numpy())
-            ids.append(b.column("doc_id").fill_null(0).to_numpy())
-            null.append(b.column("doc_id").is_null().to_numpy(zero_copy_only=False))
-            counts.append(n)
             flat = lists.flatten()
-            if len(flat):
-                words.append(flat.dictionary_encode())
+            texts.append((b.column("doc_id").fill_null(0).to_numpy(), b.column("doc_id").is_null().to_numpy(zero_copy_only=False), n, flat.dictionary_encode()))
             held += len(flat)
+            del b, lists, flat
             if held > block_words:
-                yield send()
-                ids, null, counts, words, held, number = [], [], [], [], 0, number + 1
+                yield from send()
+                held, number = 0, number + 1
                 trimmed()
-        if ids:
-            yield send()
-        ids, null, counts, words = [], [], [], []
+        if texts:
+            yield from send()
         trimmed()
 
     sent = cut.mapInArrow(block, "kind int, block long, part int, blob binary").repartition(n_parts, "part")
@@ -357,45 +372,46 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish, blo
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "block", "blob"])
 
     answers = folded.mapInArrow(answer, "kind int, block long, blob binary")
-    both = answers.repartition(n_parts, F.get(F.lit(deal), F.pmod("block", F.lit(n_parts)).cast("int"))).sortWithinPartitions("block", "kind")
+    # a block's answers come before its texts, which can go one row after another
+    both = answers.repartition(n_parts, F.get(F.lit(deal), F.pmod("block", F.lit(n_parts)).cast("int"))).sortWithinPartitions("block", F.desc("kind"))
 
     def assemble(batches):
-        stream, got, now = None, [], None
+        got, known, now = [], None, None
+
+        def gathered():
+            if not got:
+                return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            local, size, flat = (np.concatenate(x) for x in zip(*got, strict=True))
+            begin, length = np.zeros(len(local), dtype=np.int64), np.zeros(len(local), dtype=np.int64)
+            begin[local] = np.cumsum(size, dtype=np.int64) - size
+            length[local] = size
+            return begin, length, flat
 
-        def close():
-            ids, null, counts, index = stream
+        def finished(ids, null, counts, index):
+            begin, length, flat = known
             ids = pa.array(ids, pa.int64(), mask=null > 0)
-            if got:
-                local, size, flat = (np.concatenate(x) for x in zip(*got, strict=True))
-            else:
-                local, size, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-            begin = np.zeros(len(local), dtype=np.int64)
-            length = np.zeros(len(local), dtype=np.int64)
-            begin[local] = np.cumsum(size) - size
-            length[local] = size
             bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
             a = 0
             while a < len(ids):  # some words at a time
-                z = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 300_000, "right")) - 1)
+                z = max(a + 1, int(np.searchsorted(bounds, bounds[a] + TOGETHER, "right")) - 1)
                 w = index[bounds[a] : bounds[z]]
                 n = length[w]
                 yield finish(ids[a:z], bounds[a : z + 1] - bounds[a], flat[ragged(begin[w], n)], np.concatenate([[0], np.cumsum(n)]))
                 a = z
 
         for b in batches:
-            for kind, key, blob in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if key != now:
-                    if stream is not None:
-                        yield from close()
-                    stream, got, now = None, [], key
-                if kind == 0:
-                    stream = _unzip(blob)
-                else:
-                    step, size, flat = _unzip(blob)
-                    got.append((np.cumsum(step, dtype=np.int64), size.astype(np.int64), flat))
-        if stream is not None:
-            yield from close()
-        stream, got = None, []
+            for i in range(len(b)):
+                kind, key, blob = (b.column(c)[i] for c in ("kind", "block", "blob"))
+                if key.as_py() != now:
+                    got, known, now = [], None, key.as_py()
+                if kind.as_py() == 2:
+                    step, size, flat = _unzip(blob.as_buffer())
+                    got.append((np.cumsum(step, dtype=np.int32), size, flat))
+                    continue
+                if known is None:
+                    known, got = gathered(), []
+                yield from finished(*_unzip(blob.as_buffer()))
+        got, known = [], None
         trimmed()
 
     return both.mapInArrow(assemble, schema)
