@@ -301,6 +301,27 @@ def test_bpe_puts_a_block_together_in_small_steps(spark):
     assert {r.doc_id: bpe.decoded(np.frombuffer(r.ids, "<i4"), piece)[0].tobytes().decode() for r in got} == {i: text(i) for i in range(300)}
 
 
+def test_batches_that_go_to_python_are_bounded_by_bytes(spark, tmp_path):
+    spark.range(48).selectExpr("id as doc_id", "repeat('long text ', 50000) as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = common.table(spark, str(tmp_path), "documents")
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+    assert sum(r.n for r in sizes) == 48 and max(r.size for r in sizes) < 8_000_000
+
+
+def test_a_task_leaves_no_tables_in_its_worker(spark):
+    def run(batches):
+        for b in batches:
+            common.Rolling(np.arange(9, dtype=np.uint64))
+            yield b
+
+    def left(batches):
+        for _ in common.frugal(run)(batches):
+            assert common._powers
+        yield pa.RecordBatch.from_pydict({"id": [len(common._powers)]})
+
+    assert [r.id for r in spark.range(1, numPartitions=1).mapInArrow(left, "id long").collect()] == [0]
+
+
 def test_a_word_is_merged_and_joined_as_tiktoken_does():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackfold.llm.common import dealt, parts, ragged, table, trimmed
+from trackfold.llm.common import dealt, frugal, parts, ragged, table, trimmed
 
 #: Words a task holds before it sends a block on.
 BLOCK_WORDS = 6_000_000
@@ -277,9 +277,8 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish, blo
                 trimmed()
         if texts:
             yield from send()
-        trimmed()
 
-    sent = cut.mapInArrow(block, "kind int, block long, part int, blob binary").repartition(n_parts, "part")
+    sent = cut.mapInArrow(frugal(block), "kind int, block long, part int, blob binary").repartition(n_parts, "part")
 
     codes = rank_table(path)[0]
     of_byte = codes[[vocabulary(path)[bytes([i])] for i in range(256)]]
@@ -327,7 +326,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish, blo
             long_ = text[np.repeat(size > PIECE, size)]
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists), pa.array([_zip(key[a:z], local[a:z], (index[a:z] % FOLD_ROWS).astype(np.int16), size.astype(np.int32), long_)], pa.binary())], names=names_of)
 
-    asked = sent.mapInArrow(meet, "kind int, block long, words array<array<bigint>>, asked binary")
+    asked = sent.mapInArrow(frugal(meet), "kind int, block long, words array<array<bigint>>, asked binary")
     constant = spark.createDataFrame(pa.table({"t": pa.array([rank_table(path)[1]], pa.list_(pa.int64()))})).scalar()
     asked = asked.withColumn("t", F.when(F.col("kind") == 1, constant))
     folded = asked.select("kind", "block", F.transform("words", lambda w: encoded(w, F.col("t"))).alias("ids"), "asked")
@@ -371,7 +370,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish, blo
                 kinds = [pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "block", "blob"])
 
-    answers = folded.mapInArrow(answer, "kind int, block long, blob binary")
+    answers = folded.mapInArrow(frugal(answer), "kind int, block long, blob binary")
     # a block's answers come before its texts, which can go one row after another
     both = answers.repartition(n_parts, F.get(F.lit(deal), F.pmod("block", F.lit(n_parts)).cast("int"))).sortWithinPartitions("block", F.desc("kind"))
 
@@ -411,10 +410,8 @@ def tokenized(docs: DataFrame, path: str, pattern: str, schema: str, finish, blo
                 if known is None:
                     known, got = gathered(), []
                 yield from finished(*_unzip(blob.as_buffer()))
-        got, known = [], None
-        trimmed()
 
-    return both.mapInArrow(assemble, schema)
+    return both.mapInArrow(frugal(assemble), schema)
 
 
 def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -454,7 +451,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             raw, bounds = text.tobytes(), at[o - o[0]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([raw[p:q] for p, q in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "bytes"])
 
-    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, bytes binary")
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(frugal(run), "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

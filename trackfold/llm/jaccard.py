@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackfold.llm.common import Rolling, Words, bloom, checkpointed, components, in_bloom, mix, parts, ragged, steps, table, texts_of, trimmed
+from trackfold.llm.common import Rolling, Words, bloom, checkpointed, components, frugal, in_bloom, mix, parts, ragged, steps, table, texts_of
 
 WORDS = 5
 #: The threshold as a fraction: inter * DEN >= union * NUM.
@@ -48,6 +48,8 @@ LONG_RUN = 4096
 SMALL = 256
 #: Sets of a cluster that are compared in one task.
 CHUNK = 8192
+#: Entries of prefix shingles that a task holds before it sends them on.
+HELD = 750_000
 #: Text bytes of clusters that are compared in one step; a larger cluster makes a step of its own.
 TOGETHER = 1 << 20
 _ROWS = 60_000
@@ -103,7 +105,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "counts": pa.array([zstandard.compress(np.log2(x + 1).astype(np.uint8).tobytes())], pa.binary())})
 
     schema = "piece int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(min(64, parts(docs.sparkSession)), "piece").mapInArrow(add, schema).collect()
+    rows = docs.select("text").mapInArrow(frugal(count), schema).repartition(min(64, parts(docs.sparkSession)), "piece").mapInArrow(frugal(add), schema).collect()
     out = np.zeros(SLOTS, dtype=np.uint8)
     for r in rows:
         out[r.piece * piece : (r.piece + 1) * piece] = np.frombuffer(zstandard.decompress(bytes(r.counts)), dtype=np.uint8)
@@ -144,7 +146,7 @@ def signatures(docs: DataFrame, classes, k: int) -> DataFrame:
             g = mix(_sum_by(mix(v ^ np.uint64(0x2545F4914F6CDD1D)), doc, len(n)) + n.astype(np.uint64))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "set1": pa.array(s1.view(np.int64)), "set2": pa.array(s2.view(np.int64)), "grp": pa.array(g.view(np.int64))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, grp long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_shingles long, set1 long, set2 long, grp long")
 
 
 _ENTRY = np.dtype([("token", ">u8"), ("grp", "<i8"), ("n", "<i4"), ("at", "<i4")])
@@ -207,7 +209,7 @@ def runs(docs: DataFrame, classes, k: int) -> DataFrame:
             x = x[np.isin(doc, first)]
             held.append(x)
             size += len(x)
-            if size > 1_500_000:
+            if size > HELD:
                 yield emit(held)
                 held, size = [], 0
         if size:
@@ -235,8 +237,8 @@ def runs(docs: DataFrame, classes, k: int) -> DataFrame:
             if hi > lo:
                 yield pa.RecordBatch.from_pydict({"run": pa.array([_pack(x[lo:hi])], pa.binary())})
 
-    packed = docs.select("text").mapInArrow(shingles, "part int, blob binary").repartition(n_parts, "part")
-    return packed.mapInArrow(gather, "run binary")
+    packed = docs.select("text").mapInArrow(frugal(shingles), "part int, blob binary").repartition(n_parts, "part")
+    return packed.mapInArrow(frugal(gather), "run binary")
 
 
 def _can(n1, at1, n2, at2):
@@ -328,7 +330,7 @@ def clusters(run: DataFrame) -> DataFrame:
             for i in range(0, len(ids), _ROWS):
                 yield pa.RecordBatch.from_pydict({"cluster": pa.array(ids[i : i + _ROWS]), "grp": pa.array(groups[i : i + _ROWS])})
 
-    return run.mapInArrow(keyed, "part int, blob binary").repartition(n_parts, "part").mapInArrow(gather, "cluster long, grp long")
+    return run.mapInArrow(frugal(keyed), "part int, blob binary").repartition(n_parts, "part").mapInArrow(frugal(gather), "cluster long, grp long")
 
 
 class _Sets:
@@ -411,7 +413,7 @@ def linked(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             b = b.filter(pa.array(in_bloom(filter_, b.column("doc_id").to_numpy()) if len(b) else np.zeros(0, bool)))
             yield pa.RecordBatch.from_pydict({"a": b.column("doc_id"), "packed": pa.array([z.compress(t) for t in texts_of(b)], pa.binary())})
 
-    rows = asked.join(docs.mapInArrow(pack, "a long, packed binary"), "a").repartition(parts(docs.sparkSession), "cell").sortWithinPartitions("cell")
+    rows = asked.join(docs.mapInArrow(frugal(pack), "a long, packed binary"), "a").repartition(parts(docs.sparkSession), "cell").sortWithinPartitions("cell")
 
     def compare(batches):
         z = zstandard.ZstdDecompressor()
@@ -439,10 +441,8 @@ def linked(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 total += len(held[-1][3])
         if held:
             yield found()
-        held = []
-        trimmed()
 
-    return rows.select("cell", "a", "set1", "packed").mapInArrow(compare, "a long, b long")
+    return rows.select("cell", "a", "set1", "packed").mapInArrow(frugal(compare), "a long, b long")
 
 
 def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:

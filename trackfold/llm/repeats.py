@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackfold.llm.common import Rolling, bloom, checkpointed, dealt, in_bloom, mix, parts, ragged, steps, texts_of, trimmed
+from trackfold.llm.common import Rolling, bloom, checkpointed, dealt, frugal, in_bloom, mix, parts, ragged, steps, texts_of
 
 _ROWS = 60_000
 #: Stands for a null doc_id, so that it joins and counts as the smallest.
@@ -214,9 +214,8 @@ def _gathered(rows: DataFrame, name: str) -> DataFrame:
             out = _by_row(*(np.concatenate(x) for x in (doc, key, marks)))
             for i in range(0, len(out), 10_000):
                 yield out.slice(i, 10_000).rename_columns(["doc_id", "key", name])
-        trimmed()
 
-    return rows.repartition(parts(rows.sparkSession), "bucket").mapInArrow(run, f"doc_id long, key long, {name} binary")
+    return rows.repartition(parts(rows.sparkSession), "bucket").mapInArrow(frugal(run), f"doc_id long, key long, {name} binary")
 
 
 def _stepped(batches, shape: Shape):
@@ -241,7 +240,7 @@ def packed(docs: DataFrame, filter_, want: bool = True) -> DataFrame:
             at = b.schema.get_field_index("text")
             yield b.set_column(at, "packed", pa.array([z.compress(t) for t in texts_of(b)], pa.binary()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def _unpacked(b: pa.RecordBatch) -> list[bytes]:
@@ -302,8 +301,6 @@ def dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
                 held, size = [], 0
         if size:
             yield from send(held)
-        held = []
-        trimmed()
 
     def meet(batches):
         held = []
@@ -337,10 +334,9 @@ def dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
         some = covered | still
         if rows := _bucketed(x["doc"][some], x["k"][some], marks[some], n_parts):
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
-        trimmed()
 
-    sent = docs.select("doc_id", "key", "text").mapInArrow(phrases, "part int, settled boolean, blob binary")
-    return _gathered(sent.repartition(n_parts, "part").mapInArrow(meet, "bucket int, blob binary"), "marks")
+    sent = docs.select("doc_id", "key", "text").mapInArrow(frugal(phrases), "part int, settled boolean, blob binary")
+    return _gathered(sent.repartition(n_parts, "part").mapInArrow(frugal(meet), "bucket int, blob binary"), "marks")
 
 
 def _marks(b: pa.RecordBatch, name: str) -> list[np.ndarray]:
@@ -419,8 +415,6 @@ def searched(open_: DataFrame, shape: Shape) -> DataFrame:
                 held, units = [], 0
         if held:
             yield send(held)
-        held = []
-        trimmed()
 
     def blocks(batches):
         blobs: dict[int, list[bytes]] = {}
@@ -432,7 +426,6 @@ def searched(open_: DataFrame, shape: Shape) -> DataFrame:
             found.append(block(blobs.popitem()[1]))
         if found and (rows := _bucketed(*(np.concatenate(x) for x in zip(*found, strict=True)), n_parts)):
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
-        trimmed()
 
     def block(blobs):
         doc, key, lo, size, text = [], [], [], [], []
@@ -449,7 +442,7 @@ def searched(open_: DataFrame, shape: Shape) -> DataFrame:
         late = shape.search(text, size, doc, shape.width)
         return np.repeat(doc, windows)[late], np.repeat(key, windows)[late], ragged(lo, windows)[late]
 
-    found = open_.mapInArrow(contents, "part int, blob binary").repartition(n_parts, "part").mapInArrow(blocks, "bucket int, blob binary")
+    found = open_.mapInArrow(frugal(contents), "part int, blob binary").repartition(n_parts, "part").mapInArrow(frugal(blocks), "bucket int, blob binary")
     return _gathered(found, "late")
 
 
@@ -466,7 +459,7 @@ def keyed(docs: DataFrame) -> DataFrame:
             some = in_bloom(filter_, _ids(b)) if len(b) else np.zeros(0, bool)
             yield b.set_column(b.schema.get_field_index("key"), "key", pa.array(np.where(some, _keys(b), 0)))
 
-    return hashed.mapInArrow(run, hashed.schema)
+    return hashed.mapInArrow(frugal(run), hashed.schema)
 
 
 def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> DataFrame:
@@ -480,7 +473,7 @@ def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> Da
             ok = [bool((m & 1).any()) for m in _marks(b, "marks")]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    open_ = found.mapInArrow(is_open, found.schema)
+    open_ = found.mapInArrow(frugal(is_open), found.schema)
     ids = bloom(open_, "doc_id")
 
     def unmarked(batches):
@@ -512,8 +505,8 @@ def repeated(docs: DataFrame, shape: Shape, schema: str, finish: Callable) -> Da
             b = b.set_column(b.schema.get_field_index("doc_id"), "doc_id", pa.array(ids, mask=ids == _NULL))
             yield finish(b, texts, values, bounds, windows)
 
-    plain = docs.mapInArrow(lambda x: run(unmarked(x)), schema)
-    marked = packed(docs, any_).join(both, ["doc_id", "key"], "left").mapInArrow(run, schema)
+    plain = docs.mapInArrow(frugal(lambda x: run(unmarked(x))), schema)
+    marked = packed(docs, any_).join(both, ["doc_id", "key"], "left").mapInArrow(frugal(run), schema)
     return plain.unionByName(marked)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackfold.llm.common import checkpointed, table
+from trackfold.llm.common import checkpointed, frugal, table
 
 #: At most about this many labelled rows train the lexicon and the score (a hash of doc_id chooses).
 TRAIN_ROWS = 100_000
@@ -99,7 +99,7 @@ def exceptions(train: DataFrame, lex: dict[str, float]) -> list[str]:
                 bad += [y] * len(got)
             yield pa.RecordBatch.from_pydict({"phrase": pa.array(out, pa.string()), "toxic": pa.array(bad, pa.int32())})
 
-    p = train.select("folded", F.col("toxic").cast("int").alias("toxic")).mapInArrow(pairs, "phrase string, toxic int")
+    p = train.select("folded", F.col("toxic").cast("int").alias("toxic")).mapInArrow(frugal(pairs), "phrase string, toxic int")
     p = p.groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where((F.col("bad") == 0) & (F.col("n") >= SUPPORT))
     return [r.phrase for r in p.orderBy(F.desc("n"), "phrase").collect()]
 
@@ -148,7 +148,7 @@ def features(docs: DataFrame, lex: dict[str, float], excepted: list[str]) -> Dat
                 words.append(max(0, text.count(" ") - 1))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "total": pa.array(total, pa.float64()), "n": pa.array(n, pa.int64()), "words": pa.array(words, pa.int64())})
 
-    return docs.select("doc_id", folded(F.col("text")).alias("folded")).mapInArrow(run, "doc_id long, total double, n long, words long")
+    return docs.select("doc_id", folded(F.col("text")).alias("folded")).mapInArrow(frugal(run), "doc_id long, total double, n long, words long")
 
 
 def _x(total: np.ndarray, n: np.ndarray, words: np.ndarray) -> np.ndarray:
